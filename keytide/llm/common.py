@@ -106,3 +106,35 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         if np.array_equal(new, label):
             return label
         label = new
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables cut from rows sorted by ``keys`` so that no run of equal keys is split between two."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        new = np.zeros(now.num_rows, dtype=bool)
+        first = True
+        for k in keys:
+            c = now[k].to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+            first = first and bool(held) and held[-1][k][-1].as_py() == c[0].item()
+        starts = np.flatnonzero(new)
+        if not len(starts):  # one key only
+            if held and not first:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(now)
+            continue
+        held.append(now.slice(0, starts[-1]))
+        yield pa.concat_tables(held)
+        held = [now.slice(starts[-1])]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def matrix(column, dim: int, kind: str = "<f8") -> np.ndarray:
+    """Equally long vectors kept as binary, as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim)
