@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.llm import ann, bpe, embed_dedup, packing, simhash
+from keytide.llm import ann, bpe, embed_dedup, langid, lm, packing, simhash, toxicity
 from keytide.llm.common import table
 
 
@@ -21,6 +21,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    # 0: not toxic; 1: toxic in a text of quality; 2: toxic in a text without
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    return toxicity.grade_documents(table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -29,5 +44,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op5_bpe, op9_packing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op4_language, op5_bpe, op7_lm, op8_toxicity, op9_packing, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
