@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.llm import ann, bpe, embed_dedup, langid, lm, packing, simhash, toxicity
+from keytide.llm import ann, bpe, embed_dedup, langid, lm, packing, pii, simhash, toxicity
 from keytide.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op4_language, op5_bpe, op7_lm, op8_toxicity, op9_packing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op3_pii, op4_language, op5_bpe, op7_lm, op8_toxicity, op9_packing, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
