@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,6 +88,24 @@ def distances(mine: np.ndarray, sorted_profiles: list[tuple[np.ndarray, np.ndarr
     return np.array(out)
 
 
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """(languages, their profiles sorted by code, with ranks) of the rows with text and language."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    found = {k: c for k, c in profiles(rows.where("text IS NOT NULL AND lang IS NOT NULL"), size).items() if len(c)}
+    return list(found), [(c[o], o) for c in found.values() for o in [np.argsort(c)]]
+
+
+def nearest(text: str, model, size: int = PROFILE) -> tuple[str, float]:
+    """(language, 1 less its distance) of a text; ``und`` and 0 without letters or languages."""
+    names, sorted_profiles = model
+    mine = ranked(grams(text), size)
+    if not len(mine) or not names:
+        return UNKNOWN, 0.0
+    d = distances(mine, sorted_profiles, size)
+    k = int(d.argmin())
+    return names[k], float(1 - d[k])
+
+
 def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row of ``docs``.
 
@@ -95,26 +114,27 @@ def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
     text or one without letters is ``und`` with score 0, as is every text if nothing was learnt.
     Rows with a null id aren't held out; repeated rows stay. Only the three named columns are read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("held_out"))
-    learnt = profiles(rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()), size)
-    names = list(learnt)
-    model = [(c[o], o) for c in learnt.values() for o in [np.argsort(c)] if len(c)]
-    names = [n for n in names if len(learnt[n])]
+    model = learn(docs.where(~held_out(id_col)), text_col, lang_col, size)
 
     @in_batches
     def run(batch):
-        lang, score = [], []
-        for raw in texts(batch.column(2)):
-            mine = ranked(grams(raw.decode()), size)
-            if not len(mine) or not names:
-                lang.append(UNKNOWN)
-                score.append(0.0)
-                continue
-            d = distances(mine, model, size)
-            k = int(d.argmin())
-            lang.append(names[k])
-            score.append(float(1 - d[k]))
-        return {"id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(lang), "score": pa.array(score)}
+        got = [nearest(raw.decode(), model, size) for raw in texts(batch.column(2))]
+        return {"id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array([x for x, _ in got], pa.string()), "score": pa.array([x for _, x in got], pa.float64())}
 
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "held_out", "text").mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, size: int = PROFILE) -> DataFrame:
+    """The rows of ``docs`` that are text in a learnt language, with a score over ``least``; all columns stay.
+
+    Learns from all rows with a text and a language. Where nothing was learnt, no row is kept.
+    """
+    model = learn(docs, text_col, lang_col, size)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([nearest(t or "", model, size)[1] for t in text], dtype="float64")
+
+    return docs.where(score(F.col(text_col)) > least)

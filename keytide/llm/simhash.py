@@ -24,6 +24,7 @@ import functools
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -193,10 +194,11 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 4, max_distance: int = MAX_DISTANCE, seed: int = 42) -> DataFrame:
-    """(id, fingerprint, component_id) of every row of ``docs``.
+    """(id, fingerprint, component_id, root) of every row of ``docs``.
 
     Fingerprints link at ``max_distance`` or fewer differing bits; ``component_id`` is the smallest
-    id among the documents reachable over links, itself included. A null or empty text has
+    id among the documents reachable over links, itself included; ``root`` is a fingerprint that stands
+    for the component. A null or empty text has
     fingerprint zero and links like any other. Repeated rows stay. A null id is never a component's
     name while a named document is in it. Only the two named columns are read.
     """
@@ -205,6 +207,26 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     comps = connected_components(links(nodes, max_distance), "a", "b")
     rooted = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
     hexa = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), hexa.alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), hexa.alias("fingerprint"), "component_id", "root")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row of ``docs`` for each component: one with the smallest id, of repeated rows any one.
+
+    All columns stay. Only rows that share id and fingerprint with another are told apart by a
+    second shuffle.
+    """
+
+    @F.pandas_udf("string")
+    def hexa(text: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint((t or '').encode(), words):016x}" for t in text])
+
+    found = near_duplicates(docs, text_col, id_col, words, max_distance).withColumnRenamed(id_col, "id")
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "fingerprint").agg(F.count("*").alias("n"))
+    first = first.groupBy("root").agg(F.min(F.struct("fingerprint", "id", "n")).alias("w")).select(F.col("w.id").alias("id2"), F.col("w.fingerprint").alias("f2"), "w.n")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), hexa(F.col(text_col)).alias("f"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("id2")) & (F.col("f") == F.col("f2")))
+    kept = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["id", "f"]))
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
