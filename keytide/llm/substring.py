@@ -174,7 +174,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", win
         return {"g": pa.array(np.concatenate(seg).view(np.int64)), "s": pa.array(np.array(name, dtype=np.uint64).view(np.int64)), "id": batch.column(0).take(of), "h": batch.column(1).take(of), "a": pa.array(np.concatenate(first).astype(np.int32)), "c": pa.array(np.concatenate(number).astype(np.int32))}
 
     every = written(rows.mapInArrow(cut_up, "g long, s long, id long, h long, a int, c int"))
-    shared = every.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g")
+    shared = written(every.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g"))  # a plain join side: a hot anchor can be split
     kept = written(every.join(shared, "g"))
     reps = kept.groupBy("g", "s").agg(F.min(F.struct("id", "h", "a", "c")).alias("r")).select("g", "s", "r.*")
     reps = written(reps)
