@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.functions.hashing import hash_64
+
 
 def keyed_count(df: DataFrame, *keys: str, weight: str | Column | None = None) -> DataFrame:
     """Count, or sum of weights, for each key; weights of 0 add nothing and make no row."""
@@ -81,6 +83,11 @@ def set_count(counts: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     return delete_keys(counts, new, key).unionByName(new.select(*counts.columns)).where("count > 0")
 
 
+def in_hash_order(counts: DataFrame, start: int = 0, key: str = "key") -> DataFrame:
+    """Counts with ``hash``, the invertible hash of the key, in its order from ``start`` on."""
+    return counts.withColumn("hash", hash_64(F.col(key))).where(F.col("hash") >= start).orderBy("hash")
+
+
 def shards_combined(tallies: DataFrame, *keys: str) -> DataFrame:
     """Per-process tallies (keys.., count) summed over the processes."""
     return tallies.groupBy(*keys).agg(F.sum("count").alias("count"))

@@ -392,6 +392,12 @@ def hash_inverse(spark, d):
     return hashed(spark, d).select(hashing.numpy_udf(hashing.hash_64_inverse)("hash").alias("key"))
 
 
+@query(f"SELECT h.key, 0 AS value, c.count, h.hash FROM {hashed_sql()} h JOIN {PARTS_SQL} c USING (key) WHERE h.hash >= {1 << 47} ORDER BY h.hash LIMIT 100")
+def hash_ordered_page(spark, d):
+    """A page of the table in hash order, found by seeking."""
+    return counting.in_hash_order(parts_counts(spark, d), 1 << 47).limit(100)
+
+
 #: Known hashes: input, hash_64 on 48 bits, MurmurHash64A and its 48-bit fold.
 VECTORS = [
     (0, 131731959509019, "14049860737169413206", 37274657018966),

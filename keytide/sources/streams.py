@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.functions.hashing import from_unsigned
+from keytide.functions.hashing import fold, from_unsigned, murmur64a, numpy_udf
 
 
 def from_table(df: DataFrame, idx: str, key: str, value=None, truth=None) -> DataFrame:
@@ -85,6 +85,12 @@ def to_packets(stream: DataFrame, per_packet: int = 50) -> DataFrame:
     return packed.select("packet_id", F.concat(F.lit("packet "), F.col("packet_id").cast("string"), F.lit("\n"), lines, F.lit("\n")).alias("value"))
 
 
+def captured_keys(packets: DataFrame) -> DataFrame:
+    """(packet_id, pos, key): the keys of captured packets, hashed and folded to 48 bits for storing."""
+    hashed = numpy_udf(murmur64a)
+    return parse_packets(packets).select("packet_id", "pos", fold(hashed("key")).alias("key"))
+
+
 def stops(packets: DataFrame) -> DataFrame:
     """(sender) of each STOP packet."""
     bare = packets.select(F.regexp_replace("value", r"\s+", "").alias("sender"))

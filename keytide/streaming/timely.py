@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from keytide.sources.streams import stops
 
@@ -68,6 +69,23 @@ def running_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.count("*").alias("count"))
 
 
+class Throughput(StreamingQueryListener):
+    """Collects (rows so far, epoch milliseconds) of every micro-batch; add with ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.series: list[tuple[int, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        rows = (self.series[-1][0] if self.series else 0) + event.progress.numInputRows
+        self.series.append((rows, int(time.time() * 1000)))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def stop_when_all_stopped(query_name: str, senders: int):
     """A ``foreachBatch`` function that keeps count of STOP packets and stops the query at the last sender's."""
     seen: set[str] = set()

@@ -157,6 +157,7 @@ def test_packets(spark):
     texts = ["packet 4\n17996431805658317590,1,0\n7,0,1\n", "2", "3\n", "3"]
     p = spark.createDataFrame([(t,) for t in texts], "value string")
     assert [(r.packet_id, r.pos, r.key, r.value, r.truth) for r in streams.parse_packets(p).orderBy("pos").collect()] == [(4, 0, 17996431805658317590 - (1 << 64), 1, 0), (4, 1, 7, 0, 1)]
+    assert [r.key for r in streams.captured_keys(spark.createDataFrame([("packet 4\n24,1,0\n1,0,1\n",)], "value string")).orderBy("pos").collect()] == [265716376411229, 156106598526498]
     assert streams.stopped_senders(p).first().senders == 2
     two = streams.parse_two_level(spark.createDataFrame([("packet 1\n5,77,1\n5,01,5\n",)], "value string")).orderBy("pos").collect()
     assert [(r.okey, r.val, r.cnt) for r in two] == [(5, "77", 1), (5, "01", 5)]
@@ -171,8 +172,16 @@ def test_streaming_equals_batch(spark, tmp_path):
         part.to_parquet(tmp_path / "in" / f"{k}.parquet")
         os.utime(tmp_path / "in" / f"{k}.parquet", (1000 + k, 1000 + k))
     source = spark.readStream.schema("idx long, key long, value int, truth int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rates = timely.Throughput()
+    spark.streams.addListener(rates)
     q = timely.report(source, 24, 12).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    for _ in range(50):
+        if rates.series and rates.series[-1][0] == 1200:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(rates)
+    assert rates.series[-1][0] == 1200
     got = sorted((x.key, x.i0, x.it, x.ones, x.biased) for x in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = spark.createDataFrame(rows)
     want = {x.key: x for x in reports.immediate(batch, 24).collect()}
