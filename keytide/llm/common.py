@@ -48,14 +48,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_batches(fn, schema: str | None = None):
-    """A ``mapInArrow`` function that applies ``fn(RecordBatch) -> dict of columns`` batch by batch."""
+#: Rows that a function over batches gets at a time, which bounds a worker's memory.
+BATCH_ROWS = 2000
+
+
+def in_batches(fn, rows: int = BATCH_ROWS):
+    """A ``mapInArrow`` function that applies ``fn(RecordBatch) -> dict of columns`` to ``rows`` rows at a time."""
 
     @functools.wraps(fn)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from pa.table(fn(batch)).combine_chunks().to_batches()
+            for at in range(0, batch.num_rows, rows):
+                yield from pa.table(fn(batch.slice(at, rows))).combine_chunks().to_batches()
 
     return run
 

@@ -19,6 +19,7 @@ share) is dealt anew by the content of each window, so that no shard is larger f
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -181,7 +182,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", win
     crowded = reps.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("g", F.lit(True).alias("crowd"))
     marked = reps.join(crowded, "g", "left").groupBy("id", "h").agg(F.collect_list(F.struct("g", "s", "a", "c", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("segs"))
 
-    @in_batches
+    @partial(in_batches, rows=200)  # a crowded text's windows take much more room than the text
     def fetch(batch):
         out: dict[str, list] = {k: [] for k in ("g", "s", "off", "id", "words", "crowd")}
         for owner, raw, segs in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
