@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches, texts
+from keytide.llm.common import in_batches, keeps, texts
 
 #: Stands for the end-of-word mark inside the automaton; no byte symbol maps to it.
 END = "\x00"
-#: Words whose encodings a worker keeps in each cache, which is emptied beyond it.
-CACHE_WORDS = 700_000
+#: Stretches of text, words and pair tests that a worker keeps in its caches, each emptied beyond its number.
+CACHE_WORDS, CACHE_PIECES, CACHE_PAIRS = 350_000, 650_000, 400_000
 #: Space to Python, but not to the tokenizer's pattern engine; texts that hold one are cut by pattern.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: White space of the pattern engine.
@@ -131,7 +131,7 @@ class WordBpe:
                 pair = left << 32 | token
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) >= 1_000_000:
+                    if len(fits) >= CACHE_PAIRS:
                         fits.clear()
                     ok = fits[pair] = compatible(left, token)
                 if not ok:
@@ -155,7 +155,7 @@ class WordBpe:
         letters = self.letters
         value = b"".join([i.to_bytes(4, "little") for i in self.encode_word("".join([letters[b] for b in piece.encode()]))])
         if len(piece) <= 40:
-            if len(self.packed_pieces) >= CACHE_WORDS:
+            if len(self.packed_pieces) >= CACHE_PIECES:
                 self.packed_pieces.clear()
             self.packed_pieces[piece] = value
         return value
@@ -245,6 +245,7 @@ def model(path: str) -> WordBpe:
     """The model of a file, read once in each worker."""
     if path not in _models:
         _models[path] = WordBpe(path)
+    keeps(__name__, _models.clear)
     return _models[path]
 
 

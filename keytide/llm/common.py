@@ -48,6 +48,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What each module keeps in a worker beyond a task, and how to let go of it.
+_kept: dict = {}
+
+
+def keeps(module: str, release) -> None:
+    """Tells that ``module`` has caches in this worker, which ``release()`` empties."""
+    _kept[module] = release
+
+
+def release_others(module: str) -> None:
+    """Empties the caches of all other modules: workers live on and serve one operator after another."""
+    for name in [n for n in _kept if n != module]:
+        _kept.pop(name)()
+
+
 #: Rows that a function over batches gets at a time, which bounds a worker's memory.
 BATCH_ROWS = 2000
 
@@ -57,6 +72,7 @@ def in_batches(fn, rows: int = BATCH_ROWS):
 
     @functools.wraps(fn)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(fn.__module__)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield from pa.table(fn(batch.slice(at, rows))).combine_chunks().to_batches()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches, texts
+from keytide.llm.common import in_batches, keeps, texts
 
 #: Labelled rows that the model is fitted on, about; the only sample here.
 SAMPLE_ROWS = 12_000
@@ -51,6 +51,7 @@ def word_features(word: bytes) -> bytes:
 
 def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(features, values) of a text: log(1 + count), scaled to the common norm."""
+    keeps(__name__, _words.clear)
     count = Counter(raw.lower().translate(_WORD_BYTES).split())
     get = _words.get
     at = np.frombuffer(b"".join([get(w) or word_features(w) for w in count]), dtype="<i4")
