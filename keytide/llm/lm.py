@@ -1,16 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is an interpolated bigram model. Its n-gram counts are quantised to steps of a logarithm,
-and an n-gram with step q is stored in a Bloom filter as the entries (n-gram, 1) .. (n-gram, q). A
-count is read by probing for step 1, 2, 3, .. until an entry is missing.
-
-Kept are the n-grams with at least a share ``floor`` of all training tokens, whatever the size of
-the corpus. There are at most 1/floor of each kind, and their steps add up to at most
-b / (b - 1) / floor for the base b, which bounds the filter that is broadcast (``filter_bits``).
-Lower counts aren't lost: the mass of a context that its kept bigrams don't cover goes to the exact
-add-one distribution of single tokens, whose counts never leave the executors. Texts are dealt into
-chunks; each chunk asks for the counts of its own words by a join and gets back a dictionary
-bounded by the chunk.
+The model is an interpolated bigram model. Its pair counts are quantised to steps of a logarithm,
+and a pair with step q is stored in a Bloom filter as the entries (pair, 1) .. (pair, q). A count
+is read by probing for step 1, 2, 3, .. until an entry is missing.
+
+Every pair of the training texts is in the filter, however rare. The filter is cut into shards by
+the pair's hash, as many as there are chunks of texts, so that a shard's size doesn't depend on the
+size of the corpus; no shard leaves its task. Texts are dealt into chunks. A chunk sends each shard
+its own distinct words and pairs there, with their counts in its training texts. The shard sums the
+counts of all chunks, fills its filter, and sends every chunk the words' exact counts and the pairs'
+steps in the order asked. Neither words nor pairs reach the driver.
 """
 
 from __future__ import annotations
@@ -21,20 +20,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import BATCH_ROWS, in_batches, texts, written
+from keytide.llm.common import in_batches, release_others, texts
 
-#: Share of the training tokens from which an n-gram is kept in the filter.
-FLOOR = 1e-6
 #: Base of the quantisation.
 BASE = 1.25
 #: Bits of the filter for each entry, and hash functions.
 ENTRY_BITS, HASHES = 12, 5
-#: Training tokens for each chunk of texts.
+#: Training tokens for each chunk of texts, and for each shard of the filter.
 CHUNK_TOKENS = 2_000_000
 #: Codes beside the words' hashes: the end and the begin of a text.
 END, BEGIN = 1, 2
-#: Kinds of stored counts: of a token, of a pair, and of all kept pairs of a first token.
-ONE, PAIR, MASS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+#: Salt of a pair's code.
+PAIR = 0xC2B2AE3D27D4EB4F
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -72,8 +69,8 @@ def before(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def filter_bits(floor: float = FLOOR, base: float = BASE, entry_bits: int = ENTRY_BITS) -> int:
-    """The most bits that a filter can take: three kinds of counts, each with bounded steps."""
+def filter_bits(floor: float, base: float = BASE, entry_bits: int = ENTRY_BITS) -> int:
+    """The most bits that a filter of ``build_filter`` can take: three kinds of counts over a share ``floor`` of all, each with bounded steps."""
     return int(3 * entry_bits * base / (base - 1) / floor)
 
 
@@ -95,8 +92,29 @@ class LogFrequencyFilter:
     def steps(count: np.ndarray, least: float, base: float) -> np.ndarray:
         return 1 + np.floor(np.log(np.maximum(count / least, 1.0)) / np.log(base) + 1e-9).astype(np.int64)
 
+    @classmethod
+    def of(cls, code: np.ndarray, count: np.ndarray, least: float = 1.0, base: float = BASE, entry_bits: int = ENTRY_BITS) -> LogFrequencyFilter:
+        """The filter of distinct codes with their counts, in one block."""
+        q = cls.steps(count, least, base)
+        size = max(1, -(-int(q.sum()) * entry_bits // 64))
+        bits = np.zeros(size * 64, dtype=bool)
+        step = 1
+        while len(q):
+            bits[cls.places(code, step, size * 64)] = True
+            code, q, step = code[q > step], q[q > step], step + 1
+        return cls(np.packbits(bits, bitorder="little").view("<u8"), least, base)
+
+    @staticmethod
+    def middle(step: np.ndarray, least: float = 1.0, base: float = BASE) -> np.ndarray:
+        """The count that a step stands for; 0 without one."""
+        return np.where(step > 0, least * base ** (step - 0.5), 0.0)
+
     def count(self, code: np.ndarray) -> np.ndarray:
         """Counts by repeated probes: the middle of the last step found, 0 without any."""
+        return self.middle(self.found(code), self.least, self.base)
+
+    def found(self, code: np.ndarray) -> np.ndarray:
+        """The last step found of each code, 0 without any."""
         step = np.zeros(len(code), dtype=np.int64)
         alive = np.arange(len(code))
         while len(alive):
@@ -106,7 +124,7 @@ class LogFrequencyFilter:
                 found &= (self.words[(row >> np.uint64(6)).astype(np.int64)] >> (row & np.uint64(63)) & np.uint64(1)).astype(bool)
             alive = alive[found]
             step[alive] += 1
-        return np.where(step > 0, self.least * self.base ** (step - 0.5), 0.0)
+        return step
 
 
 def held_out(id_col: str) -> Column:
@@ -126,21 +144,14 @@ def token_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(text_col).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(train: DataFrame, text_col: str, frequent) -> DataFrame:
-    """(first, p, c): counts of pairs of tokens that are both frequent; rarer pairs can't be kept."""
-
-    @in_batches
-    def run(batch):
-        codes, sizes = batch_codes(batch.column(0))
-        known = frequent.value
-        prev = before(codes, sizes)
-        inside = lambda x: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-        both = inside(codes) & (inside(prev) | (prev == BEGIN)) if len(known) else np.zeros(len(codes), bool)
-        first, code = prev[both], pair_code(prev[both], codes[both])
-        code, at, c = np.unique(code, return_index=True, return_counts=True)
-        return {"first": pa.array(first[at].view(np.int64)), "p": pa.array(code.view(np.int64)), "c": pa.array(c)}
-
-    return train.select(text_col).mapInArrow(run, "first long, p long, c long").groupBy("first", "p").agg(F.sum("c").alias("c"))
+def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes ordered by shard and code, place of each of ``codes`` among them, begin of each shard and the end)."""
+    unique, at = np.unique(codes, return_inverse=True)
+    shard = (unique % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return unique[order], place[at], np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def build_filter(entries: DataFrame, least: float, base: float = BASE, entry_bits: int = ENTRY_BITS) -> LogFrequencyFilter:
@@ -165,84 +176,76 @@ def build_filter(entries: DataFrame, least: float, base: float = BASE, entry_bit
     return LogFrequencyFilter(words, least, base)
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", floor: float = FLOOR, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Learns from the rows that aren't held out and scores all. A null or empty text is one end
     token. Rows with a null id aren't held out. Repeated rows train and are scored as often as they
     stand there. With no training rows every count is 0. Only the two named columns are read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
-    train = rows.where(~F.col("held"))
-    counts = written(token_counts(train, "text"))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, floor * n)
-    frequent = counts.where(F.col("c") >= least)
-    known = np.sort(frequent.select("w").toArrow()["w"].to_numpy().view(np.uint64))  # at most 1 / floor
-    pairs = written(pair_counts(train, "text", spark.sparkContext.broadcast(known)).where(F.col("c") >= least))
-
-    @in_batches
-    def coded(batch):
-        kind, code = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        return {"code": pa.array(np.where(kind == 0, mixed(code, ONE), np.where(kind == 1, code, mixed(code, MASS))).view(np.int64)), "c": batch.column(2)}
-
-    mass = pairs.groupBy("first").agg(F.sum("c").alias("c"))
-    begin = train.agg(F.count("*").alias("c")).where(F.col("c") >= least).select(F.lit(0).alias("kind"), F.lit(BEGIN).cast("long").alias("code"), "c")
-    entries = frequent.select(F.lit(0).alias("kind"), F.col("w").alias("code"), "c").unionByName(begin)
-    entries = entries.unionByName(pairs.select(F.lit(1).alias("kind"), F.col("p").alias("code"), "c")).unionByName(mass.select(F.lit(2).alias("kind"), F.col("first").alias("code"), "c"))
-    model = spark.sparkContext.broadcast(build_filter(entries.mapInArrow(coded, "code long, c long"), least))
+    n, v = token_counts(rows.where(~F.col("held")), "text").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     chunks = max(1, -(-n // chunk_tokens))
     parts = max(1, min(chunks, 100_000))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
 
-    def wanted(batches):
-        seen: dict[int, list[np.ndarray]] = {}
-        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
-            chunk = batch.column(0).to_numpy(zero_copy_only=False)
-            codes, sizes = batch_codes(batch.column(1))
-            of = np.repeat(chunk, sizes)
-            for c in np.unique(chunk).tolist():
-                seen.setdefault(c, []).append(np.unique(codes[of == c]))
-        for c, some in seen.items():
-            w = np.unique(np.concatenate(some))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), c, np.int32)), pa.array(w.view(np.int64))], ["chunk", "w"])
-
-    asked = dealt.select("chunk", "text").mapInArrow(wanted, "chunk int, w long").join(counts, "w").select("chunk", "w", "c").repartition(parts, "chunk")
+    def coded(t):
+        """Words and pairs of a chunk as by ``by_shard``, the size of each text, and whether each code is of a training text."""
+        parts_ = [batch_codes(b.column(0)) for b in t.select(["text"]).to_batches(max_chunksize=500)]
+        codes, sizes = np.concatenate([c for c, _ in parts_]), np.concatenate([s for _, s in parts_])
+        train = np.repeat(~t["held"].to_numpy().astype(bool), sizes)
+        return by_shard(codes, chunks), by_shard(pair_code(before(codes, sizes), codes), chunks), sizes, train
+
+    def ask(key, t):
+        release_others(__name__)
+        *kinds, _, train = coded(t)
+        out: dict[str, list] = {}
+        for name, (unique, at, begin) in zip(("w", "p"), kinds, strict=True):
+            count = np.bincount(at[train], minlength=len(unique)).astype("<u4")
+            cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+            out[name] = [unique[s:e].tobytes() for s, e in cuts]
+            out[f"{name}_count"] = [count[s:e].tobytes() for s, e in cuts]
+        has = [k for k in range(chunks) if out["w"][k] or out["p"][k]]
+        return pa.table({"shard": pa.array(has, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(has), pa.int32()), **{k: pa.array([x[i] for i in has], pa.binary()) for k, x in out.items()}})
+
+    def answer(key, t):
+        release_others(__name__)
+        out = {}
+        for name in ("w", "p"):
+            parts_ = t[name].to_pylist()
+            unique, at = np.unique(np.frombuffer(b"".join(parts_), "<u8"), return_inverse=True)
+            total = np.zeros(len(unique), dtype=np.int64)
+            np.add.at(total, at, np.frombuffer(b"".join(t[f"{name}_count"].to_pylist()), "<u4").astype(np.int64))
+            if name == "p":
+                seen = total > 0
+                total = np.minimum(LogFrequencyFilter.of(unique[seen], total[seen]).found(unique), 255)
+            got = total[at].astype("<i8" if name == "w" else "u1")
+            ends = np.cumsum([len(x) // 8 for x in parts_])
+            out[name] = pa.array([got[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
+        return pa.table({"chunk": t["chunk"], "shard": t["shard"], **out})
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, w binary, w_count binary, p binary, p_count binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, shard int, w binary, p binary").repartition(parts, "chunk")
     kind = dict(rows.dtypes)["id"]
 
-    def scored(key, t, dictionary):
-        order = np.argsort(dictionary["w"].to_numpy().view(np.uint64)) if dictionary.num_rows else np.empty(0, np.int64)
-        w = dictionary["w"].to_numpy().view(np.uint64)[order] if dictionary.num_rows else np.empty(0, np.uint64)
-        c = dictionary["c"].to_numpy()[order] if dictionary.num_rows else np.empty(0, np.int64)
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for part in t.select(["text"]).to_batches(max_chunksize=500):
-            codes, sizes = batch_codes(part.column(0))
-            unique, at = np.unique(codes, return_inverse=True)
-            of = np.zeros(len(unique), dtype=np.int64)
-            if len(w):
-                place = np.minimum(np.searchsorted(w, unique), len(w) - 1)
-                of = np.where(w[place] == unique, c[place], 0)
-            count = of[at]
-            alone = (count + 1) / (n + v + 1)
-            prev = before(codes, sizes)
-            first, back = np.unique(prev, return_inverse=True)
-            context, share = model.value.count(mixed(first, ONE)), model.value.count(mixed(first, MASS))
-            share = np.divide(share, context, out=np.zeros_like(share), where=context > 0).clip(0, 0.95)
-            pair = np.zeros(len(codes))
-            has = share[back] > 0
-            both, where = np.unique(pair_code(prev[has], codes[has]), return_inverse=True)
-            pair[has] = model.value.count(both)[where]
-            seen = np.divide(pair, context[back], out=np.zeros_like(pair), where=context[back] > 0)
-            smooth = np.minimum(seen, 0.95) * 0.95 + (1 - 0.95 * share[back]) * alone
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            out["n_tokens"].append(sizes)
-            out["n_known"].append(np.add.reduceat((count > 0).astype(np.int64), begin))
-            out["base_score"].append(np.add.reduceat(np.log10(alone), begin))
-            out["score"].append(np.add.reduceat(np.log10(np.minimum(smooth, 1.0)), begin))
-        made = {k: pa.array(np.concatenate(x)) if x else pa.array([], pa.int64() if k[0] == "n" else pa.float64()) for k, x in out.items()}
-        return pa.table({"id": t["id"], "held_out": t["held"], **{k: made[k] for k in ("n_tokens", "n_known")}, "train_tokens": pa.array(np.full(t.num_rows, n, np.int64)), "base_score": made["base_score"], "score": made["score"]})
-
-    got = dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def scored(key, t, told):
+        (_, word_at, _), (_, pair_at, _), sizes, _ = coded(t)
+        told = told.sort_by("shard")
+        count = np.frombuffer(b"".join(told["w"].to_pylist()), "<i8")[word_at]
+        pair = LogFrequencyFilter.middle(np.frombuffer(b"".join(told["p"].to_pylist()), "u1").astype(np.int64))[pair_at]
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        context = np.empty_like(count)
+        context[1:] = count[:-1]
+        context[begin] = count[ends - 1]  # as many texts begin as end
+        alone = (count + 1) / (n + v + 1)
+        seen = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
+        share = np.where(context > 0, 0.95, 0.0)  # every pair is kept, so a known context's are all its mass
+        smooth = np.minimum(seen, 0.95) * 0.95 + (1 - 0.95 * share) * alone
+        made = {"n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64))}
+        made |= {"base_score": pa.array(np.add.reduceat(np.log10(alone), begin)), "score": pa.array(np.add.reduceat(np.log10(np.minimum(smooth, 1.0)), begin))}
+        return pa.table({"id": t["id"], "held_out": t["held"], **made})
+
+    got = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return got.withColumnRenamed("id", id_col)

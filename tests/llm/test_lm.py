@@ -51,3 +51,30 @@ def test_filter_counts_within_a_step(spark):
     assert close.mean() > 0.98 and (got >= count / lm.BASE).all()  # never below: no false negatives
     absent = f.count(r.integers(1 << 62, size=20000).astype(np.uint64))
     assert (absent > 0).mean() < 0.02
+
+
+def test_rare_pairs_of_a_large_corpus_count(spark):
+    """Every pair counts, also in a corpus of over a million tokens: against exact counts of all pairs."""
+    r = np.random.default_rng(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rare = [[f"r{k}w{x}" for x in range(40)] for k in range(30)]  # each pair in one training text
+    train, out = (iter([i for i in range(400) if held(i) == h]) for h in (False, True))
+    rows = [(next(train), " ".join(w)) for w in rare] + [(next(out), " ".join(w)) for w in rare]
+    rows += [(next(train), " ".join(f"c{x}" for x in r.integers(300, size=20_000))) for _ in range(110)]
+    c, pairs = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = ["<", *t.split(), ">"]
+            c.update(w)
+            pairs.update(zip(w[:-1], w[1:]))
+    n, v = sum(c.values()) - c["<"], len(c) - 1
+    assert n > 2_000_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x.doc_id: x for x in lm.score_documents(docs, chunk_tokens=300_000).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        w = ["<", *t.split(), ">"]
+        alone = [(c[b] + 1) / (n + v + 1) for b in w[1:]]
+        exact = [0.95 * min(0.95, pairs[a, b] / c[a] if c[a] else 0) + (1 - 0.95 * (0.95 if c[a] else 0)) * p for a, b, p in zip(w[:-1], w[1:], alone)]
+        assert got[i].train_tokens == n
+        assert got[i].score == pytest.approx(sum(map(math.log10, exact)), abs=len(exact) * math.log10(lm.BASE) * 0.5 + 1e-6), i
