@@ -5,6 +5,14 @@ directions, drawn anew for the pass; vectors are ordered lexicographically by th
 bits, and each is compared in double precision with the next rows of the order, a bounded window.
 The verified pairs of all passes are united to components.
 
+How likely a pass misses a partner depends on how dense a vector's neighbourhood is, so it is
+measured: all that share more leading bits with a vector than the row one window away does stand
+within its window. From these bits, and from how near their planes are to the vector, each pass
+gives each vector its chance to miss a partner at the threshold. Vectors whose chances over all passes so far multiply to over ``MISS``
+stay open, and further passes, with new directions, order the open ones only. A pass counts nothing
+for rows at a partition's edge, whose windows reach into another task. Once the passes still needed
+would compare as many pairs as all of the open vectors have, these are compared all with all.
+
 A window can't hold all partners of a vector in a dense group. So the links of a component are
 counted afterwards within it: in a large component the vectors within half the threshold angle of
 its centre all link with each other, which the triangle inequality proves, and only the others are
@@ -13,6 +21,7 @@ compared, block by block, with all of it. Counts leave a block, never pairs.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -20,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import connected_components, forest, in_batches, matrix, whole_runs, written
+from keytide.llm.common import BATCH_ROWS, connected_components, forest, in_batches, matrix, whole_runs, written
 from keytide.llm.vectors import packed, usable
 
 #: Rows that a vector is compared with in each pass.
@@ -29,12 +38,16 @@ WINDOW = 128
 BITS = 63
 #: Share of pairs right at the threshold that all passes together may miss.
 MISS = 0.002
-#: Distinct vectors of a component that are compared as one block.
+#: Distinct vectors that are compared as one block.
 BLOCK = 1024
+#: Open vectors up to which all are compared with all.
+FEW = 8192
+#: Most passes between two looks at what is still open.
+AT_ONCE = 32
 
 
 def passes(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold has stood in a window with chance 1 - miss.
+    """Passes after which a pair at the threshold has stood in a window with chance 1 - miss, if vectors spread evenly.
 
     Two vectors share a bit with chance 1 - angle/pi, and stand in one window if they share about
     log2(n / window) leading bits.
@@ -47,36 +60,65 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def link_near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of ``df``.
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits of ``BITS`` that signatures share."""
+    x = a ^ b
+    high = x >> 32
+    return BITS - np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(x & 0xFFFFFFFF)[1])
 
-    ``n_links`` counts the other rows at cosine ``threshold`` or more, ``component_id`` is the
-    smallest id reachable over links. Null, zero and non-finite vectors link with nothing, nor do
-    vectors of different dimension. Repeated rows count as other rows. A null id keeps its row;
-    it is never a component's name and never kept. Only the two named columns are read.
+
+def agree(x: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
+    """For unit vectors and directions: the chance that a partner at the threshold, on any side, has the same sign.
+
+    The nearer a direction's plane is to the vector, the smaller. The partner's part across the
+    vector is spread like a normal variable; its distribution is taken from a series (7.1.26 of
+    Abramowitz and Stegun).
     """
-    vecs = packed(df, id_col, vec_col)
-    member = written(vecs.withColumn("node", F.xxhash64("v")))  # 64 bits name a vector
-    nodes = written(member.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")))
-    n = nodes.count()
-    rounds = passes(n, threshold)
+    m = x @ w
+    across = np.sqrt(np.maximum((w * w).sum(axis=0) - m * m, 1e-300) / max(1, len(w) - 1))
+    z = np.abs(m) * threshold / math.sqrt(1 - threshold * threshold) / across / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    return 1 - tail / 2
+
+
+def window_links(nodes: DataFrame, rounds: int, seed: list[int], threshold: float, stored: str) -> DataFrame:
+    """(a, b, miss) of ``rounds`` passes over ``nodes``: a verified link of a and b, or, where b is null, the logarithm of a's chance to miss a partner in a pass. ``stored`` is the type that holds all components exactly."""
+    def planes(p, dim):
+        return np.random.default_rng([*seed, p, dim]).standard_normal((dim, BITS))
 
     def order(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 rows = pa.Table.from_batches([batch]).filter(pa.array(dims == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, rounds * BITS))
                 x = matrix(rows["v"], dim)
-                bits = (x @ planes[dim] > 0).reshape(len(x), rounds, BITS)
-                sig = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                v = rows["v"] if stored == "<f8" else pa.array([r.tobytes() for r in x.astype(stored)], pa.binary())
                 for p in range(rounds):
-                    t = pa.table({"pass": pa.array(np.full(len(x), p, np.int32)), "dim": rows["dim"], "sig": pa.array(sig[:, p]), "node": rows["node"], "v": rows["v"]})
+                    sig = (x @ planes(p, dim) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    t = pa.table({"pass": pa.array(np.full(len(x), p, np.int32)), "dim": rows["dim"], "sig": pa.array(sig), "node": rows["node"], "v": v})
                     yield from t.combine_chunks().to_batches()
 
+    def chances(group, sig, x, start, stop, from_edge, to_end):
+        """(rows of start..stop that count, log of each one's chance to miss)."""
+        at = np.arange(start, stop)
+        behind = np.where(at >= WINDOW, shared_bits(sig[at], sig[np.maximum(at - WINDOW, 0)]) + 1, 0)
+        ahead = np.where(at + WINDOW < len(sig), shared_bits(sig[at], sig[np.minimum(at + WINDOW, len(sig) - 1)]) + 1, 0)
+        sure = np.ones(len(at), dtype=bool)
+        if from_edge:
+            sure &= at >= WINDOW
+        if not to_end:
+            sure &= at + WINDOW < len(sig)
+        at, bits = at[sure], np.maximum(behind, ahead)[sure]
+        w = planes(group >> 32, group & 0xFFFFFFFF)
+        agreed = np.concatenate([np.ones((len(at), 1)), np.cumprod(agree(x[at], w, threshold), axis=1), np.zeros((len(at), 1))], axis=1)
+        return at, np.log(np.maximum(1 - agreed[np.arange(len(at)), bits], 1e-40))
+
+    def told(node, at, miss):
+        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(miss)], ["a", "b", "miss"])
+
     def windows(batches):
+        # of the group at hand: its last rows, how many of these are told already, and whether it began at the partition's edge
         kept: dict = {}
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -86,9 +128,13 @@ def link_near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "
                 if a == b:
                     continue
                 g, dim = int(group[a]), int(group[a]) & 0xFFFFFFFF
-                node, x = t["node"].to_numpy()[a:b], unit(matrix(t["v"].slice(a, b - a), dim))
+                node, sig, x = t["node"].to_numpy()[a:b], t["sig"].to_numpy()[a:b], unit(matrix(t["v"].slice(a, b - a), dim, stored).astype(float))
                 if kept.get("group") == g:
-                    node, x = np.concatenate([kept["node"], node]), np.concatenate([kept["x"], x])
+                    node, sig, x = (np.concatenate([kept[k], y]) for k, y in (("node", node), ("sig", sig), ("x", x)))
+                else:
+                    if kept:
+                        yield told(kept["node"], *chances(kept["group"], kept["sig"], kept["x"], kept["told"], len(kept["sig"]), kept["edge"], True))
+                    kept = {"told": 0, "edge": not kept}
                 i, j = [], []
                 for s in range(0, len(node), WINDOW):
                     near = x[s : s + WINDOW] @ x[s : s + 2 * WINDOW].T
@@ -98,12 +144,73 @@ def link_near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "
                     j.append(q[ahead] + s)
                 label = forest(np.concatenate(i), np.concatenate(j), len(node))
                 other = np.flatnonzero(label != np.arange(len(node)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]])], ["a", "b"])
-                kept = {"group": g, "node": node[-WINDOW:], "x": x[-WINDOW:]}
+                yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]]), pa.nulls(len(other), pa.float64())], ["a", "b", "miss"])
+                stop = max(kept["told"], len(node) - WINDOW)
+                yield told(node, *chances(g, sig, x, kept["told"], stop, kept["edge"], False))
+                drop = max(0, len(node) - 2 * WINDOW)
+                kept = {"group": g, "node": node[drop:], "sig": sig[drop:], "x": x[drop:], "told": stop - drop, "edge": kept["edge"] and not drop}
+        # the last group may go on in the next partition, so its last window counts nothing
 
     sorted_ = nodes.select("node", "dim", "v").mapInArrow(order, "pass int, dim int, sig long, node long, v binary")
     sorted_ = sorted_.repartitionByRange("pass", "dim", "sig").sortWithinPartitions("pass", "dim", "sig", "node")
-    comps = connected_components(sorted_.mapInArrow(windows, "a long, b long"), "a", "b")
+    return sorted_.mapInArrow(windows, "a long, b long, miss double")
+
+
+def all_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b): links that join all of the ``n`` ``nodes`` at the threshold, found by comparing all with all in blocks."""
+    blocks = max(1, -(-n // BLOCK))
+    cells = nodes.select("node", "dim", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("k"))
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.select("dim", F.least("k", "o").alias("p"), F.greatest("k", "o").alias("q"), "node", "v")
+
+    def compare(batches):
+        for t in whole_runs(batches, ["dim", "p", "q"]):
+            dim, p, q = (t[k].to_numpy() for k in ("dim", "p", "q"))
+            new = np.flatnonzero((dim[1:] != dim[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(dim)], strict=True):
+                x, node = unit(matrix(t["v"].slice(s, e - s), int(dim[s]))), t["node"].to_numpy()[s:e]
+                label = forest(*np.nonzero(x @ x.T >= threshold), len(node))
+                other = np.flatnonzero(label != np.arange(len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]])], ["a", "b"])
+
+    return cells.repartition("dim", "p", "q").sortWithinPartitions("dim", "p", "q").mapInArrow(compare, "a long, b long")
+
+
+def found_links(nodes: DataFrame, n: int, threshold: float, seed: int, stored: str) -> DataFrame:
+    """(a, b): links of the ``n`` ``nodes``; a link at the threshold is missed with a chance of ``MISS`` at most."""
+    links, missed, open_, need, turn = [], None, nodes, passes(n, threshold), 0
+    while n > max(FEW, 2 * WINDOW * need):
+        rounds = min(need, AT_ONCE)
+        out = written(window_links(open_, rounds, [seed, turn], threshold, stored))
+        links.append(out.where("b is not null").select("a", "b"))
+        now = out.where("b is null").select(F.col("a").alias("node"), "miss")
+        now = now.unionByName(missed.join(open_.select("node"), "node", "left_semi")) if missed is not None else now
+        missed = written(now.groupBy("node").agg(F.sum("miss").alias("miss")))
+        left = open_.join(missed, "node", "left").withColumn("miss", F.coalesce("miss", F.lit(0.0))).where(F.col("miss") > math.log(MISS))
+        open_, turn = written(left.select("node", "dim", "v", "miss")), turn + rounds
+        n, mean = open_.agg(F.count("*"), F.avg("miss")).first()
+        open_ = open_.select("node", "dim", "v")
+        if n:
+            need = max(4, math.ceil((math.log(MISS) - mean) / min(mean / turn, -1e-9)))
+    if n:
+        links.append(all_links(open_, n, threshold))
+    return functools.reduce(DataFrame.unionByName, links) if links else nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+
+def link_near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row of ``df``.
+
+    ``n_links`` counts the other rows at cosine ``threshold`` or more, ``component_id`` is the
+    smallest id reachable over links. Null, zero and non-finite vectors link with nothing, nor do
+    vectors of different dimension. Repeated rows count as other rows. A null id keeps its row;
+    it is never a component's name and never kept. Only the two named columns are read.
+    """
+    vecs = packed(df, id_col, vec_col)
+    member = written(vecs.withColumn("node", F.xxhash64("v")))  # 64 bits name a vector
+    nodes = written(member.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")))
+    n = nodes.count()
+    stored = "<f4" if dict(df.dtypes)[vec_col] == "array<float>" else "<f8"
+    comps = connected_components(found_links(nodes, n, threshold, seed, stored), "a", "b")
     grouped = written(nodes.join(comps, "node").select("node", "component", "low", "copies", "dim", "v"))
     counted = count_links(grouped, threshold)
     rooted = nodes.select("node", "low", "copies").join(grouped.select("node", "component"), "node", "left").withColumn("root", F.coalesce("component", "node"))

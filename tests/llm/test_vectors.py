@@ -83,3 +83,25 @@ def test_exact_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = [(x["rank"], x.vec_id) for x in ann.nearest(df, df.vec_id == 20, 5).collect()]
     assert sorted(got) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_pairs_in_a_dense_group_are_found(spark):
+    """A third of the rows in one group at cosines of 0.9 among themselves, with planted pairs at 0.955."""
+    r = np.random.default_rng(9)
+    n, dim, planted = 45_000, 64, 600
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(r.standard_normal(dim))
+    aside = lambda x, c: unit(x - (x * c).sum(axis=-1, keepdims=True) * c)
+    group = math.sqrt(0.9) * centre + math.sqrt(0.1) * aside(r.standard_normal((n // 3, dim)), centre)
+    of = group[:planted]
+    copies = 0.955 * of + math.sqrt(1 - 0.955**2) * aside(r.standard_normal((planted, dim)), of)
+    x = np.concatenate([group, copies, r.standard_normal((n - len(group) - planted, dim))]).astype("<f4")
+    y = unit(x[: len(group) + planted].astype(float))
+    link = np.concatenate([y[s : s + 1000] @ y.T >= 0.95 for s in range(0, len(y), 1000)])
+    count = link.sum(axis=1) - 1
+    assert (count[:planted] > 0).mean() > 0.9
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    got = {z.vec_id: z.n_links for z in embed_dedup.link_near_duplicates(df).collect()}
+    assert len(got) == n
+    lost = sum(count[i] - got[i] for i in range(len(y)))
+    assert lost <= 0.005 * count.sum()
