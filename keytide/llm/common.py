@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,29 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share; a temporary one only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keytide-checkpoint-"))
+    if named is None and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="keytide-checkpoint-"))
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
+    """``df`` written as Parquet into the shared folder and read again: its lineage is cut there.
 
-    For larger intermediate tables: columnar and compressed, which a checkpoint is not.
+    ``dropped`` deletes such a table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keytide-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` returned and that nothing reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 #: What each module keeps in a worker beyond a task, and how to let go of it.
@@ -93,7 +100,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     Edges never leave the executors; only a count and a checksum a round reach the driver.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    e = cut(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u != v").distinct())
+    e = written(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u != v").distinct())
     check = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = check(e)
     for _ in range(rounds):
@@ -104,7 +111,8 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        dropped(before)
         now = check(e)
         if now == seen:
             break
@@ -128,6 +136,35 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def bounded_runs(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(table, False) of whole runs of equal keys, or (table, True) of a piece of a run of over ``most`` rows.
+
+    Rows come sorted by ``key``. At most about ``most`` rows and two batches are held.
+    """
+    held: list[pa.Table] = []
+    long, last = False, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        c = t[key].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[last is None or last != c[0]], c[1:] != c[:-1]]))
+        last = c[-1]
+        first, end = (int(starts[0]), int(starts[-1])) if len(starts) else (t.num_rows, t.num_rows)
+        held.append(t.slice(0, first))
+        if sum(x.num_rows for x in held) > most or long and len(starts):
+            if any(x.num_rows for x in held):
+                yield pa.concat_tables(held), True
+            held, long = [], not len(starts)
+        if len(starts):
+            whole = pa.concat_tables([*held, t.slice(first, end - first)])
+            if whole.num_rows:
+                yield whole, False
+            held, long = [t.slice(end)], False
+    if any(x.num_rows for x in held):
+        yield pa.concat_tables(held), long
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables cut from rows sorted by ``keys`` so that no run of equal keys is split between two."""
     held: list[pa.Table] = []
