@@ -1,11 +1,13 @@
 """Personal data by patterns and by bootstrapped contexts, with DataFrame functions only.
 
-Base spans come from four fixed patterns. They are the seeds of a bootstrap: the two words before a
-seed are a lexical pattern, and patterns and the identifiers they precede form a graph. Confidence
-runs over it in turns, as a pattern is as good as the identifiers it precedes and as seldom as
-anything else follows it, and an identifier is as good as its patterns together. Patterns that end
-up with high confidence and enough different seeds mark number-like strings that no base pattern
-took.
+Base spans come from four fixed patterns. They are the seeds of a bootstrap, and so are, with less
+weight, strings in the form of a digest or an access key. The words around a seed induce lexical
+patterns: the two words before, the one before, the one after. Patterns and the identifiers that
+stand in them form a graph, over which confidence runs in turns. A pattern is as good as the known
+identifiers in it and as seldom as its words stand anywhere else, and needs several of them; an
+identifier is as good as its patterns together. Identifiers that become known support further
+patterns in the next turn. Patterns with high confidence mark the strings in them that no base
+pattern took: number-like ones, key-like ones (kind ``secret``) and written-out addresses.
 
 Positions are found without leaving the engine: splitting a text by a pattern gives the stretches
 between its matches, whose lengths add up to the matches' places in code points.
@@ -18,9 +20,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import written
+from keytide.llm.common import dropped, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds, in the order of spans that start at one place; the last is only ever discovered.
+ALL_KINDS = (*KINDS, "secret")
 #: The base patterns. A match can't start later in a run of characters that its first part takes
 #: whole, so matches start where a run starts (or where the last match ended), and repeats are
 #: possessive: the same matches in one pass, for texts with runs of any length.
@@ -30,16 +34,30 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Number-like strings that a context may mark.
-CANDIDATE = r"(?<![A-Za-z0-9])(?:[A-Za-z]{1,3}|[(+])?[0-9][0-9().\x20-]{3,}[0-9](?![A-Za-z0-9])"
+#: Strings that a context may mark: key-like ones (letters and digits), else number-like ones.
+KEY = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}+"
+CANDIDATE = KEY + r"|(?<![A-Za-z0-9])(?:[A-Za-z]{1,3}|[(+])?[0-9][0-9().\x20-]{3,}[0-9](?![A-Za-z0-9])"
+#: Addresses with a bracketed "at".
+AT = r"[(\[{]\x20?+[Aa][Tt]\x20?+[)\]}]"
+ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+{AT}\x20?+[A-Za-z0-9-]++(?:\x20?+(?:\.|[(\[{{]\x20?+[Dd][Oo][Tt]\x20?+[)\]}}])\x20?+[A-Za-z0-9-]++)++"
+#: Key-like strings whose form alone makes them seeds: digests in hexadecimal digits, access keys.
+SECRET_FORM = r"^(?:(?:[0-9a-f]{32}|[0-9A-F]{32})(?:[0-9a-f]{8}|[0-9A-F]{8}|[0-9a-f]{32}|[0-9A-F]{32})?|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36})$"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-SPACE = r"[\x20\x09-\x0D]"
-#: Characters before a match that its context is read from.
-REACH = 64
-#: Different seeds that a pattern must precede, its least confidence, and turns of the iteration.
-LEAST_SEEDS, LEAST_CONFIDENCE, TURNS = 5, 0.5, 3
-#: Digits that a discovered identifier of a kind may have.
-DIGITS = {"email": (0, 0), "ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: Where a word starts.
+START = rf"(?:^|(?<={SPACE}))"
+#: The last one or two words before a match and the first after it; quotes and brackets at the match don't count.
+BEFORE = rf"((?:{START}{WORD}++{SPACE}++)?{START}{WORD}++){SPACE}*+[\"'(\[<{{]*+$"
+AFTER = rf"^[\"')\]>}}]*+{SPACE}*+({WORD}++)"
+#: Turns of the iteration, the least confidence that counts, and the number of different known
+#: identifiers at which a pattern has half of its full confidence.
+TURNS, LEAST_CONFIDENCE, HALF = 3, 0.5, 3
+#: Confidence of a seed that only has the form of a secret.
+FORM_CONFIDENCE = 0.8
+#: Digits that a discovered identifier of a number-like kind may have.
+DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
+#: Patterns up to which their words' hashes (8 MB) are broadcast to the scan; beyond, all words and pairs are counted and joined.
+LISTED = 1_000_000
 
 
 def digits(x: Column) -> Column:
@@ -70,10 +88,10 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def placed(df: DataFrame, name: str, pattern: str, gate: Column, keep=None) -> DataFrame:
-    """Adds column ``name``: array of (s, e, v, ctx) of the matches in ``text``, in order.
+    """Adds column ``name``: array of (s, e, v, before, after) of the matches in ``text``, in order.
 
-    ``s`` and ``e`` are code points, ``ctx`` is the two lower-case words before. One step a column,
-    so that no expensive expression is evaluated twice.
+    ``s`` and ``e`` are code points; ``before`` and ``after`` are the lower-case words around, as far
+    as the matches next to it. One step a column, so that no expensive expression is evaluated twice.
     """
     none = F.array().cast("array<string>")
     df = df.withColumn("_m", F.when(gate, F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(none))
@@ -83,17 +101,29 @@ def placed(df: DataFrame, name: str, pattern: str, gate: Column, keep=None) -> D
 
     def one(v: Column, i: Column) -> Column:
         s = total(F.col("_n"), i + 1) + total(F.col("_k"), i)
-        near = F.regexp_extract(F.right(F.get("_p", i), F.lit(REACH)), rf"((?:^|(?<={SPACE}))[^\x20\x09-\x0D]+{SPACE}+[^\x20\x09-\x0D]+){SPACE}+$", 1)
-        ctx = F.lower(F.regexp_replace(near, rf"{SPACE}+", " "))
-        return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), ctx.alias("ctx"))
-
-    found = F.when(F.size("_m") > 0, F.transform("_m", one)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,ctx:string>>"))
+        before = F.lower(F.regexp_replace(F.regexp_extract(F.get("_p", i), BEFORE, 1), rf"{SPACE}+", " "))
+        after = F.lower(F.regexp_extract(F.get("_p", i + 1), AFTER, 1))
+        return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), before.alias("before"), after.alias("after"))
+
+    if keep is not None:  # matches that don't count still bound the words around others
+        one_ = lambda v, i: F.when(keep(v), one(v, i))
+    else:
+        one_ = one
+    found = F.when(F.size("_m") > 0, F.transform("_m", one_)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,before:string,after:string>>"))
     df = df.withColumn(name, found)
     if keep is not None:
-        df = df.withColumn(name, F.filter(name, lambda x: keep(x["v"])))
+        df = df.withColumn(name, F.filter(name, lambda x: x.isNotNull()))
     return df.drop("_m", "_p", "_n", "_k")
 
 
+def fitting(v: Column) -> Column:
+    """The kinds that a candidate may be discovered as."""
+    n = F.length(digits(v))
+    key, address = v.rlike(rf"^(?:{KEY})$"), v.rlike(AT)
+    kinds = [F.when(address, "email"), *(F.when(~key & ~address & n.between(*DIGITS[k]), k) for k in DIGITS), F.when(key & (n >= 4), "secret")]
+    return F.array_compact(F.array(*kinds))
+
+
 def base_spans(df: DataFrame) -> DataFrame:
     """Adds ``h``, a hash of the text, an array of matches for each kind, and ``other``, free candidates.
 
@@ -104,60 +134,90 @@ def base_spans(df: DataFrame) -> DataFrame:
     gates = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     for kind in KINDS:
         df = placed(df, kind, PATTERNS[kind], gates.get(kind, F.lit(True)), lambda v, kind=kind: valid(kind, v))
-    df = placed(df, "other", CANDIDATE, F.lit(True)).withColumn("taken", F.flatten(F.array(*KINDS)))
-    free = F.filter("other", lambda c: ~F.exists("taken", lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"])) & F.length(digits(c["v"])).between(4, 19))
-    return df.withColumn("other", free).drop("taken")
+    df = placed(df, "loose", CANDIDATE, F.lit(True))
+    df = placed(df, "written", ADDRESS, F.col("text").rlike(AT))
+    df = df.withColumn("taken", F.flatten(F.array(*KINDS))).withColumn("other", F.concat("loose", "written"))
+    free = F.filter("other", lambda c: ~F.exists("taken", lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"])) & (F.size(fitting(c["v"])) > 0))
+    return df.withColumn("other", free).drop("taken", "loose", "written")
+
+
+def patterns_of(x: Column) -> Column:
+    """The lexical patterns that an occurrence stands in: two words before, one before, one after; each has a letter."""
+    one = F.substring_index(x["before"], " ", -1)
+    two = F.when(F.contains(x["before"], F.lit(" ")), F.concat(x["before"], F.lit(" _")))
+    every = F.array_compact(F.array(two, F.when(one != "", F.concat(one, F.lit(" _"))), F.when(x["after"] != "", F.concat(F.lit("_ "), x["after"]))))
+    return F.filter(every, lambda p: p.rlike(r"\p{L}"))
 
 
-def contexts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(ctx, seen): how often each wanted pair of words stands in the corpus before another word."""
+def graph(spans: DataFrame) -> DataFrame:
+    """(pattern, kind, v, n, seed): how often each identifier stands in a pattern, and its confidence as a seed."""
+    seeds = [spans.select(F.explode(k).alias("x"), F.lit(k).alias("kind"), F.lit(1.0).alias("seed")) for k in KINDS]
+    others = spans.select(F.explode("other").alias("x")).select("x", F.explode(fitting(F.col("x.v"))).alias("kind"))
+    form = F.when((F.col("kind") == "secret") & F.col("x.v").rlike(SECRET_FORM), FORM_CONFIDENCE).otherwise(0.0)
+    rows = reduce(DataFrame.unionByName, [*seeds, others.withColumn("seed", form)])
+    rows = rows.select(F.explode(patterns_of(F.col("x"))).alias("pattern"), "kind", F.col("x.v").alias("v"), "seed")
+    return rows.groupBy("pattern", "kind", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+
+
+def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(pattern, seen): how often each wanted pattern's words stand anywhere in the corpus.
+
+    Words are counted before anything large is joined.
+    """
+    part = F.split("bare", " ")
+    codes = wanted.withColumn("bare", F.regexp_replace("pattern", "^_ | _$", ""))
+    codes = codes.select("pattern", F.when(F.size(part) > 1, F.xxhash64(part[0], F.get(part, F.lit(1)))).otherwise(F.xxhash64(part[0])).alias("code"))
     words = F.filter(F.split(F.lower(F.col(text_col)), rf"{SPACE}+", -1), lambda w: w != "")
-    rows = docs.where(F.col(text_col).isNotNull()).select(words.alias("w")).where(F.size("w") > 2)
-    pairs = rows.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.xxhash64(a, b))).alias("code"))
-    coded = wanted.withColumn("code", F.xxhash64(F.split_part("ctx", F.lit(" "), F.lit(1)), F.split_part("ctx", F.lit(" "), F.lit(2))))
-    return pairs.join(coded, "code").groupBy("ctx").agg(F.count("*").alias("seen"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(words.alias("w")).where(F.size("w") > 0)
+    pairs = rows.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b")))).toDF("a", "b")
+    both = pairs.select(F.explode(F.array(F.xxhash64("a"), F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")))).alias("code")).where("code IS NOT NULL")
+    some = codes.select("code").distinct()
+    if some.count() <= listed:
+        both = both.join(F.broadcast(some), "code", "left_semi")  # its size is checked
+    counts = both.groupBy("code").agg(F.count("*").alias("seen"))
+    return codes.join(counts, "code").select("pattern", "seen")
 
 
 def trusted_patterns(docs: DataFrame, text_col: str, spans: DataFrame) -> DataFrame:
-    """(ctx, kind, confidence) of the patterns that may mark identifiers.
+    """(pattern, kind, confidence) of the patterns that may mark identifiers.
 
-    The graph holds each (pattern, identifier) pair with its count. A pattern's confidence is the
-    mean of its identifiers', weighted by count, times the share of the pattern's occurrences that
-    precede a number-like string at all. An identifier that is no seed gets 1 - prod(1 - c) over
-    its patterns.
+    A pattern's confidence is the sum of the confidence of the known identifiers in it, over all
+    occurrences of its words, times d / (d + ``HALF``) for d different ones. An identifier that is no
+    seed gets 1 - prod(1 - c) over its trusted patterns, and is known from ``LEAST_CONFIDENCE`` on.
     """
-    seeds = reduce(DataFrame.unionByName, [spans.select(F.explode(k).alias("x"), F.lit(k).alias("kind")).select("x.ctx", "x.v", "kind", F.lit(1.0).alias("seed")) for k in KINDS])
-    others = spans.select(F.explode("other").alias("x")).select("x.ctx", "x.v", F.lit(0.0).alias("seed"))
-    support = seeds.where("ctx != ''").groupBy("ctx", "kind").agg(F.countDistinct("v").alias("n")).where(F.col("n") >= LEAST_SEEDS)
-    support = written(support.select("ctx", "kind"))
-    if support.isEmpty():
-        return support.select("ctx", "kind", F.lit(0.0).alias("confidence"))
-    cues = support.select("ctx").distinct()
-    edges = seeds.join(support, ["ctx", "kind"]).unionByName(others.join(support, "ctx").select("ctx", "v", "kind", "seed"))
-    edges = written(edges.groupBy("ctx", "kind", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    seen = contexts(docs, text_col, cues)
-    slots = edges.groupBy("ctx", "kind").agg(F.sum("n").alias("slots")).join(seen, "ctx", "left")
-    share = written(slots.select("ctx", "kind", F.least(F.lit(1.0), F.col("slots") / F.greatest("slots", F.coalesce("seen", F.lit(0)))).alias("share")))
-    value = edges.select("kind", "v", "seed").groupBy("kind", "v").agg(F.max("seed").alias("c"))
+    first = written(graph(spans))
+    least = LEAST_CONFIDENCE * HALF / (1 - LEAST_CONFIDENCE)  # with fewer different ones none can be trusted
+    wanted = written(first.groupBy("pattern", "kind").agg(F.count("*").alias("d"), F.sum("n").alias("slots")).where(F.col("d") >= least).drop("d"))
+    nothing = wanted.select("pattern", "kind", F.lit(0.0).alias("confidence")).where("false")
+    if wanted.isEmpty():
+        return nothing
+    seen = occurrences(docs, text_col, wanted.select("pattern").distinct())
+    room = written(wanted.join(seen, "pattern", "left").select("pattern", "kind", F.greatest("slots", F.coalesce("seen", F.lit(0))).alias("seen")))
+    edges = written(first.join(room, ["pattern", "kind"]))
+    dropped(first, wanted, room)
+    seeds = edges.where("seed > 0").groupBy("kind", "v").agg(F.max("seed").alias("c"))
+    value, pattern, made = seeds, nothing, []
     for _ in range(TURNS):
-        pattern = edges.join(value, ["kind", "v"]).groupBy("ctx", "kind").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("mean"))
-        pattern = pattern.join(share, ["ctx", "kind"]).select("ctx", "kind", (F.col("mean") * F.col("share")).alias("confidence"))
+        support = edges.join(value.where(F.col("c") >= LEAST_CONFIDENCE), ["kind", "v"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("c")).alias("good"), F.count("*").alias("d"), F.max("seen").alias("seen"))
+        pattern = support.select("pattern", "kind", (F.col("good") / F.col("seen") * F.col("d") / (F.col("d") + HALF)).alias("confidence"))
+        pattern = written(pattern.where(F.col("confidence") >= LEAST_CONFIDENCE))
+        made.append(pattern)
         miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
-        value = edges.join(pattern, ["ctx", "kind"]).groupBy("kind", "v").agg(F.greatest(F.max("seed"), 1 - miss).alias("c"))
-        pattern, value = written(pattern), written(value)
-    return pattern.where(F.col("confidence") >= LEAST_CONFIDENCE)
+        value = edges.join(pattern, ["pattern", "kind"]).groupBy("kind", "v").agg((1 - miss).alias("c")).unionByName(seeds).groupBy("kind", "v").agg(F.max("c").alias("c"))
+    dropped(edges, *made[:-1])
+    return pattern
 
 
 def span(s: Column, e: Column, kind: Column, base: bool) -> Column:
-    order = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    order = F.array_position(F.array(*map(F.lit, ALL_KINDS)), kind).cast("int")
     return F.struct(s.cast("int").alias("s"), order.alias("order"), e.cast("int").alias("e"), kind.alias("kind"), F.lit(base).alias("base"))
 
 
 def discovered(spans: DataFrame, trusted: DataFrame) -> DataFrame:
     """(id2, h2, more): the spans that trusted patterns add to each row that has any."""
-    loose = spans.select("id", "h", F.explode("other").alias("x")).join(trusted, F.col("x.ctx") == trusted.ctx)
-    fits = reduce(lambda a, b: a | b, [(F.col("kind") == k) & F.length(digits(F.col("x.v"))).between(*DIGITS[k]) for k in KINDS])
-    best = loose.where(fits).groupBy("id", "h", F.col("x.s").alias("s"), F.col("x.e").alias("e")).agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    loose = spans.select("id", "h", F.explode("other").alias("x")).select("id", "h", "x", F.explode(patterns_of(F.col("x"))).alias("pattern")).join(trusted, "pattern")
+    loose = loose.where(F.array_contains(fitting(F.col("x.v")), F.col("kind")))
+    best = loose.groupBy("id", "h", F.col("x.s").alias("s"), F.col("x.e").alias("e")).agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     more = best.groupBy("id", "h").agg(F.collect_list(span(F.col("s"), F.col("e"), F.col("kind"), False)).alias("more"))
     return more.withColumnsRenamed({"id": "id2", "h": "h2"})
 
@@ -175,7 +235,8 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     """(id, spans array<struct<s, order, e, kind, base>>) of every row of ``docs``, by place and kind.
 
     A null text is empty. Base spans are the valid leftmost matches of each kind; discovered ones
-    (``base`` false) overlap none of them. Repeated rows stay, null ids too; only the two named
+    (``base`` false) overlap none of them, and one in a trusted pattern of several kinds is of that
+    with most confidence. Repeated rows stay, null ids too; only the two named
     columns are read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -205,9 +266,9 @@ def mask(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     without spans, null and empty ones too, stays as it is.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    spans = written(base_spans(rows.select("id", "text")).drop("text"))
+    spans = written(base_spans(rows))
     more = discovered(spans, trusted_patterns(docs, text_col, spans))
-    both = joined(base_spans(rows).drop("other"), more)
+    both = joined(spans.drop("other"), written(more))
 
     def step(t: Column, x: Column) -> Column:
         kept = F.when(x["s"] >= t["at"], F.concat(F.substring(F.col("text"), t["at"] + 1, x["s"] - t["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
