@@ -1,8 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is an interpolated bigram model. Its pair counts are quantised to steps of a logarithm,
+The model is an interpolated bigram model, in which single tokens have the weight of new pairs among
+all that were trained on, d / (n + d) for d different of n. Its pair counts are quantised to steps of a logarithm,
 and a pair with step q is stored in a Bloom filter as the entries (pair, 1) .. (pair, q). A count
-is read by probing for step 1, 2, 3, .. until an entry is missing.
+is read by probing for step 1, 2, 3, .. until an entry is missing, and taken to be the smallest of
+its last step. So the stored counts of a context's followers never add up to more than the context's
+own, and with single tokens' shares, which add up to one with one unknown word, neither do the
+probabilities; only a false positive of the filter (one pair in 2000) adds to them.
 
 Every pair of the training texts is in the filter, however rare. The filter is cut into shards by
 the pair's hash, as many as there are chunks of texts, so that a shard's size doesn't depend on the
@@ -25,7 +29,7 @@ from keytide.llm.common import in_batches, release_others, texts
 #: Base of the quantisation.
 BASE = 1.25
 #: Bits of the filter for each entry, and hash functions.
-ENTRY_BITS, HASHES = 12, 5
+ENTRY_BITS, HASHES = 16, 7
 #: Training tokens for each chunk of texts, and for each shard of the filter.
 CHUNK_TOKENS = 2_000_000
 #: Codes beside the words' hashes: the end and the begin of a text.
@@ -69,11 +73,6 @@ def before(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def filter_bits(floor: float, base: float = BASE, entry_bits: int = ENTRY_BITS) -> int:
-    """The most bits that a filter of ``build_filter`` can take: three kinds of counts over a share ``floor`` of all, each with bounded steps."""
-    return int(3 * entry_bits * base / (base - 1) / floor)
-
-
 class LogFrequencyFilter:
     """Quantised counts behind Bloom filter probes."""
 
@@ -105,13 +104,13 @@ class LogFrequencyFilter:
         return cls(np.packbits(bits, bitorder="little").view("<u8"), least, base)
 
     @staticmethod
-    def middle(step: np.ndarray, least: float = 1.0, base: float = BASE) -> np.ndarray:
-        """The count that a step stands for; 0 without one."""
-        return np.where(step > 0, least * base ** (step - 0.5), 0.0)
+    def least_count(step: np.ndarray, least: float = 1.0, base: float = BASE) -> np.ndarray:
+        """The smallest whole count of a step, which no count stored as it is below; 0 without one."""
+        return np.where(step > 0, np.ceil(least * base ** (step - 1.0) - 1e-9), 0.0)
 
     def count(self, code: np.ndarray) -> np.ndarray:
-        """Counts by repeated probes: the middle of the last step found, 0 without any."""
-        return self.middle(self.found(code), self.least, self.base)
+        """Counts by repeated probes: the smallest of the last step found, 0 without any."""
+        return self.least_count(self.found(code), self.least, self.base)
 
     def found(self, code: np.ndarray) -> np.ndarray:
         """The last step found of each code, 0 without any."""
@@ -154,28 +153,6 @@ def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np
     return unique[order], place[at], np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def build_filter(entries: DataFrame, least: float, base: float = BASE, entry_bits: int = ENTRY_BITS) -> LogFrequencyFilter:
-    """The filter of ``entries`` (code, c). Tasks set bits, an or unites them; only the filter is collected."""
-    steps = 1 + F.floor(F.log(F.greatest(F.col("c") / least, F.lit(1.0))) / float(np.log(base)) + 1e-9)
-    total = entries.agg(F.sum(steps)).first()[0] or 0
-    size = max(1, -(-int(total * entry_bits) // 64))
-
-    @in_batches
-    def run(batch):
-        code = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        q = LogFrequencyFilter.steps(batch.column(1).to_numpy(zero_copy_only=False), least, base)
-        row = np.repeat(np.arange(len(q)), q)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(q) - q, q) + 1
-        at = LogFrequencyFilter.places(code[row], step, size * 64).ravel()
-        return {"slot": pa.array((at >> np.uint64(6)).astype(np.int64)), "mask": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))}
-
-    united = entries.select("code", "c").mapInArrow(run, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    got = united.toArrow()
-    words = np.zeros(size, dtype=np.uint64)
-    words[got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
-    return LogFrequencyFilter(words, least, base)
-
-
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
@@ -206,8 +183,7 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
             out[name] = [unique[s:e].tobytes() for s, e in cuts]
             out[f"{name}_count"] = [count[s:e].tobytes() for s, e in cuts]
-        has = [k for k in range(chunks) if out["w"][k] or out["p"][k]]
-        return pa.table({"shard": pa.array(has, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(has), pa.int32()), **{k: pa.array([x[i] for i in has], pa.binary()) for k, x in out.items()}})
+        return pa.table({"shard": pa.array(range(chunks), pa.int32()), "chunk": pa.array([key[0].as_py()] * chunks, pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in out.items()}})
 
     def answer(key, t):
         release_others(__name__)
@@ -219,21 +195,22 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             np.add.at(total, at, np.frombuffer(b"".join(t[f"{name}_count"].to_pylist()), "<u4").astype(np.int64))
             if name == "p":
                 seen = total > 0
+                kinds = int(seen.sum())
                 total = np.minimum(LogFrequencyFilter.of(unique[seen], total[seen]).found(unique), 255)
             got = total[at].astype("<i8" if name == "w" else "u1")
             ends = np.cumsum([len(x) // 8 for x in parts_])
             out[name] = pa.array([got[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
-        return pa.table({"chunk": t["chunk"], "shard": t["shard"], **out})
+        return pa.table({"chunk": t["chunk"], "shard": t["shard"], **out, "kinds": pa.array(np.full(t.num_rows, kinds))})
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, w binary, w_count binary, p binary, p_count binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, shard int, w binary, p binary").repartition(parts, "chunk")
+    answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, shard int, w binary, p binary, kinds long").repartition(parts, "chunk")
     kind = dict(rows.dtypes)["id"]
 
     def scored(key, t, told):
         (_, word_at, _), (_, pair_at, _), sizes, _ = coded(t)
         told = told.sort_by("shard")
         count = np.frombuffer(b"".join(told["w"].to_pylist()), "<i8")[word_at]
-        pair = LogFrequencyFilter.middle(np.frombuffer(b"".join(told["p"].to_pylist()), "u1").astype(np.int64))[pair_at]
+        pair = LogFrequencyFilter.least_count(np.frombuffer(b"".join(told["p"].to_pylist()), "u1").astype(np.int64))[pair_at]
         ends = np.cumsum(sizes)
         begin = ends - sizes
         context = np.empty_like(count)
@@ -241,10 +218,11 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         context[begin] = count[ends - 1]  # as many texts begin as end
         alone = (count + 1) / (n + v + 1)
         seen = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-        share = np.where(context > 0, 0.95, 0.0)  # every pair is kept, so a known context's are all its mass
-        smooth = np.minimum(seen, 0.95) * 0.95 + (1 - 0.95 * share) * alone
+        new = sum(told["kinds"].to_pylist())  # different pairs of all training texts: so often a pair was new
+        weight = np.where(context > 0, n / max(1, n + new), 0.0)
+        smooth = weight * np.minimum(seen, 1.0) + (1 - weight) * alone
         made = {"n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64))}
-        made |= {"base_score": pa.array(np.add.reduceat(np.log10(alone), begin)), "score": pa.array(np.add.reduceat(np.log10(np.minimum(smooth, 1.0)), begin))}
+        made |= {"base_score": pa.array(np.add.reduceat(np.log10(alone), begin)), "score": pa.array(np.add.reduceat(np.log10(smooth), begin))}
         return pa.table({"id": t["id"], "held_out": t["held"], **made})
 
     got = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
