@@ -1,69 +1,74 @@
-"""UDP packets as a streaming source and sink, by the Python data source interface."""
+"""UDP packets: captured by executors into a shared folder, streamed from it, and sent.
+
+UDP can't be read again, so packets are first written down. Each port is received by one task,
+which writes a file every so often; a stream of these files is then replayable, and nothing goes
+through the driver.
+"""
 
 from __future__ import annotations
 
+import os
 import socket
 import time
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+#: Separates packets in a captured file.
+BETWEEN = "\0"
+
 
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StringType, StructField, StructType
+def bound_socket(host: str, port: int) -> socket.socket:
+    """A datagram socket on a port; "::" stands for any address, of IPv4 on a machine without IPv6."""
+    ways = [(socket.AF_INET6, "::"), (socket.AF_INET, "0.0.0.0")] if host == "::" else [(socket.AF_INET6 if ":" in host else socket.AF_INET, host)]
+    for k, (kind, name) in enumerate(ways):
+        try:
+            s = socket.socket(kind, socket.SOCK_DGRAM)
+            s.bind((name, port))
+            return s
+        except OSError:
+            if k == len(ways) - 1:
+                raise
+    raise ValueError(host)
 
 
-class UdpReader(SimpleDataSourceStreamReader):
-    """Receives datagrams on one port for a short while at each trigger; the offset counts packets.
+def capture(spark: SparkSession, ports: list[int], folder: str, seconds: float, host: str = "::", roll_seconds: float = 1.0) -> DataFrame:
+    """(port, packets): receives on each port for so long and writes what comes to ``folder``, which all executors share.
 
-    UDP can't be read again, so packets of a batch are held until it is committed: a restarted task
-    gets the same rows.
+    One task for each port. A file appears under its name only when it is complete. A task that
+    runs again goes on receiving; what the first attempt has written stays.
     """
 
-    def __init__(self, options):
-        self.port, self.wait = int(options.get("port", "55555")), float(options.get("waitSeconds", "0.2"))
-        self.host = options.get("host", "::")
-        self.socket = None
-        self.held: list[tuple[int, str]] = []
-
-    def initialOffset(self):
-        return {"packets": 0}
-
-    def receive(self) -> list[str]:
-        if self.socket is None:
-            self.socket = socket.socket(socket.AF_INET6, socket.SOCK_DGRAM)
-            self.socket.bind((self.host, self.port))
-        got, until = [], time.monotonic() + self.wait
-        while (left := until - time.monotonic()) > 0:
-            self.socket.settimeout(left)
-            try:
-                got.append(self.socket.recv(1 << 16).decode("ascii", "replace"))
-            except (TimeoutError, BlockingIOError):
-                break
-        return got
-
-    def read(self, start):
-        at = start["packets"]
-        rows = [(at + i, x) for i, x in enumerate(self.receive())]
-        self.held += rows
-        return iter([(x,) for _, x in rows]), {"packets": at + len(rows)}
-
-    def readBetweenOffsets(self, start, end):
-        return iter([(x,) for i, x in self.held if start["packets"] <= i < end["packets"]])
-
-    def commit(self, end):
-        self.held = [(i, x) for i, x in self.held if i >= end["packets"]]
-
-
-class UdpSource(DataSource):
-    """``spark.readStream.format("udp_packets").option("port", ..)``: one text row for each packet."""
-
-    @classmethod
-    def name(cls):
-        return "udp_packets"
-
-    def schema(self):
-        return StructType([StructField("value", StringType())])
-
-    def simpleStreamReader(self, schema):
-        return UdpReader(self.options)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for port in (ports[k] for k in pdf["id"].tolist()):
+                n, until = 0, time.monotonic() + seconds
+                with bound_socket(host, port) as s:
+                    while (now := time.monotonic()) < until:
+                        got, turn = [], min(until, now + roll_seconds)
+                        while (left := turn - time.monotonic()) > 0:
+                            s.settimeout(left)
+                            try:
+                                got.append(s.recv(1 << 16).decode("ascii", "replace"))
+                            except (TimeoutError, BlockingIOError):
+                                break
+                        if got:
+                            os.makedirs(folder, exist_ok=True)
+                            name = f"{port}-{time.time_ns()}-{uuid.uuid4().hex}"
+                            with open(f"{folder}/.{name}", "w") as f:
+                                f.write(BETWEEN.join(got))
+                            os.replace(f"{folder}/.{name}", f"{folder}/{name}")
+                            n += len(got)
+                yield pd.DataFrame({"port": [port], "packets": [n]})
+
+    return spark.range(0, len(ports), 1, len(ports)).mapInPandas(run, "port int, packets long")
+
+
+def captured(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the packets (value) that ``capture`` writes to ``folder``."""
+    return spark.readStream.option("lineSep", BETWEEN).text(folder)
 
 
 def send_packets(packets: DataFrame, peers: list[str]) -> None:

@@ -190,30 +190,29 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 
 def test_udp(spark, tmp_path):
-    port = 0
-    with socket.socket(socket.AF_INET6, socket.SOCK_DGRAM) as s:
-        s.bind(("::1", 0))
-        port = s.getsockname()[1]
-    spark.dataSource.register(udp.UdpSource)
-    packets = spark.readStream.format("udp_packets").option("port", port).option("host", "::1").load()
-    q = packets.writeStream.format("memory").queryName("udp_rows").option("checkpointLocation", str(tmp_path / "cp")).start()
-    sent = streams.to_packets(spark.range(200).select(F.col("id").alias("idx"), F.col("id").alias("key"), F.lit(1).alias("value"), F.lit(0).alias("truth"))).cache()
-    sent.count()
-    stop = threading.Event()
-
-    def keep_sending():
-        while not stop.is_set():
-            udp.send_packets(sent, [f"::1@{port}"])
-            time.sleep(0.5)
-
-    t = threading.Thread(target=keep_sending, daemon=True)
+    ports = []
+    for _ in range(2):
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            s.bind(("127.0.0.1", 0))
+            ports.append(s.getsockname()[1])
+    folder = str(tmp_path / "packets")
+    os.makedirs(folder)
+    q = udp.captured(spark, folder).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).start()
+    sent = streams.to_packets(spark.range(200).select(F.col("id").alias("idx"), F.col("id").alias("key"), F.lit(1).alias("value"), F.lit(0).alias("truth"))).coalesce(1).cache()
+    assert sent.count() == 4
+    got = []
+    t = threading.Thread(target=lambda: got.extend(udp.capture(spark, ports, folder, 8.0, host="127.0.0.1").collect()))
     t.start()
-    for _ in range(60):
-        time.sleep(1)
-        if spark.sql("SELECT * FROM udp_rows").distinct().count() == 4:
-            break
-    stop.set()
+    for _ in range(12):
+        time.sleep(0.5)
+        udp.send_packets(sent, [f"127.0.0.1@{p}" for p in ports])
     t.join()
+    q.processAllAvailable()
     q.stop()
-    rows = streams.parse_packets(spark.sql("SELECT DISTINCT value FROM udp_rows"))
+    assert {r.port for r in got} == set(ports) and all(r.packets > 2 for r in got)
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.count() == sum(r.packets for r in got)
+    rows = streams.parse_packets(kept.distinct())
     assert rows.count() == 200 and rows.agg(F.sum("key")).first()[0] == sum(range(200))
+    with udp.bound_socket("::", 0) as s:  # any address, whether or not there is IPv6
+        assert s.getsockname()[1] > 0
