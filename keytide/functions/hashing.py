@@ -97,6 +97,21 @@ def evahash(keys: np.ndarray, seed: int) -> np.ndarray:
     return state[2]
 
 
+def hashlittle(keys: np.ndarray, seed: int = 12345) -> np.ndarray:
+    """Jenkins' later 32-bit hash (of his third lookup function) of each key's eight little-endian bytes."""
+    k = keys.astype(np.uint64)
+    start = np.uint64(0xDEADBEEF + 8 + seed & 0xFFFFFFFF)
+    a, b, c = start + (k & MASK32) & MASK32, start + (k >> np.uint64(32)) & MASK32, np.full(len(k), start)
+    state = [c, a, b]
+    # seven rounds: the next word takes the one before and that, turned to the left
+    for turn, shift in enumerate((14, 11, 25, 16, 4, 14, 24)):
+        i = turn % 3
+        other = state[i - 1]
+        turned = (other << np.uint64(shift) | other >> np.uint64(32 - shift)) & MASK32
+        state[i] = (state[i] ^ other) - turned & MASK32
+    return state[0]
+
+
 def numpy_udf(fn, **options):
     """A pandas UDF long -> long (bit pattern) of a numpy function on unsigned keys."""
 
@@ -140,3 +155,8 @@ def key_in_cone(key: Column, cones: int, bits: int = KEY_BITS) -> Column:
 def partition_of(key: Column, parts: int) -> Column:
     """The worker of a key under the modulo rule."""
     return F.pmod(key, F.lit(parts))
+
+
+def hashed_partition_of(key: Column, parts: int, seed: int = 12345) -> Column:
+    """The worker of a key under the hash rule."""
+    return F.pmod(numpy_udf(hashlittle, seed=seed)(key), F.lit(parts))

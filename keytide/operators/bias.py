@@ -1,11 +1,13 @@
 """Bias detection: does a key's value stay rare over its first T occurrences?
 
 ``classify`` looks at whole streams. ``lru_epochs`` first cuts a key's occurrences where a bounded
-table would have forgotten it. ``assemble`` builds inner keys from outer keys' parts.
+table would have forgotten it. ``assemble`` builds inner keys from outer keys' parts,
+``assemble_bounded`` does so with a bounded table of outer keys.
 """
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keytide.operators.reports import running_sum
+
 T_DEFAULT, M_DEFAULT = 24, 4
 
 
@@ -44,37 +48,72 @@ def stats(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("datums"), F.count("*").alias("unique_keys"), F.max("n").alias("max_occurrence"))
 
 
-def lru_epochs(stream: DataFrame, capacity: int, shards: int) -> DataFrame:
+def lru_epochs(stream: DataFrame, capacity: int, shards: int, block_rows: int | None = None) -> DataFrame:
     """The stream with ``shard`` and ``epoch``: how often a table of ``capacity`` keys had met the key anew.
 
     Each shard (key modulo ``shards``) has a table of its own, as each worker of a parallel run
-    does; one shard is one global table, which only one task can follow. A task reads its shards in
-    order of idx and holds ``capacity`` keys and the epochs of keys once forgotten.
+    does; one shard is one global table. A shard's order is cut into blocks that run in parallel.
+    What the table holds where a block begins is known from each block's ``capacity`` last
+    different keys, which one pass per shard over these short lists tells; a block's task holds
+    ``capacity`` keys and the counts of the block's own.
     """
+    block_rows = block_rows or max(1 << 16, 16 * capacity)
     cols = stream.columns
-    out = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes) + ", shard int, epoch int"
+    dealt = stream.select(*cols, F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("idx") / block_rows).alias("_block"))
+    last = dealt.groupBy("shard", "_block", "key").agg(F.max("idx").alias("idx"))
+    latest = W.partitionBy("shard", "_block").orderBy(F.desc("idx"))
+    last = last.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= capacity).drop("_n")
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What the table holds before each block, from the blocks' last keys in order."""
+        live, at = pd.DataFrame({"key": [], "idx": []}, dtype="int64"), None
+        part: list[pd.DataFrame] = []
+        name = None
+
+        def closed():
+            nonlocal live
+            if name[0] != at:
+                live = live.iloc[:0]
+            yield live.assign(shard=name[0], _block=name[1])
+            live = pd.concat([live, *part]).drop_duplicates("key", keep="last").tail(capacity)
+
+        for pdf in batches:
+            for now, rows in pdf.groupby(["shard", "_block"], sort=False):
+                if name is not None and now != name:
+                    yield from closed()
+                    part, at = [], name[0]
+                name = now
+                part.append(rows[["key", "idx"]])
+        if name is not None:
+            yield from closed()
+
+    begin = last.repartition(shards, "shard").sortWithinPartitions("shard", "_block", "idx").mapInPandas(starts, "key long, idx long, shard int, _block long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         live: OrderedDict = OrderedDict()
-        epochs: dict[int, int] = {}
         at = None
         for pdf in batches:
-            got = []
-            for shard, key in zip(pdf["shard"].tolist(), pdf["key"].tolist(), strict=True):
-                if shard != at:
-                    live, epochs, at = OrderedDict(), {}, shard
+            fresh = []
+            for shard, block, key, old in zip(pdf["shard"].tolist(), pdf["_block"].tolist(), pdf["key"].tolist(), pdf["_old"].tolist(), strict=True):
+                if (shard, block) != at:
+                    live, at = OrderedDict(), (shard, block)
                 if key in live:
                     live.move_to_end(key)
+                    fresh.append(0)
                 else:
                     if len(live) >= capacity:
                         live.popitem(last=False)
                     live[key] = None
-                    epochs[key] = epochs.get(key, 0) + 1
-                got.append(epochs[key])
-            yield pdf.assign(epoch=pd.Series(got, index=pdf.index, dtype="int32"))
+                    fresh.append(1)
+            yield pdf.assign(_fresh=pd.Series(fresh, index=pdf.index, dtype="int64"))[~pdf["_old"]].drop(columns="_old")
 
-    dealt = stream.select(*cols, F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "idx").mapInPandas(run, out)
+    known = {"key", "idx", "shard", "_block"}
+    old = begin.select(*(F.col(n) if n in known else F.lit(0 if t in ("int", "bigint", "smallint", "tinyint") else None).cast(t).alias(n) for n, t in dealt.dtypes))
+    rows = dealt.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)))
+    out = ", ".join(f"`{n}` {t}" for n, t in dealt.dtypes) + ", _fresh long"
+    # the old rows' idx is below the block's, so that they come first
+    met = rows.select(*dealt.columns, "_old").repartition("shard", "_block").sortWithinPartitions("shard", "_block", "idx").mapInPandas(run, out)
+    return running_sum(met, "_fresh", "epoch", block_rows).select(*cols, "shard", F.col("epoch").cast("int").alias("epoch"))
 
 
 def lru_classify(stream: DataFrame, capacity: int, shards: int, threshold: int = T_DEFAULT, most_ones: int = M_DEFAULT) -> DataFrame:
@@ -110,6 +149,87 @@ def assemble(parts: DataFrame) -> DataFrame:
     return rows.select("okey", F.explode(F.aggregate("p", start, step, lambda s: s["out"])).alias("x")).select("okey", "x.idx", "x.key", "x.value", "x.truth")
 
 
+def leading_number(text: str) -> int:
+    """The number that a text begins with; 0 without one."""
+    m = re.match(r"\s*([+-]?\d+)", text or "")
+    return int(m[1]) if m else 0
+
+
+class OuterTable:
+    """A bounded table of outer keys whose inner keys are being put together; the least recently used makes room.
+
+    Counters 1 to 4 refresh an outer key; a counter that doesn't follow, or the fifth part, takes
+    it out at once.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.live: OrderedDict[int, tuple[int, int]] = OrderedDict()  # outer key: (parts, inner key so far)
+
+    def part(self, okey: int, val: str, cnt: int) -> tuple[int, int, int] | None:
+        """(inner key, value, truth) once the part completes one."""
+        have, inner = self.live.pop(okey, (0, 0))
+        if have == 0:
+            if cnt > 1:
+                return None
+            if len(self.live) >= self.capacity:
+                self.live.popitem(last=False)
+            self.live[okey] = (1, leading_number(val))
+        elif cnt == have + 1 and cnt <= 4:
+            self.live[okey] = (cnt, inner | leading_number(val) << 16 * have)
+        elif cnt == have + 1:
+            inner &= (1 << 64) - 1
+            return inner - (1 << 64) * (inner >> 63), int(val[1:2] != "0"), int(val[:1] != "0")
+        return None
+
+
+class BiasTable:
+    """A bounded table of keys with their rows and ones; a key is judged once, at its T-th row in the table."""
+
+    def __init__(self, capacity: int, threshold: int, most_ones: int):
+        self.capacity, self.threshold, self.most_ones = capacity, threshold, most_ones
+        self.live: OrderedDict[int, tuple[int, int]] = OrderedDict()
+
+    def row(self, key: int, value: int, truth: int) -> tuple[int, str] | None:
+        """(ones, label) where the row is the key's T-th."""
+        n, ones = self.live.pop(key, (0, 0))
+        if n == 0 and len(self.live) >= self.capacity:
+            self.live.popitem(last=False)
+        n, ones = n + 1, ones + value
+        self.live[key] = (n, ones)
+        if n != self.threshold or n == 1:
+            return None
+        biased = ones <= self.most_ones
+        return ones, ("true_anomaly" if truth == 1 else "false_positive") if biased else ("false_negative" if truth == 1 else "true_negative")
+
+
+def assemble_bounded(parts: DataFrame, capacity: int, shards: int) -> DataFrame:
+    """``assemble`` with a table of ``capacity`` outer keys for each shard (outer key modulo ``shards``).
+
+    A key that the table forgets loses its parts. Each shard is followed in order by one task,
+    which holds one bounded table; more shards are more tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, at = None, None
+        for pdf in batches:
+            out = []
+            for shard, okey, idx, val, cnt in zip(*(pdf[c].tolist() for c in ("shard", "okey", "idx", "val", "cnt")), strict=True):
+                if shard != at:
+                    table, at = OuterTable(capacity), shard
+                if made := table.part(okey, val, cnt):
+                    out.append((okey, idx, *made))
+            yield pd.DataFrame(out, columns=["okey", "idx", "key", "value", "truth"])
+
+    dealt = parts.select("okey", "idx", "val", "cnt", F.pmod("okey", F.lit(shards)).cast("int").alias("shard"))
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "idx").mapInPandas(run, "okey long, idx long, key long, value int, truth int")
+
+
+def two_level_lru(parts: DataFrame, capacity: int, shards: int, threshold: int = T_DEFAULT, most_ones: int = M_DEFAULT) -> DataFrame:
+    """Labels of inner keys with both tables bounded: outer keys put together, and inner keys judged."""
+    return lru_classify(assemble_bounded(parts, capacity, shards), capacity, shards, threshold, most_ones)
+
+
 def gaps(parts: DataFrame) -> DataFrame:
     """The parts whose counter doesn't follow the one before of their outer key."""
     before = F.lag("cnt").over(W.partitionBy("okey").orderBy("idx"))

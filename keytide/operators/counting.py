@@ -38,9 +38,25 @@ def merge(*counts: DataFrame, keys: tuple[str, ...] = ("key", "value")) -> DataF
     return reduce(DataFrame.unionByName, [c.select(*keys, "count") for c in counts]).groupBy(*keys).agg(F.sum("count").alias("count"))
 
 
+def larger_first(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the side with more entries, the other); ``b`` if equally many. Two counts, made while the plan is built."""
+    return (a, b) if a.count() > b.count() else (b, a)
+
+
+def at_value_0(counts: DataFrame) -> DataFrame:
+    """The entries that a lookup by key alone finds: those with value 0, or all if there are no values."""
+    return counts.where("value = 0") if "value" in counts.columns else counts
+
+
 def inner_product(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
-    """(inner_product): sum over common keys of the product of the counts."""
-    x, y = a.select(key, F.col("count").alias("_a")), b.select(key, F.col("count").alias("_b"))
+    """(inner_product): sum over the entries of the larger side of their count times the other side's count of the key.
+
+    With values, the other side is looked up at value 0 only, while each entry of the larger side
+    counts, whatever its value. Without, the sides are alike.
+    """
+    if "value" in a.columns and "value" in b.columns:
+        a, b = larger_first(a, b)
+    x, y = a.select(key, F.col("count").alias("_a")), at_value_0(b).select(key, F.col("count").alias("_b"))
     return x.join(y, key).agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0)).alias("inner_product"))
 
 
@@ -57,13 +73,13 @@ def cosine(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
-    """Keys of both, with the entry of the side that has more of them (``b`` if equally many).
+    """The entries of the side that has more of them (``b`` if equally many) whose key the other has at value 0.
 
-    The sizes are two counts; the larger side is then cut down by a semi join, which Spark may
-    broadcast or shuffle as the smaller side's size allows.
+    The larger side is cut down by a semi join, which Spark may broadcast or shuffle as the smaller
+    side's size allows.
     """
-    large, small = (a, b) if a.count() > b.count() else (b, a)
-    return large.join(small.select(key).distinct(), key, "left_semi")
+    large, small = larger_first(a, b)
+    return large.join(at_value_0(small).select(key).distinct(), key, "left_semi")
 
 
 def remove(counts: DataFrame, removals: DataFrame, key: str = "key") -> DataFrame:

@@ -49,15 +49,39 @@ def lifetimes(stream: DataFrame, threshold: int) -> DataFrame:
     return got
 
 
-def running_count(stream: DataFrame) -> DataFrame:
+#: Places of a block in which a key's rows are summed by one task.
+BLOCK_ROWS = 1 << 20
+
+
+def running_sum(rows: DataFrame, column: str, name: str, block_rows: int = BLOCK_ROWS, order: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``column`` over the key's rows so far, by ``order``, whose first is a place.
+
+    A key's rows are dealt by blocks of places, so a hot key is many tasks' work; the blocks' sums
+    tell each block where it begins.
+    """
+    dealt = rows.withColumn("_at", F.floor(F.col(order[0]) / block_rows)).repartition("key", "_at")
+    sums = dealt.groupBy("key", "_at").agg(F.sum(column).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy("key").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(F.col("key").alias("_key"), F.col("_at").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum(column).over(W.partitionBy("key", "_at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    both = dealt.withColumn("_inside", inside).join(sums, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_b")))
+    return both.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def running_count(stream: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The stream with each row's count of its key so far."""
-    return stream.withColumn("running", F.count("*").over(W.partitionBy("key").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)))
+    return running_sum(stream.withColumn("_one", F.lit(1)), "_one", "running", block_rows).drop("_one")
 
 
-def count_at(stream: DataFrame, at: DataFrame) -> DataFrame:
-    """(key, index, count): for each wanted (key, index) the key's rows up to and including it."""
-    hit = at.join(stream.select("key", "idx"), "key", "left")
-    return hit.groupBy("key", "index").agg(F.count(F.when(F.col("idx") <= F.col("index"), 1)).alias("count"))
+def count_at(stream: DataFrame, at: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, index, count): for each wanted (key, index) the key's rows up to and including it.
+
+    The wanted places run along with the stream as rows that count nothing.
+    """
+    asked = at.select("key", F.col("index").alias("idx")).distinct().withColumns({"_one": F.lit(0), "_asks": F.lit(1)})
+    rows = stream.select("key", "idx").withColumns({"_one": F.lit(1), "_asks": F.lit(0)}).unionByName(asked)
+    got = running_sum(rows, "_one", "count", block_rows, ("idx", "_asks")).where("_asks = 1")
+    return got.select("key", F.col("idx").alias("index"), "count")
 
 
 def point_query(stream: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
@@ -84,6 +108,17 @@ def by_channel(told: DataFrame) -> DataFrame:
     return told.rollup("via").agg(F.count("*").alias("reports")).select(F.coalesce("via", F.lit("total")).alias("via"), "reports")
 
 
+def counters(told: DataFrame, on_demand: DataFrame, points: DataFrame) -> DataFrame:
+    """(total, via_merge, via_query, on_demand, point_queries): the tallies of a run in one row.
+
+    ``told`` are the reports, ``on_demand`` the popularity checks made while rows came in, ``points``
+    the point queries asked.
+    """
+    tally = told.agg(F.count("*").alias("total"), F.count(F.when(F.col("via") == "merge", 1)).alias("via_merge"), F.count(F.when(F.col("via") == "query", 1)).alias("via_query"))
+    one = lambda d, n: d.agg(F.count("*").alias(n))
+    return tally.crossJoin(one(on_demand, "on_demand")).crossJoin(one(points, "point_queries"))  # one row each
+
+
 def stretches(stream: DataFrame, reports: DataFrame, threshold: int) -> DataFrame:
     """``reports`` (key, report_idx) joined with lifetimes: count and time stretch of each."""
     known = lifetimes(stream, threshold).where("i0 < it").select("key", "i0", "it")
@@ -111,10 +146,37 @@ def violations(stretched: DataFrame, policy: str, threshold: int, alpha: float =
     return stretched.where(rule[policy])
 
 
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """One row with an exact quantile (linear between neighbours) for each share, columns ``q0``, ``q1``, ..
+
+    Approximate quantiles a little below and above bound each place, so only the few values
+    between them are put in order; all others are only counted.
+    """
+    slack = 4 / accuracy
+    bounds = [F.percentile_approx(column, [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias(f"b{k}") for k, p in enumerate(shares)]
+    known = F.broadcast(df.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), *bounds))  # one row
+    rows = df.where(F.col(column).isNotNull()).crossJoin(known)
+    near = F.array_compact(F.array(*(F.when(F.col(column).between(F.col(f"b{k}")[0], F.col(f"b{k}")[1]), k) for k in range(len(shares)))))
+    v, low, high = F.col(column).cast("double"), (lambda k: F.col(f"b{k}")[0]), (lambda k: F.col(f"b{k}")[1])
+    sides = [x for k in range(len(shares)) for x in (F.count(F.when(F.col(column) < low(k), 1)).alias(f"u{k}"), F.max(F.when(F.col(column) < low(k), v)).alias(f"p{k}"), F.min(F.when(F.col(column) > high(k), v)).alias(f"n{k}"))]
+    outside = F.broadcast(rows.agg(*sides))  # one row: how many are below, and the nearest values on both sides
+    values = rows.select(F.explode(near).alias("k"), v.alias("v"), "n").groupBy("k", "v", "n").agg(F.count("*").alias("times"))
+    of = lambda c: F.create_map(*(x for k in range(len(shares)) for x in (F.lit(k), c(k))))[F.col("k")]
+    upto = F.sum("times").over(W.partitionBy("k").orderBy("v"))
+    seen = values.crossJoin(outside).select("k", "v", of(lambda k: F.col(f"u{k}")).alias("under"), of(lambda k: F.col(f"p{k}")).alias("before"), of(lambda k: F.col(f"n{k}")).alias("after"), upto.alias("upto"), of(lambda k: F.lit(float(shares[k])) * (F.col("n") - 1)).alias("at"))
+
+    def ranked(r):  # the value of rank r, from 0
+        return F.when(F.max(r) < F.max("under"), F.max("before")).otherwise(F.coalesce(F.min(F.when(F.col("under") + F.col("upto") > r, F.col("v"))), F.max("after")))
+
+    each = seen.groupBy("k").agg(ranked(F.floor("at")).alias("low"), ranked(F.ceil("at")).alias("high"), F.max(F.col("at") - F.floor("at")).alias("part"))
+    each = each.select("k", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
+    return each.agg(*(F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(shares))))
+
+
 def stretch_summary(stretched: DataFrame, column: str) -> DataFrame:
     """Box-plot numbers of a stretch column: least, quartiles (exact) and largest."""
-    q = lambda p: F.percentile(column, p)
-    return stretched.agg(F.min(column).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("high"), F.count("*").alias("n"))
+    ends = stretched.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n"))
+    return ends.crossJoin(F.broadcast(quantiles(stretched, column, (0.25, 0.5, 0.75)))).select("low", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"), "high", "n")  # one row each
 
 
 def thresholds(levels: int, growth: int, threshold: int) -> list[int]:

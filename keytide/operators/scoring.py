@@ -36,3 +36,18 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     """(name, value) of ``name = value`` lines in column ``value``; other lines are left out."""
     at = lambda k: F.trim(F.regexp_extract("value", r"^\s*([^=]+?)\s*=\s*(\S+)\s*$", k))
     return lines.select(at(1).alias("name"), at(2).alias("value")).where("name <> ''")
+
+
+def parsed_reversed_lines(lines: DataFrame) -> DataFrame:
+    """(name, value) of lines of column ``value`` whose value stands before the name.
+
+    The name is the run of words at the end that don't begin with a digit, or the last word if that
+    does; the value is the first of the run of numbers right before it, or the name's first word if
+    there is none. Lines without words are left out.
+    """
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    rows = lines.select(line.alias("l")).where("l <> ''")
+    name = F.coalesce(F.nullif(F.regexp_extract("l", r"(?:^|(?<= ))([^0-9 ]\S*(?: [^0-9 ]\S*)*)$", 1), F.lit("")), F.substring_index("l", " ", -1))
+    rows = rows.select("l", name.alias("name")).withColumn("rest", F.expr("trim(left(l, length(l) - length(name)))"))
+    number = F.regexp_extract("rest", r"(?:^|(?<= ))([0-9]\S*)(?: [0-9]\S*)*$", 1)
+    return rows.select("name", F.when(number != "", number).otherwise(F.substring_index("name", " ", 1)).alias("value"))

@@ -326,6 +326,69 @@ def gap_discard(spark, d):
     return bias.gaps(parts(spark, d).where("idx % 37 <> 0")).select("idx", "okey", "cnt", "before")
 
 
+#: Outer keys of which 16 or 64 are interleaved: of 320 events in a row, key k of a round sends its part in each of five passes.
+WOVEN = "(SELECT idx, okey, cnt, bit, truth, value, size, spot FROM (SELECT event_id AS idx, size, (event_id % 320) % size AS spot, event_id // 320 * 320 + (event_id % (5 * size) % size) + (event_id % 320) // (5 * size) * size AS okey, CAST(event_id % (5 * size) // size + 1 AS INT) AS cnt, user_id % 2 AS bit, CAST(user_id % 16 = 1 AS INT) AS truth, CAST(event_type = 'error' AS INT) AS value FROM (SELECT *, CASE WHEN event_id // 320 % 2 = 0 THEN 16 ELSE 64 END AS size FROM events)))"
+#: With a table of 32, only the last 32 of 64 interleaved keys outlive the first pass; a round that breaks off completes none.
+WOVEN_INNER = f"(SELECT okey, max(idx) AS idx, CAST(sum(CASE WHEN cnt <= 4 THEN bit * CAST(65536 ** (cnt - 1) AS BIGINT) END) AS BIGINT) AS key, max(CASE WHEN cnt = 5 THEN value END) AS value, max(CASE WHEN cnt = 5 THEN truth END) AS truth FROM {WOVEN} GROUP BY okey HAVING count(*) = 5 AND min(spot) >= min(size) - 32)"
+
+
+def woven(spark: SparkSession, d: str) -> DataFrame:
+    e, at = table(spark, d, "events"), F.col("event_id")
+    size = F.when(F.floor(at / 320) % 2 == 0, 16).otherwise(64)
+    cnt = (F.floor(at % (5 * size) / size) + 1).cast("int")
+    okey = F.floor(at / 320) * 320 + at % (5 * size) % size + F.floor(at % 320 / (5 * size)) * size
+    last = F.concat((F.col("user_id") % 16 == 1).cast("int").cast("string"), (F.col("event_type") == "error").cast("int").cast("string"))
+    return e.select(at.alias("idx"), okey.cast("long").alias("okey"), F.when(cnt == 5, last).otherwise((F.col("user_id") % 2).cast("string")).alias("val"), cnt.alias("cnt"))
+
+
+@query(f"SELECT * FROM {WOVEN_INNER}")
+def two_level_bounded_assembly(spark, d):
+    return bias.assemble_bounded(woven(spark, d), 32, 1)
+
+
+def epochs_sql(source: str, capacity: int, shards: int) -> str:
+    """Each row of a stream with the stay of its key in a table of so many keys, by counting the keys between."""
+    steps = f"(SELECT *, CAST(((key % {shards}) + {shards}) % {shards} AS INT) AS shard, lag(idx) OVER (PARTITION BY key ORDER BY idx) AS p, lead(idx) OVER (PARTITION BY key ORDER BY idx) AS q FROM {source})"
+    return f"(WITH n AS {steps}, f AS (SELECT a.idx, any_value(a.key) AS key, any_value(a.value) AS value, any_value(a.truth) AS truth, any_value(a.shard) AS shard, CASE WHEN any_value(a.p) IS NULL OR count(b.idx) >= {capacity} THEN 1 ELSE 0 END AS fresh FROM n a LEFT JOIN n b ON b.shard = a.shard AND b.idx > a.p AND b.idx < a.idx AND (b.q IS NULL OR b.q > a.idx) GROUP BY a.idx) SELECT idx, key, value, truth, shard, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY idx) AS INT) AS epoch FROM f)"
+
+
+@query(f"SELECT * FROM {labelled_sql(epochs_sql(WOVEN_INNER, 12, 1), 'key, epoch', 4)}")
+def two_level_lru_bias(spark, d):
+    return bias.lru_classify(bias.assemble_bounded(woven(spark, d), 32, 1), 12, 1, threshold=4)
+
+
+@query(f"SELECT * FROM {epochs_sql(STREAM, 6, 2)}")
+def lru_epochs_in_blocks(spark, d):
+    return bias.lru_epochs(stream(spark, d), 6, 2, block_rows=100)
+
+
+@query(f"SELECT (SELECT count(*) FROM {SWEPT}) AS total, (SELECT count(*) FROM {SWEPT} WHERE via = 'merge') AS via_merge, (SELECT count(*) FROM {SWEPT} WHERE via = 'query') AS via_query, (SELECT count(*) FROM events WHERE event_type = 'error') AS on_demand, (SELECT count(*) FROM customer) AS point_queries")
+def report_counters(spark, d):
+    return reports.counters(swept(spark, d), table(spark, d, "events").where("event_type = 'error'"), table(spark, d, "customer"))
+
+
+#: Multisets of (key, value) pairs, values from 0 on: parts by line number, suppliers by return flag.
+VALUED = "(SELECT l_partkey AS key, l_linenumber - 1 AS value, count(*) AS count FROM lineitem GROUP BY 1, 2)"
+FLAGGED = "(SELECT l_suppkey AS key, CAST(l_returnflag = 'R' AS INT) AS value, count(*) AS count FROM lineitem GROUP BY 1, 2)"
+
+
+def valued(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "lineitem")
+    a = rows.select(F.col("l_partkey").alias("key"), (F.col("l_linenumber") - 1).alias("value"))
+    b = rows.select(F.col("l_suppkey").alias("key"), (F.col("l_returnflag") == "R").cast("int").alias("value"))
+    return counting.keyed_count(a, "key", "value"), counting.keyed_count(b, "key", "value")
+
+
+@query(f"SELECT CAST(sum(a.count * b.count) AS BIGINT) AS inner_product FROM {VALUED} a JOIN {FLAGGED} b ON a.key = b.key AND b.value = 0")
+def valued_inner_product(spark, d):
+    return counting.inner_product(*valued(spark, d))
+
+
+@query(f"SELECT a.key, a.value, a.count FROM {VALUED} a WHERE a.key IN (SELECT key FROM {FLAGGED} WHERE value = 0)")
+def valued_intersect(spark, d):
+    return counting.intersect(*reversed(valued(spark, d)))
+
+
 # scoring
 
 
@@ -422,6 +485,14 @@ def powerlaw_bias(spark, d):
     return bias.classify(generators.powerlaw(spark, 1000))
 
 
+@query("SELECT * FROM (VALUES ('true_anomaly', 3::BIGINT), ('true_negative', 460::BIGINT)) t(label, keys)")
+def powerlaw_confusion(spark, d):
+    """The recorded result of 10,000 packets of the biased power-law stream."""
+    from keytide.sources import generators
+
+    return bias.confusion(bias.classify(generators.powerlaw(spark, 10_000)))
+
+
 @query()
 def zipf_heavy_hitters(spark, d):
     from keytide.sources import generators

@@ -161,7 +161,7 @@ def powerlaw(spark: SparkSession, packets: int, per_packet: int = 50, sender: in
     def make(batches):
         for pdf in batches:
             for b in pdf["id"].tolist():
-                key = keys_of(b)[: max(0, n - first[b])] + OFFSET
+                key = keys_of(b)[: max(0, n - first[b])] + OFFSET * (1 + sender)  # senders' keys are disjoint
                 if not len(key):
                     continue
                 truth = (evahash(key.view(np.uint64), MASK) & np.uint64(0xFF)) == 0x11

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +22,49 @@ def from_table(df: DataFrame, idx: str, key: str, value=None, truth=None) -> Dat
 
 
 def read_binary_keys(spark: SparkSession, path: str, chunk_keys: int = 1 << 20) -> DataFrame:
-    """(idx, key) of one file of little-endian unsigned 64-bit keys; idx is the place in the file.
+    """(idx, key) of little-endian unsigned 64-bit keys in a file, or in a folder's files by name; idx is the place.
 
-    Fixed-length records split at any block, so one large file is read by many tasks. Each task
-    tells the number of its records, and the offsets of the tasks number them all.
+    Only names and sizes reach the driver. Files are cut into ranges of ``chunk_keys`` keys, and
+    each range is read and decoded as one block. Bytes at a file's end that make no key are left out.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString(), f.getLen() // 8) for f in fs.listStatus(hadoop) if not f.isDirectory() and f.getPath().getName()[0] not in "._")
+    ranges, first = [], 0
+    for name, keys in files:
+        ranges += [(name, at, min(chunk_keys, keys - at), first + at) for at in range(0, keys, chunk_keys)]
+        first += keys
+
+    def read(batches):
+        for pdf in batches:
+            for name, at, n, idx in pdf.itertuples(index=False):
+                where, inner = pa_fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+                with where.open_input_file(inner) as f:
+                    f.seek(8 * at)
+                    key = np.frombuffer(f.read(8 * n), dtype="<i8")
+                yield pd.DataFrame({"idx": np.arange(idx, idx + n), "key": key})
+
+    table = spark.createDataFrame(ranges or [("", 0, 0, 0)], "name string, at long, n long, first long").where("n > 0")
+    return table.repartition(max(1, min(len(ranges), 10_000)), "name", "at").mapInPandas(read, "idx long, key long")
+
+
+def write_binary_keys(keys: DataFrame, folder: str) -> None:
+    """Keys (idx, key) in order of idx as files of little-endian unsigned 64-bit keys, for ``read_binary_keys``.
+
+    ``folder`` is one that all executors share. Each task writes one file and gives it its name when it is complete.
     """
-    import numpy as np
-
-    records = spark.sparkContext.binaryRecords(path, 8)
-    sizes = records.mapPartitionsWithIndex(lambda p, rows: [(p, sum(1 for _ in rows))]).collect()  # one number a task
-    offset, at = {}, 0
-    for p, n in sorted(sizes):
-        offset[p], at = at, at + n
-
-    def numbered(p, rows):
-        import itertools
 
-        rows, k = iter(rows), offset[p]
-        while got := list(itertools.islice(rows, chunk_keys)):
-            keys = np.frombuffer(b"".join(got), dtype="<u8").view(np.int64)
-            for i, key in enumerate(keys.tolist()):
-                yield k + i, key
-            k += len(keys)
+    def write(batches):
+        n, out = 0, f"{folder}/.{uuid.uuid4().hex}"
+        os.makedirs(folder, exist_ok=True)
+        with open(out, "wb") as f:
+            for pdf in batches:
+                f.write(pdf["key"].to_numpy(dtype="<i8").tobytes())
+                n += len(pdf)
+        os.replace(out, f"{folder}/keys-{TaskContext.get().partitionId():06d}")
+        yield pd.DataFrame({"n": [n]})
 
-    return spark.createDataFrame(records.mapPartitionsWithIndex(numbered), "idx long, key long")
+    keys.select("idx", "key").repartitionByRange("idx").sortWithinPartitions("idx").mapInPandas(write, "n long").agg(F.sum("n")).first()
 
 
 def read_text_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -76,10 +103,13 @@ def parse_two_level(packets: DataFrame) -> DataFrame:
     return rows.select("packet_id", "pos", part[0].cast("long").alias("okey"), part[1].alias("val"), part[2].cast("int").alias("cnt"))
 
 
-def to_packets(stream: DataFrame, per_packet: int = 50) -> DataFrame:
-    """(packet_id, value): the stream's rows as packet texts, ``per_packet`` to each."""
+def to_packets(stream: DataFrame, per_packet: int = 50, sender: int = 0, senders: int = 1) -> DataFrame:
+    """(packet_id, value): the stream's rows as packet texts, ``per_packet`` to each.
+
+    Several senders number their packets in turns: the i-th of a sender is i * senders + sender.
+    """
     line = F.concat_ws(",", F.col("key").cast("string"), F.col("value").cast("string"), F.col("truth").cast("string"))
-    rows = stream.select(F.floor(F.col("idx") / per_packet).alias("packet_id"), F.struct("idx", line.alias("line")).alias("x"))
+    rows = stream.select((F.floor(F.col("idx") / per_packet) * senders + sender).alias("packet_id"), F.struct("idx", line.alias("line")).alias("x"))
     lines = F.array_join(F.transform(F.array_sort("x"), lambda x: x["line"]), "\n")
     packed = rows.groupBy("packet_id").agg(F.collect_list("x").alias("x"))
     return packed.select("packet_id", F.concat(F.lit("packet "), F.col("packet_id").cast("string"), F.lit("\n"), lines, F.lit("\n")).alias("value"))
@@ -91,6 +121,11 @@ def captured_keys(packets: DataFrame) -> DataFrame:
     return parse_packets(packets).select("packet_id", "pos", fold(hashed("key")).alias("key"))
 
 
+def capture_keys(packets: DataFrame, folder: str, per_packet: int = 50) -> None:
+    """The hashed keys of captured packets, in order of packet and place, as a binary key file set."""
+    write_binary_keys(captured_keys(packets).select((F.col("packet_id") * per_packet + F.col("pos")).alias("idx"), "key"), folder)
+
+
 def stops(packets: DataFrame) -> DataFrame:
     """(sender) of each STOP packet."""
     bare = packets.select(F.regexp_replace("value", r"\s+", "").alias("sender"))

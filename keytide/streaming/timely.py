@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
+from keytide.operators import bias
 from keytide.sources.streams import stops
 
 
@@ -28,22 +31,64 @@ class ThresholdReporter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, i0, last, ones, done = self.state.get() if self.state.exists() else (0, None, -1, 0, False)
+        idx, value, truth = (np.concatenate(x) for x in zip(*((f["idx"].to_numpy(), f["value"].to_numpy(), f["truth"].to_numpy()) for f in rows), strict=True))
+        order = np.argsort(idx, kind="stable")
+        idx, value, truth = idx[order], value[order], truth[order]
+        late = idx <= np.maximum.accumulate(np.concatenate([[last], idx[:-1]]))
+        if late.any():
+            if self.late != "drop":
+                k = int(np.flatnonzero(late)[0])
+                raise ValueError(f"key {key[0]}: row {idx[k]} came after row {max(last, int(idx[k - 1]) if k else -1)}")
+            idx, value, truth = idx[~late], value[~late], truth[~late]
         out = []
-        for r in pd.concat(list(rows)).sort_values("idx").itertuples(index=False):
-            if r.idx <= last:
+        if len(idx):
+            if not done:
+                need = self.threshold - n
+                used = value[: max(need, 0)]
+                n, ones, i0 = n + len(used), ones + int(used.sum()), int(idx[0]) if i0 is None else i0
+                if n == self.threshold:
+                    done, it = True, int(idx[need - 1])
+                    biased = None if self.most_ones is None else ones <= self.most_ones
+                    out.append((key[0], i0, it, it - i0, ones, biased, int(truth[need - 1])))
+            self.state.update((n, i0, int(idx[-1]), ones, done))
+        yield pd.DataFrame(out, columns=["key", "i0", "it", "lifetime", "ones", "biased", "truth"])
+
+    def close(self) -> None:
+        pass
+
+
+class BoundedTables(StatefulProcessor):
+    """Judges keys of one shard in a bounded table, in order of idx; with ``outer`` its rows are parts of outer keys.
+
+    The state is the tables themselves, which never hold more than their capacity. Rows whose idx
+    isn't over the last one of their shard raise, unless ``late`` is "drop".
+    """
+
+    def __init__(self, capacity: int, threshold: int, most_ones: int, outer: bool, late: str = "raise"):
+        self.capacity, self.threshold, self.most_ones, self.outer, self.late = capacity, threshold, most_ones, outer, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("tables", "tables binary, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            held, last = self.state.get()
+            outer, inner = pickle.loads(held)
+        else:
+            outer, inner, last = bias.OuterTable(self.capacity), bias.BiasTable(self.capacity, self.threshold, self.most_ones), -1
+        names = ["idx", "okey", "val", "cnt"] if self.outer else ["idx", "key", "value", "truth"]
+        out = []
+        for idx, *what in pd.concat([f[names] for f in rows]).sort_values("idx", kind="stable").itertuples(index=False):
+            if idx <= last:
                 if self.late == "drop":
                     continue
-                raise ValueError(f"key {key[0]}: row {r.idx} came after row {last}")
-            last = int(r.idx)
-            if done:
-                continue
-            n, ones, i0 = n + 1, ones + int(r.value), int(r.idx) if i0 is None else i0
-            if n == self.threshold:
-                done = True
-                biased = None if self.most_ones is None else ones <= self.most_ones
-                out.append((key[0], i0, last, last - i0, ones, biased, int(r.truth)))
-        self.state.update((n, i0, last, ones, done))
-        yield pd.DataFrame(out, columns=["key", "i0", "it", "lifetime", "ones", "biased", "truth"])
+                raise ValueError(f"shard {key[0]}: row {idx} came after row {last}")
+            last = int(idx)
+            made = outer.part(int(what[0]), what[1], int(what[2])) if self.outer else (int(what[0]), int(what[1]), int(what[2]))
+            if made and (judged := inner.row(*made)):
+                out.append((made[0], last, judged[0], made[2], judged[1]))
+        self.state.update((pickle.dumps((outer, inner)), last))
+        yield pd.DataFrame(out, columns=["key", "idx", "ones", "truth", "label"])
 
     def close(self) -> None:
         pass
@@ -64,6 +109,26 @@ def report(stream: DataFrame, threshold: int, most_ones: int | None = None, late
     )
 
 
+def bounded_bias(stream: DataFrame, capacity: int, shards: int, threshold: int = bias.T_DEFAULT, most_ones: int = bias.M_DEFAULT, late: str = "raise") -> DataFrame:
+    """A streaming (key, idx, ones, truth, label) of keys judged in a bounded table for each shard (key modulo ``shards``)."""
+    return _bounded(stream, "key", capacity, shards, threshold, most_ones, late)
+
+
+def two_level_bias(parts: DataFrame, capacity: int, shards: int, threshold: int = bias.T_DEFAULT, most_ones: int = bias.M_DEFAULT, late: str = "raise") -> DataFrame:
+    """The same for inner keys put together from a stream of parts (idx, okey, val, cnt), both tables bounded, sharded by outer key."""
+    return _bounded(parts, "okey", capacity, shards, threshold, most_ones, late)
+
+
+def _bounded(stream: DataFrame, by: str, capacity: int, shards: int, threshold: int, most_ones: int, late: str) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.withColumn("shard", F.pmod(by, F.lit(shards)).cast("int")).groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=BoundedTables(capacity, threshold, most_ones, by == "okey", late),
+        outputStructType="key long, idx long, ones long, truth int, label string",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
 def running_counts(stream: DataFrame) -> DataFrame:
     """A streaming (key, count) in update mode, by built-in aggregation."""
     return stream.groupBy("key").agg(F.count("*").alias("count"))
