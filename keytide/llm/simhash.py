@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.llm.common import bounded_runs, connected_components, forest, in_batches, texts, whole_runs, written
+from keytide.llm.common import bounded_runs, connected_components, dropped, forest, in_batches, texts, whole_runs, written
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -447,12 +447,16 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wo
     busy = written(source.mapInArrow(printed, f"node long, n int, s binary, {longs}").dropDuplicates(["node"]))
     met = meetings(busy.select("node", *cols).mapInArrow(spread, "key int, node long, " + ", ".join(f"{c} long" for c in compared)), compared, CANDIDATE_BITS)
     members = written(busy.select("node", "n", "s").join(connected_components(met, "a", "b"), "node"))
-    comps = connected_components(verified_links(members, similarity), "a", "b")
+    dropped(busy, common)
+    links_ = written(verified_links(members, similarity))
+    comps = connected_components(links_, "a", "b")
+    dropped(members, links_)
     rooted = nodes.select("node", "rep").join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct("rep.none", "rep.id")).alias("best"))
     named = rooted.join(best, "root").where(F.col("rep.id").eqNullSafe(F.col("best.id"))).select("root", "node", F.col("best.id").alias("lowest"))
     winner = prints.join(named, "node").where(F.col("id").eqNullSafe(F.col("lowest"))).groupBy("root", "id", "h").agg(F.count("*").alias("times"))
-    winner = winner.groupBy("root").agg(F.min(F.struct("h", "id", "times")).alias("w")).select(F.col("w.id").alias("id2"), F.col("w.h").alias("h2"), "w.times")
+    winner = written(winner.groupBy("root").agg(F.min(F.struct("h", "id", "times")).alias("w")).select(F.col("w.id").alias("id2"), F.col("w.h").alias("h2"), "w.times"))
+    dropped(prints, nodes)
     all_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"))
     kept = all_.join(winner, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
     again = kept.where("times > 1").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -6,11 +6,12 @@ anchor is a segment. Equal windows have equal anchors, so all that can match a s
 its anchor's hash, and that hash decides its shard; no text is searched in another shard. Segments
 whose anchor occurs under one document id only are left out, and equal segments are one.
 
-Each shard builds a suffix array (to the depth of a window), its Burrows-Wheeler transform and a
-wavelet matrix with packed bits over the words of its segments. Segments are streamed through it
-from right to left, all in step: backward search adds a word on the left, and once a match is a
-window long, the interval that shares all but its last word takes its place. The smallest document
-id in a window's interval tells from which document on it is a repeat.
+Each shard sorts the suffixes of its segments (to the depth of a window) and keeps of them the
+Burrows-Wheeler transform, as a wavelet matrix of compressed bit vectors. The documents' segments
+are streamed through it from right to left, all in step. Backward search gives their matching
+statistics: at each place how many words from there on the index has together. Where these reach
+the window, the smallest document id among the rows that have them tells from which document on
+the window is a repeat.
 
 An anchor with very many different segments (the border of a passage that countless documents
 share) is dealt anew by the content of each window, so that no shard is larger for it.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches, texts, written
+from keytide.llm.common import dropped, in_batches, texts, written
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 50, 12
@@ -60,35 +61,64 @@ def segments(codes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> t
     return low[first], first, np.diff(np.append(first, n))
 
 
+class Bits:
+    """A bit vector with ranks, in words of 64 bits of which only those that aren't all alike are kept."""
+
+    def __init__(self, bits: np.ndarray):
+        words = np.packbits(np.concatenate([bits.astype(np.uint8), np.zeros(-len(bits) % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
+        self.ones = words == ~np.uint64(0)
+        mixed = (words != 0) & ~self.ones
+        self.kept = words[mixed]
+        self.place = np.where(mixed, np.cumsum(mixed) - 1, -1).astype(np.int32)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        w = i >> 6
+        at = self.place[w]
+        word = np.where(at >= 0, self.kept[at] if len(self.kept) else np.uint64(0), np.where(self.ones[w], ~np.uint64(0), np.uint64(0)))
+        return self.before[w] + np.bitwise_count(word & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+
 class WordIndex:
-    """FM-index of a sequence of words, exact for patterns up to ``depth`` words."""
+    """Compressed FM-index of a sequence of words, exact for patterns up to ``depth`` words.
 
-    def __init__(self, seq: np.ndarray, depth: int):
-        """``seq`` holds numbers from 1 on, and 0 between segments."""
-        n = len(seq)
+    Kept are the bits of a wavelet matrix over the Burrows-Wheeler transform, how many words each
+    row shares with the one before (a byte, up to ``depth``), and the smallest owner of each group
+    of rows that share ``depth`` words. The suffix array itself is given up.
+    """
+
+    def __init__(self, seq: np.ndarray, depth: int, owner: np.ndarray):
+        """``seq`` holds numbers from 1 on, and 0 between segments; ``owner`` has a number for each place."""
+        n, self.depth = len(seq), depth
         ranks, h = {1: seq.astype(np.int64)}, 1
         while h < depth:
             r = ranks[h]
             tail = np.concatenate([r[h:] + 1, np.zeros(min(h, n), np.int64)])[:n]
-            _, ranks[2 * h] = np.unique(r * (int(tail.max()) + 1) + tail, return_inverse=True)
+            ranks[2 * h] = np.unique(r * (int(tail.max()) + 1) + tail, return_inverse=True)[1].astype(np.int32)
             h *= 2
-        self.sa = np.argsort(ranks[h], kind="stable")
-        half = ranks[h // 2] if h > 1 else ranks[1]
-        #: for depth - 1 and depth: where the rows that share so many words begin and end
-        self.parts = {}
-        for d in (depth - 1, depth):
-            more = np.concatenate([half[d - h // 2 :] + 1, np.zeros(n, np.int64)])[:n] if d > h // 2 else np.zeros(n, np.int64)
-            a, b = half[self.sa], more[self.sa]
-            begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            self.parts[d] = (begin, np.append(begin[1:], n), np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n))))
-        bwt = seq[self.sa - 1]
-        self.levels = max(1, int(seq.max()).bit_length())
-        self.bits, self.before, self.zeros = [], [], []
+        sa = np.argsort(ranks[h], kind="stable")
+        shared = np.zeros(n, dtype=np.int64)  # with the row before, found from the longest blocks down
+        alike = np.concatenate([[False], ranks[h][sa[1:]] == ranks[h][sa[:-1]]])
+        one, two = sa[1:], sa[:-1]
+        step = h // 2
+        while step:
+            r = ranks[step]
+            p, q = one + shared[1:], two + shared[1:]
+            inside = (p < n) & (q < n)
+            same = inside & (r[np.minimum(p, n - 1)] == r[np.minimum(q, n - 1)])
+            shared[1:] += np.where(same, step, 0)
+            step //= 2
+        self.shared = np.minimum(np.where(alike, depth, shared), depth).astype(np.uint8)
+        begins = np.flatnonzero(self.shared < depth)
+        self.least = np.minimum.reduceat(owner[sa], begins)
+        self.groups, self.shorter = Bits(self.shared < depth), np.flatnonzero(self.shared < depth - 1).astype(np.int32)
+        bwt = seq[sa - 1]
+        self.n, self.levels = n, max(1, int(seq.max()).bit_length())
+        self.bits, self.zeros = [], []
         for level in range(self.levels - 1, -1, -1):
-            b = (bwt >> level & 1).astype(np.uint8)
-            words = np.packbits(np.concatenate([b, np.zeros(-n % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
-            self.bits.append(words)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]))
+            b = bwt >> level & 1
+            self.bits.append(Bits(b))
             self.zeros.append(n - int(b.sum()))
             bwt = np.concatenate([bwt[b == 0], bwt[b == 1]])
         symbols = np.arange(int(seq.max()) + 1)
@@ -97,9 +127,8 @@ class WordIndex:
 
     def walk(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where place ``i`` of the transform comes to stand if ``c`` leads down the wavelet matrix."""
-        for level, words, before, zeros in zip(range(self.levels - 1, -1, -1), self.bits, self.before, self.zeros, strict=True):
-            w = i >> 6
-            ones = before[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        for level, bits, zeros in zip(range(self.levels - 1, -1, -1), self.bits, self.zeros, strict=True):
+            ones = bits.rank(i)
             i = np.where(c >> level & 1, zeros + ones, i - ones)
         return i
 
@@ -108,6 +137,55 @@ class WordIndex:
         at = self.walk(np.concatenate([c, c]), np.concatenate([lo, hi])) - np.concatenate([self.start[c]] * 2) + np.concatenate([self.smaller[c]] * 2)
         return at[: len(c)], at[len(c) :]
 
+    def shortened(self, lo: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the rows that share so many words with each row ``lo``."""
+        out = np.zeros(len(lo), np.int64), np.full(len(lo), self.n, np.int64)
+        for d in np.unique(words).tolist():
+            if d:
+                some = words == d
+                begins = self.shorter if d == self.depth - 1 else np.flatnonzero(self.shared < d)
+                k = np.searchsorted(begins, lo[some], side="right")
+                out[0][some] = begins[k - 1]
+                out[1][some] = np.append(begins, self.n)[k]
+        return out
+
+    def matches(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of documents that are streamed through the index from right to left, all in step.
+
+        ``words`` has the documents' words one after another, 0 for one that the index doesn't know.
+        Of each place: how many words from there on the index has together, up to ``depth``, and where
+        that is ``depth`` the smallest owner of a place that has them, else -1. A word is put before
+        the match; as long as the index doesn't have that, the match loses its last word.
+        """
+        ends = np.cumsum(lengths)
+        rows = np.flatnonzero(lengths)
+        size, owner = np.zeros(len(words), np.uint8), np.full(len(words), -1, np.int64)
+        lo, hi, have = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64), np.zeros(len(lengths), np.int64)
+        step = 0
+        while len(rows):
+            at = ends[rows] - 1 - step
+            new = rows[words[at] == 0]
+            lo[new], hi[new], have[new] = 0, self.n, 0
+            full = rows[have[rows] == self.depth]
+            have[full] -= 1
+            lo[full], hi[full] = self.shortened(lo[full], have[full])
+            open_ = rows[words[at] > 0]
+            while len(open_):
+                a, b = self.extend(words[ends[open_] - 1 - step], lo[open_], hi[open_])
+                good = b > a
+                done = open_[good]
+                lo[done], hi[done] = a[good], b[good]
+                have[done] += 1
+                open_ = open_[~good & (have[open_] > 0)]  # a known word is somewhere: an empty match always takes it
+                have[open_] -= 1
+                lo[open_], hi[open_] = self.shortened(lo[open_], have[open_])
+            size[at] = have[rows]
+            whole = have[rows] == self.depth
+            owner[at[whole]] = self.least[self.groups.rank(lo[rows[whole]] + 1) - 1]
+            step += 1
+            rows = rows[lengths[rows] > step]
+        return size, owner
+
 
 def smallest_owner(lengths: np.ndarray, codes: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each segment and each of its windows the smallest owner of a segment that holds it.
@@ -120,28 +198,10 @@ def smallest_owner(lengths: np.ndarray, codes: np.ndarray, owner: np.ndarray, wi
     inside = np.ones(len(seq), dtype=bool)
     inside[begin + lengths] = False
     seq[inside] = ids + 1
-    index = WordIndex(seq, window)
-    owners = np.repeat(owner, lengths + 1)[index.sa]
-    begins, _, part = index.parts[window]
-    least = np.minimum.reduceat(owners, begins)
-    short_begin, short_end, short_part = index.parts[window - 1]
-    out = [np.empty(n - window + 1, dtype=np.int64) for n in lengths.tolist()]
-    flat, base = np.empty(int((lengths - window + 1).sum()), dtype=np.int64), np.cumsum(lengths - window + 1) - (lengths - window + 1)
-    rows = np.arange(len(lengths))
-    at, lo, hi = begin + lengths - 1, np.zeros(len(lengths), np.int64), np.full(len(lengths), len(seq), np.int64)
-    for step in range(int(lengths.max())):
-        live = lengths[rows] > step
-        rows, at, lo, hi = rows[live], at[live], lo[live], hi[live]
-        if step >= window:  # of the last window, all but the last word
-            p = short_part[lo]
-            lo, hi = short_begin[p], short_end[p]
-        lo, hi = index.extend(seq[at], lo, hi)
-        if step >= window - 1:
-            flat[base[rows] + at - begin[rows]] = least[part[lo]]
-        at = at - 1
-    for k, o in enumerate(out):
-        o[:] = flat[base[k] : base[k] + len(o)]
-    return out
+    size, low = WordIndex(seq, window, np.repeat(owner, lengths + 1)).matches(ids + 1, lengths)
+    ends = np.cumsum(lengths)
+    assert (size[np.concatenate([np.arange(e - n, e - window + 1) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)])] == window).all()
+    return [low[e - n : e - window + 1] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
 
 def stretches(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +237,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", win
     every = written(rows.mapInArrow(cut_up, "g long, s long, id long, h long, a int, c int"))
     shared = written(every.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g"))  # a plain join side: a hot anchor can be split
     kept = written(every.join(shared, "g"))
+    dropped(every, shared)
     reps = kept.groupBy("g", "s").agg(F.min(F.struct("id", "h", "a", "c")).alias("r")).select("g", "s", "r.*")
     reps = written(reps)
     crowded = reps.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("g", F.lit(True).alias("crowd"))
@@ -196,6 +257,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", win
         return {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)}
 
     fetched = written(rows.join(marked, ["id", "h"]).select("id", "text", "segs").mapInArrow(fetch, "g long, s long, off int, id long, words string, crowd boolean"))
+    dropped(reps)
     total = fetched.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // (6 * shard_words)))
     # windows of crowded anchors are named by their content and pooled, then dealt by it
@@ -216,7 +278,9 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", win
     found = [d.groupBy("shard").applyInArrow(search, "g long, s long, p int, q int, low long") for d in dealt]
     back = single.join(found[1].select(F.col("g").alias("w"), F.col("s").alias("w2"), "low"), ["w", "w2"]).select("g", "s", F.col("off").alias("p"), F.col("off").alias("q"), "low")
     hits = kept.join(found[0].unionByName(back), ["g", "s"]).where(F.col("low") < F.col("id"))
-    return hits.groupBy("id", "h").agg(F.collect_list(F.struct((F.col("a") + F.col("p")).alias("s"), (F.col("a") + F.col("q") + window).alias("e"))).alias("cuts"))
+    cuts = written(hits.groupBy("id", "h").agg(F.collect_list(F.struct((F.col("a") + F.col("p")).alias("s"), (F.col("a") + F.col("q") + window).alias("e"))).alias("cuts")))
+    dropped(kept, fetched)
+    return cuts
 
 
 def with_cuts(docs: DataFrame, text_col: str, id_col: str, **options) -> DataFrame:

@@ -84,3 +84,31 @@ def test_against_all_windows(spark, heavy):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring.digests(empty).count() == 0 and substring.remove(empty).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=14), min_size=1, max_size=6), st.lists(st.lists(st.integers(0, 3), max_size=15), min_size=1, max_size=6), st.integers(2, 9))
+def test_matching_statistics_of_streamed_documents(segs, docs, depth):
+    """Documents that aren't in the index, with words that it doesn't know (0)."""
+    seq = np.array([x for s in segs for x in [*s, 0]])
+    owner = np.repeat(np.arange(len(segs)) * 7 % 5, [len(s) + 1 for s in segs])
+    index = substring.WordIndex(seq, depth, owner)
+    known = {x for s in segs for x in s}
+    docs = [[x if x in known else 0 for x in d] for d in docs]
+    size, low = index.matches(np.array([x for d in docs for x in d], dtype=np.int64), np.array([len(d) for d in docs]))
+    at = 0
+    for d in docs:
+        for k in range(len(d)):
+            holds = lambda n: [o * 7 % 5 for o, s in enumerate(segs) if any(s[i : i + n] == d[k : k + n] for i in range(len(s) - n + 1))]
+            want = max([n for n in range(1, min(depth, len(d) - k) + 1) if d[k] in known and holds(n)], default=0)
+            assert size[at] == want and low[at] == (min(holds(depth)) if want == depth else -1)
+            at += 1
+
+
+def test_index_is_small():
+    r = np.random.default_rng(1)
+    passage = r.integers(1, 20_000, size=400)
+    seq = np.concatenate([np.append(np.concatenate([r.integers(1, 20_000, size=60), passage]), 0) for _ in range(400)])
+    index = substring.WordIndex(seq, 50, np.zeros(len(seq), np.int64))
+    size = index.shared.nbytes + index.least.nbytes + index.shorter.nbytes + index.smaller.nbytes + index.start.nbytes + sum(x.nbytes for b in [index.groups, *index.bits] for x in (b.kept, b.place, b.before, b.ones))
+    assert size < 10 * len(seq)  # little over one array of 64-bit numbers, the words' own tables included
