@@ -93,7 +93,7 @@ class WordIndex:
         n, self.depth = len(seq), depth
         ranks, h = {1: seq.astype(np.int64)}, 1
         while h < depth:
-            r = ranks[h]
+            r = ranks[h].astype(np.int64)
             tail = np.concatenate([r[h:] + 1, np.zeros(min(h, n), np.int64)])[:n]
             ranks[2 * h] = np.unique(r * (int(tail.max()) + 1) + tail, return_inverse=True)[1].astype(np.int32)
             h *= 2

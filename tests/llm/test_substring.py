@@ -105,10 +105,14 @@ def test_matching_statistics_of_streamed_documents(segs, docs, depth):
             at += 1
 
 
-def test_index_is_small():
+def test_index_is_small_and_exact_at_size():
     r = np.random.default_rng(1)
     passage = r.integers(1, 20_000, size=400)
     seq = np.concatenate([np.append(np.concatenate([r.integers(1, 20_000, size=60), passage]), 0) for _ in range(400)])
     index = substring.WordIndex(seq, 50, np.zeros(len(seq), np.int64))
     size = index.shared.nbytes + index.least.nbytes + index.shorter.nbytes + index.smaller.nbytes + index.start.nbytes + sum(x.nbytes for b in [index.groups, *index.bits] for x in (b.kept, b.place, b.before, b.ones))
     assert size < 10 * len(seq)  # little over one array of 64-bit numbers, the words' own tables included
+    bare, parts = seq[seq > 0], [460] * 400
+    got, low = index.matches(bare, np.array(parts))
+    assert (got.reshape(400, 460)[:, :411] == 50).all() and (got.reshape(400, 460)[:, 411:] == np.arange(49, 0, -1)).all()
+    assert (low.reshape(400, 460)[:, :411] == 0).all()
