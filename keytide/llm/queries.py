@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.llm import ann, bpe, embed_dedup, langid, lm, packing, pii, simhash, substring, toxicity
+from keytide.llm import ann, bpe, embed_dedup, langid, lm, oracles, packing, pii, simhash, substring, toxicity
 from keytide.llm.common import table
 
 
@@ -53,4 +53,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op3_pii, op4_language, op5_bpe, op6_substring, op7_lm, op8_toxicity, op9_packing, op10_ann)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES |= oracles.QUERIES
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
