@@ -287,7 +287,7 @@ WIDE, SEGMENTS, STEPS = 6, 16, 5
 #: 39 of 256, and two and a half standard deviations more.
 COMPARED, CANDIDATE_BITS = 4, 53
 #: Smallest shingle hashes of a text that tell whether it can have a near copy.
-SKETCH = 64
+SKETCH = 32
 #: Texts and shingles of a block that is verified at once, and texts that are compared with every block of their group.
 BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 256, 400_000, 8
 
@@ -405,7 +405,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wo
 
     Keys are given only to texts that can have a near copy: each shingle of a near copy is in
     another text with a chance of at least ``similarity``, so of a text's ``SKETCH`` smallest hashes
-    less than half are shared with a chance of 3 in 10^8 at 0.8 only. A text with no more shingles
+    less than half are shared with a chance of 1 in 10^4 at most, at 0.8. A text with no more shingles
     than that is judged by all of them, which is exact.
     """
     cols = [f"w{k}" for k in range(WIDE)]
