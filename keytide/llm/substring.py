@@ -33,7 +33,7 @@ from keytide.llm.common import dropped, in_batches, texts, written
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 50, 12
 #: Words of a shard, about, and different segments of an anchor from which it is dealt by window.
-SHARD_WORDS, HEAVY = 1_000_000, 4096
+SHARD_WORDS, HEAVY = 500_000, 4096
 
 
 def codes_of(words: list[bytes]) -> np.ndarray:
