@@ -129,7 +129,9 @@ def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, size: int = PROFILE) -> DataFrame:
     """The rows of ``docs`` that are text in a learnt language, with a score over ``least``; all columns stay.
 
-    Learns from all rows with a text and a language. Where nothing was learnt, no row is kept.
+    Learns from all rows with a text and a language. Where nothing was learnt, no row is kept. At a
+    ``least`` of 0 a text goes if it has no letters or not one n-gram of the nearest profile; a text
+    in a language that wasn't learnt, but written with the same letters, stays.
     """
     model = learn(docs, text_col, lang_col, size)
 

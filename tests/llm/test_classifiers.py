@@ -79,3 +79,42 @@ def test_toxicity_of_odd_rows(spark):
     none = toxicity.grade_documents(d, labels.limit(0)).collect()
     assert {r.severity for r in none} == {0.0}
     assert toxicity.grade_documents(d.limit(0), labels).count() == 0
+
+
+def plain_grams(text):
+    """All n-grams of a text as (n, code points), 0 for a border between words."""
+    s = [0]
+    for c in f"{text.lower()} ":
+        code = ord(c) if c.isalpha() and ord(c) < 1 << 20 else 0
+        if code or s[-1]:
+            s.append(code)
+    one = [(1, x) for x in s if x]
+    two = [(2, *s[i : i + 2]) for i in range(len(s) - 1)]
+    return one + two + [(3, *s[i : i + 3]) for i in range(len(s) - 2) if s[i + 1]]
+
+
+def test_profiles_and_distances_against_plain_python(spark):
+    from collections import Counter
+
+    from keytide.llm import langid
+
+    size = 60
+    texts = [("aa", "baba lala Baba, ala!"), ("aa", "la ba la ba bala"), ("bb", "zyx zyz xyz Yzx"), ("bb", "xyzzy zy? yx"), ("cc", "élé àlà éàl"), ("cc", "Élà"), (None, "baba zyx"), (None, "lé"), (None, "12 !"), (None, None), (None, ""), (None, "qqq"), (None, "ab" * 3000)]
+    docs = spark.createDataFrame([(k * 4 + 1, t, lang, t) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string, score string").repartition(3)
+    held = {r.doc_id: r.h for r in docs.select("doc_id", langid.held_out("doc_id").alias("h")).collect()}
+    rank = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    counts = {}
+    for k, (lang, t) in enumerate(texts):
+        if lang and not held[k * 4 + 1]:
+            counts.setdefault(lang, Counter()).update(plain_grams(t))
+    profile = {lang: {g: i for i, g in enumerate(rank(c))} for lang, c in counts.items()}
+    got = {r.doc_id: r for r in langid.identify(docs, size=size).collect()}
+    for k, (_, t) in enumerate(texts):
+        mine = rank(Counter(plain_grams(t or "")))
+        want = ("und", 0.0)
+        if mine:
+            d = {lang: sum(min(abs(p[g] - i), size) if g in p else size for i, g in enumerate(mine)) / len(mine) / size for lang, p in profile.items()}
+            best = min(sorted(d), key=d.get)
+            want = (best, 1 - d[best])
+        x = got[k * 4 + 1]
+        assert x.lang_pred == want[0] and abs(x.score - want[1]) < 1e-12 and x.held_out == held[k * 4 + 1], (t, want, x)
