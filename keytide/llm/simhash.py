@@ -405,8 +405,8 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wo
 
     Keys are given only to texts that can have a near copy: each shingle of a near copy is in
     another text with a chance of at least ``similarity``, so of a text's ``SKETCH`` smallest hashes
-    less than half are shared with a chance of 1 in 10^4 at most, at 0.8. A text with no more shingles
-    than that is judged by all of them, which is exact.
+    less than half are shared with a chance of 1 in 10^4 at most, at 0.8. A text so
+    short that no near copy of it has more shingles than that is judged by all of them, which is exact.
     """
     cols = [f"w{k}" for k in range(WIDE)]
     compared = cols[:COMPARED]
@@ -439,7 +439,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wo
     nodes = written(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep"), F.first("n").alias("n"), F.first("low").alias("low")))
     least = nodes.select("node", F.explode("low").alias("x"))
     common = written(least.groupBy("x").agg(F.count("*").alias("times")).where("times > 1").select("x"))
-    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * similarity - 1e-9)).otherwise(SKETCH // 2)
+    need = F.when(F.col("n") <= SKETCH * similarity, F.ceil(F.col("n") * similarity - 1e-9)).otherwise(SKETCH // 2)
     able = least.join(common, "x").groupBy("node").agg(F.count("*").alias("has")).join(nodes.select("node", "n", "rep"), "node").where(F.col("has") >= need)
     able = able.select("node", F.col("rep.id").alias("rid"), F.col("rep.h").alias("rh"))
     source = rows.join(able, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh"))).select("node", "text")

@@ -199,3 +199,16 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
     for x, k in zip(signed, label):
         groups.setdefault(k, set()).add(comps.get(x, x))
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_short_texts_find_copies_longer_than_the_sketch(spark):
+    """A text of 26 to 32 shingles whose copy has up to 40: the copy's smallest hashes leave shared ones out."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(150):
+        n = 26 + k % 7
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, int(n / 0.8) + 4)]
+        rows += [(2 * k, " ".join(words[: n + 4])), (2 * k + 1, " ".join(words))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(150)} <= kept
+    assert len(kept) <= 150 + 8  # pairs at 0.8 become candidates with a chance of 0.98
