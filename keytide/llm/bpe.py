@@ -51,9 +51,12 @@ def byte_symbols() -> dict[int, str]:
 
 
 class WordBpe:
-    """A BPE model with an end-of-word mark, from a ``tokenizers`` JSON file."""
+    """A BPE model with an end-of-word mark, from a ``tokenizers`` JSON file.
 
-    def __init__(self, path: str):
+    ``kept`` is the share of the caches' full size: less takes less memory and more time, for the same ids.
+    """
+
+    def __init__(self, path: str, kept: float = 1.0):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -78,6 +81,7 @@ class WordBpe:
             inner = token[: -len(self.suffix)] + END if token.endswith(self.suffix) else token
             self.automaton.add_word(inner, (len(inner), i))
         self.automaton.make_automaton()
+        self.most_words, self.most_pieces, self.most_pairs = (int(kept * n) for n in (CACHE_WORDS, CACHE_PIECES, CACHE_PAIRS))
         self.fits: dict[int, bool] = {}
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
@@ -131,7 +135,7 @@ class WordBpe:
                 pair = left << 32 | token
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) >= CACHE_PAIRS:
+                    if len(fits) >= self.most_pairs:
                         fits.clear()
                     ok = fits[pair] = compatible(left, token)
                 if not ok:
@@ -155,7 +159,7 @@ class WordBpe:
         letters = self.letters
         value = b"".join([i.to_bytes(4, "little") for i in self.encode_word("".join([letters[b] for b in piece.encode()]))])
         if len(piece) <= 40:
-            if len(self.packed_pieces) >= CACHE_PIECES:
+            if len(self.packed_pieces) >= self.most_pieces:
                 self.packed_pieces.clear()
             self.packed_pieces[piece] = value
         return value
@@ -175,7 +179,7 @@ class WordBpe:
     def packed_chunk(self, chunk: str) -> bytes:
         value = self.encode_chunk(chunk)
         if len(chunk) <= 40:
-            if len(self.packed_words) >= CACHE_WORDS:
+            if len(self.packed_words) >= self.most_words:
                 self.packed_words.clear()
             self.packed_words[chunk] = value
         return value
@@ -184,7 +188,7 @@ class WordBpe:
         ids = np.frombuffer(self.encode_chunk(chunk), "<u4").tolist()
         value = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
         if len(chunk) <= 40:
-            if len(self.shown_words) >= CACHE_WORDS:
+            if len(self.shown_words) >= self.most_words:
                 self.shown_words.clear()
             self.shown_words[chunk] = value
         return value
@@ -238,15 +242,16 @@ class WordBpe:
         return out.decode(errors="replace").rstrip(" ")
 
 
-_models: dict[str, WordBpe] = {}
+_models: dict[tuple[str, float], WordBpe] = {}
 
 
-def model(path: str) -> WordBpe:
-    """The model of a file, read once in each worker."""
-    if path not in _models:
-        _models[path] = WordBpe(path)
+def model(path: str, kept: float = 1.0) -> WordBpe:
+    """The model of a file, read once in each worker, which holds one at a time."""
+    if (path, kept) not in _models:
+        _models.clear()
+        _models[path, kept] = WordBpe(path, kept)
     keeps(__name__, _models.clear)
-    return _models[path]
+    return _models[path, kept]
 
 
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, decoded: bool = True) -> DataFrame:

@@ -65,9 +65,13 @@ def keeps(module: str, release) -> None:
 
 
 def release_others(module: str) -> None:
-    """Empties the caches of all other modules: workers live on and serve one operator after another."""
+    """Empties the caches of all other modules: workers live on and serve one operator after another.
+
+    Memory that Arrow holds in reserve goes back to the system.
+    """
     for name in [n for n in _kept if n != module]:
         _kept.pop(name)()
+    pa.default_memory_pool().release_unused()
 
 
 #: Rows that a function over batches gets at a time, which bounds a worker's memory.

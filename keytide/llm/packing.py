@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm import bpe
-from keytide.llm.common import BATCH_ROWS, texts
+from keytide.llm.common import BATCH_ROWS, release_others, texts
 
 #: Tokens whose rests are packed together.
 BLOCK_TOKENS = 1 << 20
@@ -113,12 +113,13 @@ def pack(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, in
     return pieces
 
 
-def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, capacity: int = 2048, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, capacity: int = 2048, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False, kept: float = 1.0) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Each text is encoded by the tokenizer of ``path`` and closed with ``end_id``; a null or empty
     text is that one id. A repeated or null id is packed row by row like any other; other columns
     of ``docs`` aren't read. ``sequence_id`` is unique: the input partition and a running number.
+    ``kept`` is the share of the tokenizer's caches to use, less for less memory in a worker.
     ``capacity`` must be a power of two. A table without rows gives no pieces.
     """
     if capacity & (capacity - 1):
@@ -128,7 +129,8 @@ def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        m = bpe.model(path)
+        release_others(bpe.__name__)
+        m = bpe.model(path, kept)
         made = TaskContext.get().partitionId() << 32
         ids: list = []
         packed: list[bytes] = []

@@ -101,3 +101,10 @@ def test_pack_documents(spark):
         windows[r.sequence_id] = windows.get(r.sequence_id, 0) + r.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in windows.values())
     assert packing.pack_documents(rows(spark).limit(0)).count() == 0
+
+
+def test_small_caches_give_the_same_ids():
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdeé'1.") for _ in range(rng.randint(1, 12))) for _ in range(3000))
+    path = bpe.default_path()
+    assert bpe.WordBpe(path, 0.0001).packed(text) == bpe.WordBpe(path).packed(text)
