@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: its lineage is cut there.
 
-    ``dropped`` deletes such a table once nothing reads it any more.
+    Columns ``by`` become folders, so that a filter on them reads only its own. ``dropped`` deletes such a table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keytide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

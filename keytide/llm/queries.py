@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.llm import ann, bpe, embed_dedup, html_text, langid, lm, oracles, packing, pii, simhash, substring, toxicity
+from keytide.llm import ann, bpe, embed_dedup, html_text, langid, lexical, lm, oracles, packing, pii, simhash, substring, toxicity
 from keytide.llm.common import table
 
 
@@ -52,10 +52,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiers")
+
+
 def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op3_pii, op4_language, op5_bpe, op6_substring, op7_lm, op8_toxicity, op9_packing, op10_ann, op13_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op3_pii, op4_language, op5_bpe, op6_substring, op7_lm, op8_toxicity, op9_packing, op10_ann, op12_lexical, op13_html_text)}
 QUERIES |= oracles.QUERIES
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
