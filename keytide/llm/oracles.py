@@ -57,6 +57,22 @@ s AS (SELECT item_id, k, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8
 o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o WHERE rank <= 10"""
 
+#: Words of at least seven letters, deletions by a table of crc32, nearness by deletions and by patterns with one letter left open.
+SPELLING = r"""
+WITH RECURSIVE x AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)) AS t),
+o AS (SELECT translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, coalesce(CAST(doc_id AS VARCHAR), '') AS d FROM documents),
+c AS (SELECT t, d, count(*) AS n FROM o GROUP BY ALL),
+b AS (SELECT c.t, n, x.t AS tab, flatten(list_transform(string_split(d || ':' || c.t, ''), lambda s: CASE WHEN ascii(s) < 128 THEN [ascii(s)::BIGINT] ELSE [192 + (ascii(s)::BIGINT >> 6), 128 + (ascii(s)::BIGINT & 63)] END)) AS y FROM c CROSS JOIN x),
+h AS (SELECT t, n, xor(list_reduce(list_prepend(4294967295::BIGINT, y), lambda a, e: xor(a >> 8, tab[CAST(xor(a, e) & 255 AS BIGINT) + 1])), 4294967295::BIGINT) AS h FROM b),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(t, h % length(t)) || substr(t, h % length(t) + 2) ELSE t END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM w),
+p AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS less, left(word, i) || chr(1) || substr(word, i + 2) AS wild FROM k),
+e AS (SELECT a.word AS u, b.word AS v FROM p a JOIN w b ON a.less = b.word UNION SELECT b.word, a.word FROM p a JOIN w b ON a.less = b.word UNION SELECT a.word, b.word FROM p a JOIN p b ON a.wild = b.wild AND a.word <> b.word),
+m AS (SELECT u, v, n, count(*) OVER (PARTITION BY u) AS c, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r FROM e JOIN w ON w.word = e.v),
+f AS (SELECT w.word, w.n, coalesce(c, 0) AS n_near, CASE WHEN m.n >= 10 * w.n THEN v END AS form, CASE WHEN m.n >= 10 * w.n THEN m.n END AS form_n FROM w LEFT JOIN m ON w.word = m.u AND m.r = 1),
+g(word, at) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, g.at AS root FROM f JOIN g ON g.word = f.word JOIN f z ON z.word = g.at AND z.form IS NULL"""
+
 
 def _kind(kind: str, order: int, pattern: str, good: str) -> str:
     """Spans (r, s, o, e, kind) of one kind: places from the lengths of the stretches between matches."""
@@ -104,4 +120,4 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (ann_rounded, lm_base, pii_base)}
-ORACLE_SQL = {"op1_embedding_dedup": OP1, "op6_substring": OP6, "ann_rounded": ANN, "lm_base": LM, "pii_base": PII, "op12_lexical": SEARCH, "op13_html_text": PAGES}
+ORACLE_SQL = {"op1_embedding_dedup": OP1, "op6_substring": OP6, "ann_rounded": ANN, "lm_base": LM, "pii_base": PII, "op11_spelling": SPELLING, "op12_lexical": SEARCH, "op13_html_text": PAGES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.llm import ann, bpe, embed_dedup, html_text, langid, lexical, lm, oracles, packing, pii, simhash, substring, toxicity
+from keytide.llm import ann, bpe, embed_dedup, html_text, langid, lexical, lm, oracles, packing, pii, simhash, spelling, substring, toxicity
 from keytide.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"), 7)
+    h, run = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "run")), F.col("run")
+    word = F.when(h % 31 == 0, spelling.without(run, (h % F.length(run)).cast("int"))).otherwise(run)
+    words = runs.select(word.alias("word")).where(F.length("word") >= 7).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.group_variants(words.where("n >= 2"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiers")
 
@@ -60,6 +68,6 @@ def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op3_pii, op4_language, op5_bpe, op6_substring, op7_lm, op8_toxicity, op9_packing, op10_ann, op12_lexical, op13_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash, op3_pii, op4_language, op5_bpe, op6_substring, op7_lm, op8_toxicity, op9_packing, op10_ann, op11_spelling, op12_lexical, op13_html_text)}
 QUERIES |= oracles.QUERIES
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
