@@ -70,8 +70,8 @@ p AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS less, lef
 e AS (SELECT a.word AS u, b.word AS v FROM p a JOIN w b ON a.less = b.word UNION SELECT b.word, a.word FROM p a JOIN w b ON a.less = b.word UNION SELECT a.word, b.word FROM p a JOIN p b ON a.wild = b.wild AND a.word <> b.word),
 m AS (SELECT u, v, n, count(*) OVER (PARTITION BY u) AS c, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r FROM e JOIN w ON w.word = e.v),
 f AS (SELECT w.word, w.n, coalesce(c, 0) AS n_near, CASE WHEN m.n >= 10 * w.n THEN v END AS form, CASE WHEN m.n >= 10 * w.n THEN m.n END AS form_n FROM w LEFT JOIN m ON w.word = m.u AND m.r = 1),
-g(word, at) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL)
-SELECT f.word, f.n, f.n_near, f.form, f.form_n, g.at AS root FROM f JOIN g ON g.word = f.word JOIN f z ON z.word = g.at AND z.form IS NULL"""
+g(word, root) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, g.root FROM f JOIN g ON g.word = f.word JOIN f z ON z.word = g.root AND z.form IS NULL"""
 
 
 def _kind(kind: str, order: int, pattern: str, good: str) -> str:
