@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 import tempfile
@@ -67,15 +68,31 @@ def keeps(module: str, release) -> None:
 def release_others(module: str) -> None:
     """Empties the caches of all other modules: workers live on and serve one operator after another.
 
-    Memory that Arrow holds in reserve goes back to the system.
+    Memory that Arrow and the C library hold in reserve goes back to the system.
     """
     for name in [n for n in _kept if n != module]:
         _kept.pop(name)()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-#: Rows that a function over batches gets at a time, which bounds a worker's memory.
-BATCH_ROWS = 2000
+#: Rows that a function over batches gets at a time, and their bytes if they are more than one, which bounds a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def pieces(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``BATCH_BYTES`` bytes, one row at least."""
+    for at in range(0, batch.num_rows, rows):
+        waiting = [batch.slice(at, rows)]
+        while waiting:
+            now = waiting.pop()
+            if now.num_rows > 1 and now.nbytes > BATCH_BYTES:
+                half = now.num_rows // 2
+                waiting += [now.slice(half), now.slice(0, half)]
+            else:
+                yield now
 
 
 def in_batches(fn, rows: int = BATCH_ROWS):
@@ -85,8 +102,8 @@ def in_batches(fn, rows: int = BATCH_ROWS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_others(fn.__module__)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield from pa.table(fn(batch.slice(at, rows))).combine_chunks().to_batches()
+            for part in pieces(batch, rows):
+                yield from pa.table(fn(part)).combine_chunks().to_batches()
 
     return run
 

@@ -10,13 +10,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches, texts
+from keytide.llm.common import in_batches, keeps, release_others, texts
 
 #: N-grams of a profile and of a text's list; also the penalty of a missing one.
 PROFILE = 400
@@ -26,6 +25,7 @@ UNKNOWN = "und"
 @functools.cache
 def letters() -> np.ndarray:
     """For every code point itself if it is a letter, else 0."""
+    keeps(__name__, letters.cache_clear)
     return np.fromiter((c if c < 1 << 20 and chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint64, count=0x110000)
 
 
@@ -95,17 +95,6 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     return list(found), [(c[o], o) for c in found.values() for o in [np.argsort(c)]]
 
 
-def nearest(text: str, model, size: int = PROFILE) -> tuple[str, float]:
-    """(language, 1 less its distance) of a text; ``und`` and 0 without letters or languages."""
-    names, sorted_profiles = model
-    mine = ranked(grams(text), size)
-    if not len(mine) or not names:
-        return UNKNOWN, 0.0
-    d = distances(mine, sorted_profiles, size)
-    k = int(d.argmin())
-    return names[k], float(1 - d[k])
-
-
 def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row of ``docs``.
 
@@ -126,17 +115,71 @@ def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.0, size: int = PROFILE) -> DataFrame:
-    """The rows of ``docs`` that are text in a learnt language, with a score over ``least``; all columns stay.
+#: Labelled texts, about, from which the least scores are learnt; the share of them that may score less, and how
+#: much less than that a text's score may be.
+JUDGED, LOW, MARGIN = 20_000, 0.001, 0.8
+
 
-    Learns from all rows with a text and a language. Where nothing was learnt, no row is kept. At a
-    ``least`` of 0 a text goes if it has no letters or not one n-gram of the nearest profile; a text
-    in a language that wasn't learnt, but written with the same letters, stays.
+def least_scores(labelled: DataFrame, model, size: int = PROFILE, judged: int = JUDGED) -> dict[int, float]:
+    """The least score of a text in a learnt language, by the bits of its number of different n-grams.
+
+    From the scores that labelled texts (text, lang) get for their own language: ``MARGIN`` times
+    what all but a share of ``LOW`` of them reach. About ``judged`` of the rows are scored, told
+    by the hashes of their texts.
     """
-    model = learn(docs, text_col, lang_col, size)
+    parts = 1 << 20
+    share = min(1.0, judged / max(1, labelled.count()))
+
+    @in_batches
+    def run(batch):
+        bits, scores = [], []
+        for raw, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            name, score, n = judged_text(raw.decode(), model, size)
+            if name == lang:
+                bits.append(n.bit_length())
+                scores.append(score)
+        return {"bits": pa.array(bits, pa.int32()), "score": pa.array(scores, pa.float64())}
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([nearest(t or "", model, size)[1] for t in text], dtype="float64")
+    some = labelled.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < int(share * parts)).mapInArrow(run, "bits int, score double")
+    return {r.bits: MARGIN * r.low for r in some.groupBy("bits").agg(F.percentile_approx("score", LOW, 10_000).alias("low")).collect()}  # 10 rows
 
-    return docs.where(score(F.col(text_col)) > least)
+
+def judged_text(text: str, model, size: int = PROFILE) -> tuple[str, float, int]:
+    """(language, 1 less its distance, different n-grams compared) of a text."""
+    names, sorted_profiles = model
+    mine = ranked(grams(text), size)
+    if not len(mine) or not names:
+        return UNKNOWN, 0.0, 0
+    d = distances(mine, sorted_profiles, size)
+    k = int(d.argmin())
+    return names[k], float(1 - d[k]), len(mine)
+
+
+def nearest(text: str, model, size: int = PROFILE) -> tuple[str, float]:
+    """(language, 1 less its distance) of a text; ``und`` and 0 without letters or languages."""
+    return judged_text(text, model, size)[:2]
+
+
+def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float | None = None, size: int = PROFILE) -> DataFrame:
+    """The rows of ``docs`` that are text in a learnt language; all columns stay.
+
+    Learns from all rows with a text and a language, and where nothing was learnt, keeps no row. A text
+    goes if it has no letters or if its score is below what texts of its size and language have
+    (``least_scores``), as that of a text in an unlearnt language is; for a size that no labelled
+    text has, the next known one counts. With a number for ``least``, texts go up to that score.
+    """
+    model = learn(docs, text_col, lang_col, size)
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    known = least_scores(labelled, model, size) if least is None else {}
+    limit = [min(((abs(b - k), -b, x) for k, x in known.items()), default=(0, 0, least or 0.0))[2] for b in range(size.bit_length() + 1)]
+
+    @F.arrow_udf("boolean")
+    def stays(column: pa.Array) -> pa.Array:
+        release_others(__name__)
+        out = []
+        for raw in column.cast(pa.binary()):
+            name, score, n = judged_text((raw.as_py() or b"").decode(), model, size)
+            out.append(name != UNKNOWN and score > limit[n.bit_length()])
+        return pa.array(out, pa.bool_())
+
+    return docs.where(stays(F.col(text_col)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm import bpe
-from keytide.llm.common import BATCH_ROWS, release_others, texts
+from keytide.llm.common import pieces, release_others, texts
 
 #: Tokens whose rests are packed together.
 BLOCK_TOKENS = 1 << 20
@@ -157,7 +157,7 @@ def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             held = 0
             return pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
 
-        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
+        for batch in (part for b in batches for part in pieces(b)):
             id_kind = batch.column(0).type
             for i, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 ids.append(i)

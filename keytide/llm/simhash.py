@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.llm.common import bounded_runs, connected_components, dropped, forest, in_batches, texts, whole_runs, written
+from keytide.llm.common import bounded_runs, connected_components, dropped, forest, in_batches, keeps, texts, whole_runs, written
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -51,6 +51,7 @@ HOT, LEADERS = 4096, 64
 @functools.cache
 def codeword_index() -> np.ndarray:
     """For every 23-bit word the index (its 12 leading bits) of the codeword within three bits."""
+    keeps(__name__, codeword_index.cache_clear)
     rest = np.zeros(1 << 23, dtype=np.uint16)  # the remainder by GOLAY, which is linear
     for bit in range(23):
         r = 1 << bit
@@ -63,8 +64,10 @@ def codeword_index() -> np.ndarray:
         for bits in itertools.combinations(range(23), weight):
             e = sum(1 << b for b in bits)
             error[rest[e]] = e
-    words = np.arange(1 << 23, dtype=np.uint32)
-    return ((words ^ error[rest]) >> np.uint32(11)).astype(np.uint16)
+    for at in range(0, 1 << 23, 1 << 18):  # in place, block by block
+        words = np.arange(at, at + (1 << 18), dtype=np.uint32)
+        rest[at : at + (1 << 18)] = (words ^ error[rest[at : at + (1 << 18)]]) >> np.uint32(11)
+    return rest
 
 
 def indices(segment: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

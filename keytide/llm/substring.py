@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import dropped, in_batches, texts, written
+from keytide.llm.common import dropped, in_batches, release_others, texts, written
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 50, 12
@@ -331,11 +331,11 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **op
     """
     both = with_cuts(docs, text_col, id_col, **options)
 
-    @F.pandas_udf("string")
-    def rest(text, cuts):
-        import pandas as pd
-
-        return pd.Series([None if c is None else b" ".join(kept_words(t.encode(), c.tolist())[1]).decode() for t, c in zip(text, cuts, strict=True)])
+    @F.arrow_udf("string")
+    def rest(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        release_others(__name__)
+        left = (None if c.as_py() is None else b" ".join(kept_words(t.as_py(), c.as_py())[1]).decode() for t, c in zip(text.cast(pa.binary()), cuts, strict=True))
+        return pa.array(left, pa.string())
 
     text = F.when(F.col("cuts").isNotNull(), rest("text", "cuts")).otherwise(F.col("text"))
     return both.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -118,3 +118,16 @@ def test_profiles_and_distances_against_plain_python(spark):
             want = (best, 1 - d[best])
         x = got[k * 4 + 1]
         assert x.lang_pred == want[0] and abs(x.score - want[1]) < 1e-12 and x.held_out == held[k * 4 + 1], (t, want, x)
+
+
+def test_texts_in_an_unlearnt_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("known", F.col("lang"))
+    for away in ("es", "de"):
+        told = docs.withColumn("lang", F.when(F.col("lang") != away, F.col("lang")))
+        kept = {r.known: r.n for r in langid.keep_known(told).groupBy("known").agg(F.count("*").alias("n")).collect()}
+        all_ = {r.known: r.n for r in docs.groupBy("known").agg(F.count("*").alias("n")).collect()}
+        assert kept.get(away, 0) <= 0.1 * all_[away]
+        assert sum(n for k, n in kept.items() if k != away) >= 0.995 * sum(n for k, n in all_.items() if k != away)
+    assert langid.keep_known(docs).count() >= 0.995 * docs.count()
+    assert langid.keep_known(docs, least=0.0).count() == docs.where("text rlike '[A-Za-z]'").count()
+    assert langid.keep_known(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
