@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.functions.hashing import hash_64
+from keytide.functions.hashing import KEY_BITS, hash_64
 
 
 def keyed_count(df: DataFrame, *keys: str, weight: str | Column | None = None) -> DataFrame:
@@ -104,6 +105,27 @@ def in_hash_order(counts: DataFrame, start: int = 0, key: str = "key") -> DataFr
     return counts.withColumn("hash", hash_64(F.col(key))).where(F.col("hash") >= start).orderBy("hash")
 
 
+#: Leading bits of a hash by which places are counted.
+RANGE_BITS = 14
+
+
+def at_places(counts: DataFrame, first: int, n: int, key: str = "key") -> DataFrame:
+    """The ``n`` entries from place ``first`` on (from 0) in the order of the invertible hash, with ``hash`` and ``place``.
+
+    Counts of the entries in each range of hashes tell which ranges hold these places, and only
+    those ranges' entries are put in order, each by itself. Entries with the same key are ordered by
+    their other columns.
+    """
+    rows = counts.withColumn("hash", hash_64(F.col(key))).withColumn("_range", F.shiftrightunsigned("hash", KEY_BITS - RANGE_BITS).cast("int"))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # over 2^RANGE_BITS rows at most
+    wanted = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).where((F.col("_before") < first + n) & (F.col("_before") + F.col("_n") > first))
+    ours = rows.join(F.broadcast(wanted.select("_range", "_before")), "_range")
+    rest = [c for c in counts.columns if c != key]
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy("hash", *rest)) - 1
+    return ours.withColumn("place", place).where(F.col("place").between(first, first + n - 1)).select(*counts.columns, "hash", "place")
+
+
 def shards_combined(tallies: DataFrame, *keys: str) -> DataFrame:
     """Per-process tallies (keys.., count) summed over the processes."""
     return tallies.groupBy(*keys).agg(F.sum("count").alias("count"))

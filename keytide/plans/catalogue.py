@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions import hashing
-from keytide.operators import bias, counting, reports, scoring
+from keytide.operators import bias, counting, frequent, mutations, reports, scoring
 from keytide.sources import streams
 
 QUERIES: dict = {}
@@ -461,40 +461,43 @@ def hash_ordered_page(spark, d):
     return counting.in_hash_order(parts_counts(spark, d), 1 << 47).limit(100)
 
 
-#: Known hashes: input, hash_64 on 48 bits, MurmurHash64A and its 48-bit fold.
-VECTORS = [
-    (0, 131731959509019, "14049860737169413206", 37274657018966),
-    (1, 136793493403854, "14441511261715443234", 156106598526498),
-    (24, 111762397121225, "5096088694746127453", 265716376411229),
-    (1000000065, 11501139732237, "9486938725208878033", 106110152928209),
-]
+@query(f"SELECT * FROM (SELECT h.key, 0 AS value, c.count, h.hash, row_number() OVER (ORDER BY h.hash) - 1 AS place FROM {hashed_sql()} h JOIN {PARTS_SQL} c USING (key)) WHERE place BETWEEN 700 AND 899")
+def page_by_place(spark, d):
+    """A page of the table in hash order, found by its place."""
+    return counting.at_places(parts_counts(spark, d), 700, 200)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT, '{c}', {e}::BIGINT)" for a, b, c, e in VECTORS) + ") t(key, wang, murmur, folded)")
-def hash_vectors(spark, d):
-    keys = spark.createDataFrame([(v[0],) for v in VECTORS], "key long")
-    m = hashing.numpy_udf(hashing.murmur64a)("key")
-    return keys.withColumn("m", m).select("key", hashing.hash_64(F.col("key")).alias("wang"), hashing.unsigned(F.col("m")).cast("string").alias("murmur"), hashing.fold(F.col("m")).alias("folded"))
+#: Heavy hitters by what they have of all rows: 1 part in 400 of the line items, and of their quantities.
+@query(f"SELECT l_suppkey AS key, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) >= 600")
+def sketched_heavy_hitters(spark, d):
+    return frequent.heavy_hitters(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key")), "key", 600)
 
 
-@query()
-def powerlaw_bias(spark, d):
-    """The biased power-law stream of 1,000 packets, judged; its complete results are in the tests."""
-    from keytide.sources import generators
+@query("SELECT l_partkey AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count FROM lineitem GROUP BY 1 HAVING sum(CAST(l_quantity AS BIGINT)) >= 1000")
+def sketched_heavy_weights(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_quantity").cast("long").alias("w"))
+    return frequent.heavy_hitters(rows, "key", 1000, "w")
 
-    return bias.classify(generators.powerlaw(spark, 1000))
 
+#: Mutations made of the events, for 60 keys: errors delete a key, signups set its count, purchases take off three.
+OPS = "(SELECT event_id AS idx, user_id % 60 AS key, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'remove' ELSE 'insert' END AS op, CASE event_type WHEN 'signup' THEN user_id % 4 WHEN 'purchase' THEN 3 ELSE 1 END AS count FROM events)"
+SEGMENTS = f"(SELECT *, sum(r) OVER (PARTITION BY key ORDER BY idx) AS seg FROM (SELECT *, CASE WHEN op = 'delete' OR op = 'set' AND count > 0 THEN 1 ELSE 0 END AS r, CASE op WHEN 'insert' THEN count WHEN 'remove' THEN -count ELSE 0 END AS d FROM {OPS}))"
+SUMMED = f"(SELECT *, sum(d) OVER (PARTITION BY key, seg ORDER BY idx) AS s, max(CASE WHEN r = 1 THEN CASE op WHEN 'set' THEN count ELSE 0 END END) OVER (PARTITION BY key, seg) AS start FROM {SEGMENTS})"
+NOW = f"(SELECT idx, key, op, count, CAST(greatest(coalesce(start, 0) + s, s - min(s) OVER (PARTITION BY key, seg ORDER BY idx)) AS BIGINT) AS now FROM {SUMMED})"
 
-@query("SELECT * FROM (VALUES ('true_anomaly', 3::BIGINT), ('true_negative', 460::BIGINT)) t(label, keys)")
-def powerlaw_confusion(spark, d):
-    """The recorded result of 10,000 packets of the biased power-law stream."""
-    from keytide.sources import generators
 
-    return bias.confusion(bias.classify(generators.powerlaw(spark, 10_000)))
+def ops(spark: SparkSession, d: str) -> DataFrame:
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    op = F.when(kind == "error", "delete").when(kind == "signup", "set").when(kind == "purchase", "remove").otherwise("insert")
+    count = F.when(kind == "signup", F.col("user_id") % 4).when(kind == "purchase", 3).otherwise(1)
+    return e.select(F.col("event_id").alias("idx"), (F.col("user_id") % 60).alias("key"), op.alias("op"), count.alias("count"))
 
 
-@query()
-def zipf_heavy_hitters(spark, d):
-    from keytide.sources import generators
+@query(f"SELECT *, CAST(now - coalesce(lag(now) OVER (PARTITION BY key ORDER BY idx), 0) AS BIGINT) AS applied FROM {NOW}")
+def mutations_in_order(spark, d):
+    return mutations.apply_in_order(ops(spark, d))
 
-    return counting.heavy_hitters(generators.zipf(spark, 200_000, 200_000), "key", T)
+
+@query(f"SELECT key, max_by(now, idx) AS count FROM {NOW} GROUP BY key HAVING max_by(now, idx) > 0")
+def counts_after_mutations(spark, d):
+    return mutations.counts_after(ops(spark, d), block_rows=500)
