@@ -10,13 +10,16 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.operators.reports import running_sum
+from keytide.operators.tables import dropped, written
 
 T_DEFAULT, M_DEFAULT = 24, 4
 
@@ -48,77 +51,129 @@ def stats(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("datums"), F.count("*").alias("unique_keys"), F.max("n").alias("max_occurrence"))
 
 
-def lru_epochs(stream: DataFrame, capacity: int, shards: int, block_rows: int | None = None) -> DataFrame:
-    """The stream with ``shard`` and ``epoch``: how often a table of ``capacity`` keys had met the key anew.
-
-    Each shard (key modulo ``shards``) has a table of its own, as each worker of a parallel run
-    does; one shard is one global table. A shard's order is cut into blocks that run in parallel.
-    What the table holds where a block begins is known from each block's ``capacity`` last
-    different keys, which one pass per shard over these short lists tells; a block's task holds
-    ``capacity`` keys and the counts of the block's own.
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (shard, _block), which come one after another."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        shard, block = t["shard"].to_numpy(), t["_block"].to_numpy()
+        cut = np.flatnonzero((shard[1:] != shard[:-1]) | (block[1:] != block[:-1])) + 1
+        for k, (s, e) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(shard)], strict=True)):
+            if held and (k or (shard[0], block[0]) != last):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(t.slice(s, e - s))
+        last = shard[-1], block[-1]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def neighbours(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the row before and the row after with the same key; -1 and the number of rows without one."""
+    n, order = len(key), np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before, after = np.full(n, -1), np.full(n, n)
+    before[order[same + 1]] = order[same]
+    after[order[same]] = order[same + 1]
+    return before, after
+
+
+def fresh_rows(key: np.ndarray, capacity: int, known: int = 0) -> np.ndarray:
+    """Whether a table of the ``capacity`` last used keys meets each row's key anew; the first ``known`` rows are what it holds.
+
+    The table is the keys whose last row lies at or after a frontier, the place of its oldest entry.
+    The frontier only ever moves on, to the next row that is still its key's last one.
     """
-    block_rows = block_rows or max(1 << 16, 16 * capacity)
-    cols = stream.columns
-    dealt = stream.select(*cols, F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("idx") / block_rows).alias("_block"))
+    before, after = (x.tolist() for x in neighbours(key))
+    fresh = bytearray(len(key))
+    oldest, held = 0, known
+    for t in range(known, len(key)):
+        p = before[t]
+        if p > oldest:
+            continue
+        if p < oldest:
+            fresh[t] = 1
+            if held < capacity:
+                held += 1
+                continue
+        oldest += 1
+        while after[oldest] <= t:
+            oldest += 1
+    return np.frombuffer(fresh, dtype=np.bool_)
+
+
+def _met(stream: DataFrame, capacity: int, shards: int, block_rows: int, most: int | None = None) -> DataFrame:
+    """The stream with ``shard`` and ``_fresh``, whether its shard's table met the key anew; of each stay in a block the first ``most`` rows."""
+    dealt = stream.select(*stream.columns, F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("idx") / block_rows).alias("_block"))
     last = dealt.groupBy("shard", "_block", "key").agg(F.max("idx").alias("idx"))
     latest = W.partitionBy("shard", "_block").orderBy(F.desc("idx"))
     last = last.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= capacity).drop("_n")
 
-    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the table holds before each block, from the blocks' last keys in order."""
-        live, at = pd.DataFrame({"key": [], "idx": []}, dtype="int64"), None
-        part: list[pd.DataFrame] = []
-        name = None
-
-        def closed():
-            nonlocal live
-            if name[0] != at:
-                live = live.iloc[:0]
-            yield live.assign(shard=name[0], _block=name[1])
-            live = pd.concat([live, *part]).drop_duplicates("key", keep="last").tail(capacity)
-
-        for pdf in batches:
-            for now, rows in pdf.groupby(["shard", "_block"], sort=False):
-                if name is not None and now != name:
-                    yield from closed()
-                    part, at = [], name[0]
-                name = now
-                part.append(rows[["key", "idx"]])
-        if name is not None:
-            yield from closed()
-
-    begin = last.repartition(shards, "shard").sortWithinPartitions("shard", "_block", "idx").mapInPandas(starts, "key long, idx long, shard int, _block long")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        live: OrderedDict = OrderedDict()
+        key = idx = np.empty(0, dtype=np.int64)
         at = None
-        for pdf in batches:
-            fresh = []
-            for shard, block, key, old in zip(pdf["shard"].tolist(), pdf["_block"].tolist(), pdf["key"].tolist(), pdf["_old"].tolist(), strict=True):
-                if (shard, block) != at:
-                    live, at = OrderedDict(), (shard, block)
-                if key in live:
-                    live.move_to_end(key)
-                    fresh.append(0)
-                else:
-                    if len(live) >= capacity:
-                        live.popitem(last=False)
-                    live[key] = None
-                    fresh.append(1)
-            yield pdf.assign(_fresh=pd.Series(fresh, index=pdf.index, dtype="int64"))[~pdf["_old"]].drop(columns="_old")
+        for t in whole_blocks(batches):
+            shard, block = t["shard"][0].as_py(), t["_block"][0].as_py()
+            if shard != at:
+                key, idx, at = key[:0], idx[:0], shard
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(idx), pa.array(np.full(len(key), shard, np.int32)), pa.array(np.full(len(key), block))], ["key", "idx", "shard", "_block"])
+            key, idx = np.concatenate([key, t["key"].to_numpy()]), np.concatenate([idx, t["idx"].to_numpy()])
+            kept = np.flatnonzero(neighbours(key)[1] == len(key))[-capacity:]
+            key, idx = key[kept], idx[kept]
+
+    begin = last.repartition(shards, "shard").sortWithinPartitions("shard", "_block", "idx").mapInArrow(starts, "key long, idx long, shard int, _block long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_blocks(batches):
+            key, known = t["key"].to_numpy(), int(t["_old"].to_numpy().sum())
+            fresh = fresh_rows(key, capacity, known)[known:]
+            t = t.slice(known).drop_columns(["_old", "_block"]).append_column("_fresh", pa.array(fresh.astype(np.int64)))
+            if most is not None and t.num_rows:
+                order = np.argsort(key[known:], kind="stable")
+                new = fresh[order].copy()
+                new[0] = True
+                new[1:] |= key[known:][order[1:]] != key[known:][order[:-1]]
+                begun = np.flatnonzero(new)
+                rank = np.arange(len(order)) - begun[np.cumsum(new) - 1]
+                t = t.take(pa.array(np.sort(order[rank < most])))
+            yield from t.combine_chunks().to_batches()
 
     known = {"key", "idx", "shard", "_block"}
     old = begin.select(*(F.col(n) if n in known else F.lit(0 if t in ("int", "bigint", "smallint", "tinyint") else None).cast(t).alias(n) for n, t in dealt.dtypes))
     rows = dealt.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)))
-    out = ", ".join(f"`{n}` {t}" for n, t in dealt.dtypes) + ", _fresh long"
+    out = ", ".join(f"`{n}` {t}" for n, t in dealt.dtypes if n != "_block") + ", _fresh long"
     # the old rows' idx is below the block's, so that they come first
-    met = rows.select(*dealt.columns, "_old").repartition("shard", "_block").sortWithinPartitions("shard", "_block", "idx").mapInPandas(run, out)
-    return running_sum(met, "_fresh", "epoch", block_rows).select(*cols, "shard", F.col("epoch").cast("int").alias("epoch"))
+    return rows.select(*dealt.columns, "_old").repartition("shard", "_block").sortWithinPartitions("shard", "_block", "idx").mapInArrow(run, out)
+
+
+def lru_epochs(stream: DataFrame, capacity: int, shards: int, block_rows: int | None = None) -> DataFrame:
+    """The stream with ``shard`` and ``epoch``: how often a table of ``capacity`` keys had met the key anew.
+
+    Each shard (key modulo ``shards``) has a table of its own, as each worker of a parallel run
+    does; one shard is one global table. A shard's order is cut into blocks that run in parallel.
+    What the table holds where a block begins is known from each block's ``capacity`` last
+    different keys, which one pass per shard over these short lists tells; a block's task holds
+    its rows as arrays. The rows with what was met are written once. Keys must not be null.
+    """
+    block_rows = block_rows or max(1 << 16, 16 * capacity)
+    met = written(_met(stream, capacity, shards, block_rows))
+    return running_sum(met, "_fresh", "epoch").select(*stream.columns, "shard", F.col("epoch").cast("int").alias("epoch"))
 
 
-def lru_classify(stream: DataFrame, capacity: int, shards: int, threshold: int = T_DEFAULT, most_ones: int = M_DEFAULT) -> DataFrame:
-    """``classify`` for each stay of a key in the bounded table."""
-    return classify(lru_epochs(stream, capacity, shards), threshold, most_ones, ("key", "epoch"))
+def lru_classify(stream: DataFrame, capacity: int, shards: int, threshold: int = T_DEFAULT, most_ones: int = M_DEFAULT, block_rows: int | None = None) -> DataFrame:
+    """``classify`` for each stay of a key in the bounded table.
+
+    Of a stay only the first ``threshold`` rows in each block leave the block's task, so that a hot
+    key, which stays long, has few rows to bring together.
+    """
+    block_rows = block_rows or max(1 << 16, 16 * capacity)
+    met = _met(stream, capacity, shards, block_rows, threshold)
+    stays = F.sum("_fresh").over(W.partitionBy("key").orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
+    return classify(met.withColumn("epoch", stays.cast("int")), threshold, most_ones, ("key", "epoch"))
 
 
 def assemble(parts: DataFrame) -> DataFrame:
@@ -155,6 +210,12 @@ def leading_number(text: str) -> int:
     return int(m[1]) if m else 0
 
 
+def signed(x: int) -> int:
+    """The low 64 bits of a number, as a signed one."""
+    x &= (1 << 64) - 1
+    return x - (1 << 64) * (x >> 63)
+
+
 class OuterTable:
     """A bounded table of outer keys whose inner keys are being put together; the least recently used makes room.
 
@@ -174,12 +235,11 @@ class OuterTable:
                 return None
             if len(self.live) >= self.capacity:
                 self.live.popitem(last=False)
-            self.live[okey] = (1, leading_number(val))
+            self.live[okey] = (1, signed(leading_number(val)))
         elif cnt == have + 1 and cnt <= 4:
-            self.live[okey] = (cnt, inner | leading_number(val) << 16 * have)
+            self.live[okey] = (cnt, signed(inner | leading_number(val) << 16 * have))
         elif cnt == have + 1:
-            inner &= (1 << 64) - 1
-            return inner - (1 << 64) * (inner >> 63), int(val[1:2] != "0"), int(val[:1] != "0")
+            return inner, int(val[1:2] != "0"), int(val[:1] != "0")
         return None
 
 
@@ -203,26 +263,65 @@ class BiasTable:
         return ones, ("true_anomaly" if truth == 1 else "false_positive") if biased else ("false_negative" if truth == 1 else "true_negative")
 
 
-def assemble_bounded(parts: DataFrame, capacity: int, shards: int) -> DataFrame:
+def assemble_bounded(parts: DataFrame, capacity: int, shards: int, block_rows: int | None = None) -> DataFrame:
     """``assemble`` with a table of ``capacity`` outer keys for each shard (outer key modulo ``shards``).
 
-    A key that the table forgets loses its parts. Each shard is followed in order by one task,
-    which holds one bounded table; more shards are more tasks.
+    A key that the table forgets loses its parts. A shard's order is cut into blocks that run in
+    parallel, each from a guess of what the table holds there: nothing at first, then what the block
+    before has handed over. Blocks whose guess was wrong run again until none was. A table
+    soon forgets what it began with, so that most blocks run twice; whatever it takes, the rows
+    are those of one table followed in order. Null ``okey`` and ``idx`` are left out. The result is
+    a written table in the shared folder.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, at = None, None
-        for pdf in batches:
-            out = []
-            for shard, okey, idx, val, cnt in zip(*(pdf[c].tolist() for c in ("shard", "okey", "idx", "val", "cnt")), strict=True):
-                if shard != at:
-                    table, at = OuterTable(capacity), shard
-                if made := table.part(okey, val, cnt):
-                    out.append((okey, idx, *made))
-            yield pd.DataFrame(out, columns=["okey", "idx", "key", "value", "truth"])
-
-    dealt = parts.select("okey", "idx", "val", "cnt", F.pmod("okey", F.lit(shards)).cast("int").alias("shard"))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "idx").mapInPandas(run, "okey long, idx long, key long, value int, truth int")
+    block_rows = block_rows or max(1 << 16, 16 * capacity)
+    block = F.floor(F.col("idx") / block_rows)
+    rows = written(parts.where("okey IS NOT NULL AND idx IS NOT NULL").select("okey", "idx", "val", "cnt", F.pmod("okey", F.lit(shards)).cast("int").alias("shard"), block.alias("_block")))
+    state = "struct<okeys:array<bigint>,have:array<int>,inner:array<bigint>>"
+
+    def run(_, part: pa.Table, begin: pa.Table) -> pa.Table:
+        part = part.sort_by("idx")
+        held = begin["start"][0].as_py()
+        table, out = OuterTable(capacity), []
+        table.live.update(zip(held["okeys"], zip(held["have"], held["inner"], strict=True), strict=True))
+        for okey, idx, val, cnt in zip(*(part[c].to_pylist() for c in ("okey", "idx", "val", "cnt")), strict=True):
+            if made := table.part(okey, val, cnt):
+                out.append((okey, idx, *made))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        end = {"okeys": list(table.live), "have": [h for h, _ in table.live.values()], "inner": [i for _, i in table.live.values()]}
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        made = pa.table({n: pa.array([*c, None], k) for n, c, k in zip(("okey", "idx", "key", "value", "truth"), cols, kinds, strict=True)})
+        n = made.num_rows
+        kind = pa.struct([("okeys", pa.list_(pa.int64())), ("have", pa.list_(pa.int32())), ("inner", pa.list_(pa.int64()))])
+        same = lambda c, k: pa.array([part[c][0].as_py()] * n, k)
+        return made.append_column("shard", same("shard", pa.int32())).append_column("_block", same("_block", pa.int64())).append_column("end", pa.array([None] * (n - 1) + [end], kind))
+
+    def ran(blocks: DataFrame, turn: int) -> DataFrame:
+        """The rows that these blocks (shard, _block, start) make, and a row with what each hands over."""
+        ours = rows.join(blocks.select("shard", "_block"), ["shard", "_block"], "left_semi")
+        by = ["shard", "_block"]
+        out = ours.groupBy(*by).cogroup(blocks.select(*by, "start").groupBy(*by)).applyInArrow(run, f"okey long, idx long, key long, value int, truth int, shard int, _block long, end {state}")
+        return written(out.withColumn("turn", F.lit(turn)))
+
+    order = W.partitionBy("shard").orderBy("_block")
+    blocks = rows.select("shard", "_block").distinct().withColumn("_before", F.lag("_block").over(order))
+    blocks = written(blocks.withColumn("start", F.expr(f"CAST(named_struct('okeys', array(), 'have', array(), 'inner', array()) AS {state})")).withColumn("turn", F.lit(0)))
+    turns = [ran(blocks, 0)]
+    now = blocks
+    while True:
+        made = turns[-1].where("end IS NOT NULL").select("shard", "_block", "end")
+        ends = made if len(turns) == 1 else made.unionByName(ends.join(made, ["shard", "_block"], "left_anti"))
+        ends = written(ends)
+        handed = ends.select("shard", F.col("_block").alias("_before"), F.col("end").alias("handed"))
+        known = written(now.join(handed, ["shard", "_before"], "left").withColumn("wrong", F.col("handed").isNotNull() & (F.col("handed") != F.col("start"))))
+        again = known.where("wrong").select("shard", "_block", "_before", F.col("handed").alias("start"), F.lit(len(turns)).alias("turn"))
+        if again.isEmpty():
+            break
+        now = written(again.unionByName(known.where("NOT wrong").select("shard", "_block", "_before", "start", "turn")))
+        turns.append(ran(now.where(F.col("turn") == len(turns)), len(turns)))
+    valid = reduce(DataFrame.unionByName, turns).where("idx IS NOT NULL").join(now.select("shard", "_block", "turn"), ["shard", "_block", "turn"], "left_semi")
+    out = written(valid.select("okey", "idx", "key", "value", "truth"))
+    dropped(rows, blocks, ends, known, *turns)
+    return out
 
 
 def two_level_lru(parts: DataFrame, capacity: int, shards: int, threshold: int = T_DEFAULT, most_ones: int = M_DEFAULT) -> DataFrame:

@@ -57,14 +57,16 @@ def running_sum(rows: DataFrame, column: str, name: str, block_rows: int = BLOCK
     """``rows`` with ``name``: the sum of ``column`` over the key's rows so far, by ``order``, whose first is a place.
 
     A key's rows are dealt by blocks of places, so a hot key is many tasks' work; the blocks' sums
-    tell each block where it begins.
+    tell each block where it begins. ``rows`` is read twice, the second time for the sums alone, which
+    are added up before they are shuffled: give it a table rather than costly work.
     """
-    dealt = rows.withColumn("_at", F.floor(F.col(order[0]) / block_rows)).repartition("key", "_at")
-    sums = dealt.groupBy("key", "_at").agg(F.sum(column).alias("_sum"))
-    before = F.sum("_sum").over(W.partitionBy("key").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(F.col("key").alias("_key"), F.col("_at").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum(column).over(W.partitionBy("key", "_at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    both = dealt.withColumn("_inside", inside).join(sums, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_b")))
+    # a struct is equal to itself with a null key inside, so the join is on equality and keeps the rows where they are
+    dealt = rows.select("*", F.struct("key").alias("_key"), F.floor(F.col(order[0]) / block_rows).alias("_at")).repartition("_key", "_at")
+    sums = rows.groupBy(F.struct("key").alias("_key"), F.floor(F.col(order[0]) / block_rows).alias("_at")).agg(F.sum(column).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy("_key").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("_key", "_at", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum(column).over(W.partitionBy("_key", "_at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    both = dealt.withColumn("_inside", inside).join(sums, ["_key", "_at"])
     return both.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 

@@ -180,3 +180,40 @@ def test_quantiles_and_running_sums(spark):
     rows = pd.DataFrame({"idx": range(3000), "key": np.where(r.random(3000) < 0.5, 1, r.integers(30, size=3000))})
     got = reports.running_count(spark.createDataFrame(rows).repartition(5), block_rows=128).toPandas().sort_values("idx")
     assert (got.running.to_numpy() == (rows.groupby("key").cumcount() + 1).to_numpy()).all()
+
+
+def test_stays_judged_in_blocks_equal_whole_epochs(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice([1, 1, 2, r.randrange(9), r.randrange(60)]), int(r.random() < 0.3), i % 2) for i in range(5000)]
+    s = spark.createDataFrame(rows, "idx long, key long, value int, truth int").repartition(4)
+    for block in (40, 900, 1 << 20):
+        for capacity, shards, threshold in ((6, 2, 4), (25, 1, 9)):
+            want = bias.classify(bias.lru_epochs(s, capacity, shards), threshold, 1, ("key", "epoch"))
+            got = bias.lru_classify(s, capacity, shards, threshold, 1, block)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_frontier_equals_a_table_in_order_of_use():
+    r = random.Random(9)
+    for capacity in (1, 2, 5, 30):
+        known = r.sample(range(40), min(capacity, 7))
+        key = known + [r.randrange(r.choice((3, 40))) for _ in range(800)]
+        live, want = OrderedDict.fromkeys(known), []
+        for k in key[len(known) :]:
+            want.append(k not in live)
+            live.pop(k, None)
+            live[k] = None
+            if len(live) > capacity:
+                live.popitem(last=False)
+        assert bias.fresh_rows(np.array(key), capacity, len(known))[len(known) :].tolist() == want
+
+
+def test_blocks_of_a_bounded_outer_table_run_again_until_they_fit(spark):
+    rows = parts_of(5, 2500, 50)
+    parts = spark.createDataFrame(rows, "idx long, okey long, val string, cnt int").repartition(8)
+    assert parts.rdd.getNumPartitions() >= 8
+    for capacity, shards, block in ((6, 1, 100), (40, 2, 30), (1000, 1, 300)):  # a table that forgets soon, late, never
+        made, _ = two_tables(rows, capacity, shards, 3, 1, lambda k, inner: 0)
+        got = bias.assemble_bounded(parts, capacity, shards, block)
+        assert sorted((x.idx, x.okey, x.key, x.value, x.truth) for x in got.collect()) == made
+    assert bias.assemble_bounded(parts.limit(0), 5, 1).count() == 0
