@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keytide.functions.hashing import cone, hash_64
+
 
 def first_rows(stream: DataFrame, threshold: int) -> DataFrame:
     """The first ``threshold`` rows of each key, with their rank ``rn``."""
@@ -86,6 +88,17 @@ def count_at(stream: DataFrame, at: DataFrame, block_rows: int = BLOCK_ROWS) ->
     return got.select("key", F.col("idx").alias("index"), "count")
 
 
+def by_cone(stream: DataFrame, threshold: int, cones: int) -> DataFrame:
+    """(cone, key, count, i0, it): each key's rows, first and T-th place (null if not reached), a cone's keys in its own partition.
+
+    Rows go straight to the partition with the number of their cone, the leading bits of the key's
+    hash, and one exchange serves counts and reports. ``cones`` is a power of two.
+    """
+    routed = stream.withColumn("cone", cone(hash_64(F.col("key")), cones).cast("int")).repartitionById(cones, "cone")
+    rows = routed.withColumn("rn", F.row_number().over(W.partitionBy("cone", "key").orderBy("idx")))
+    return rows.groupBy("cone", "key").agg(F.count("*").alias("count"), F.min("idx").alias("i0"), F.max(F.when(F.col("rn") == threshold, F.col("idx"))).alias("it"))
+
+
 def point_query(stream: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
     """(key, count, report_idx) of the wanted keys: 0 and null for one that never came."""
     wanted = keys.select("key").distinct()

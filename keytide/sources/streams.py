@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 
-import numpy as np
 import pandas as pd
-import pyarrow.fs as pa_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from keytide.functions.hashing import fold, from_unsigned, murmur64a, numpy_udf
+from keytide.sources import stored
 
 
 def from_table(df: DataFrame, idx: str, key: str, value=None, truth=None) -> DataFrame:
@@ -21,31 +19,20 @@ def from_table(df: DataFrame, idx: str, key: str, value=None, truth=None) -> Dat
     return df.select(F.col(idx).cast("long").alias("idx"), F.col(key).cast("long").alias("key"), (F.lit(0) if value is None else value).cast("int").alias("value"), (F.lit(0) if truth is None else truth).cast("int").alias("truth"))
 
 
-def read_binary_keys(spark: SparkSession, path: str, chunk_keys: int = 1 << 20) -> DataFrame:
+def read_binary_keys(spark: SparkSession, path: str, partition_keys: int = stored.PARTITION_KEYS) -> DataFrame:
     """(idx, key) of little-endian unsigned 64-bit keys in a file, or in a folder's files by name; idx is the place.
 
-    Only names and sizes reach the driver. Files are cut into ranges of ``chunk_keys`` keys, and
-    each range is read and decoded as one block. Bytes at a file's end that make no key are left out.
+    Only names and sizes are looked up before tasks read their stretches of ``partition_keys`` keys. Bytes at a
+    file's end that make no key are left out.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted((f.getPath().toString(), f.getLen() // 8) for f in fs.listStatus(hadoop) if not f.isDirectory() and f.getPath().getName()[0] not in "._")
-    ranges, first = [], 0
-    for name, keys in files:
-        ranges += [(name, at, min(chunk_keys, keys - at), first + at) for at in range(0, keys, chunk_keys)]
-        first += keys
-
-    def read(batches):
-        for pdf in batches:
-            for name, at, n, idx in pdf.itertuples(index=False):
-                where, inner = pa_fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
-                with where.open_input_file(inner) as f:
-                    f.seek(8 * at)
-                    key = np.frombuffer(f.read(8 * n), dtype="<i8")
-                yield pd.DataFrame({"idx": np.arange(idx, idx + n), "key": key})
-
-    table = spark.createDataFrame(ranges or [("", 0, 0, 0)], "name string, at long, n long, first long").where("n > 0")
-    return table.repartition(max(1, min(len(ranges), 10_000)), "name", "at").mapInPandas(read, "idx long, key long")
+    stored.register(spark)
+    return spark.read.format("keys").option("partition_keys", partition_keys).load(path)
+
+
+def stream_binary_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the keys in files that appear in ``folder``, which can be read again from any offset."""
+    stored.register(spark)
+    return spark.readStream.format("keys").load(folder)
 
 
 def write_binary_keys(keys: DataFrame, folder: str) -> None:
@@ -55,13 +42,14 @@ def write_binary_keys(keys: DataFrame, folder: str) -> None:
     """
 
     def write(batches):
-        n, out = 0, f"{folder}/.{uuid.uuid4().hex}"
-        os.makedirs(folder, exist_ok=True)
-        with open(out, "wb") as f:
+        fs, inner = stored.place(folder)
+        n, out = 0, f"{inner}/.{uuid.uuid4().hex}"
+        fs.create_dir(inner, recursive=True)
+        with fs.open_output_stream(out) as f:
             for pdf in batches:
                 f.write(pdf["key"].to_numpy(dtype="<i8").tobytes())
                 n += len(pdf)
-        os.replace(out, f"{folder}/keys-{TaskContext.get().partitionId():06d}")
+        fs.move(out, f"{inner}/keys-{TaskContext.get().partitionId():06d}")
         yield pd.DataFrame({"n": [n]})
 
     keys.select("idx", "key").repartitionByRange("idx").sortWithinPartitions("idx").mapInPandas(write, "n long").agg(F.sum("n")).first()
@@ -142,10 +130,20 @@ def packets_by_sender(packets: DataFrame, senders: int) -> DataFrame:
     return packets.groupBy(F.pmod("packet_id", F.lit(senders)).alias("sender")).agg(F.countDistinct("packet_id").alias("packets"))
 
 
+def report_lines(reports: DataFrame) -> DataFrame:
+    """(value): reports (via, key, value, count, level) as log lines."""
+    return reports.select(F.format_string("Reporting %s: Key: %d Value: %d Count: %d Level: %d", "via", "key", "value", "count", "level").alias("value"))
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Reports (key, count, level, via) as log lines."""
-    line = F.format_string("Reporting %s: Key: %d Value: %d Count: %d Level: %d", "via", "key", "value", "count", "level")
-    reports.select(line.alias("value")).write.mode("append").text(path)
+    """Reports as log lines, added to what is there."""
+    report_lines(reports).write.mode("append").text(path)
+
+
+def stream_reports(reports: DataFrame, path: str) -> DataStreamWriter:
+    """A writer of a stream of reports as log lines, each batch once; ``stored.read_report_log`` reads them."""
+    stored.register(reports.sparkSession)
+    return report_lines(reports).writeStream.format("report_log").option("path", path)
 
 
 #: Fixed column names of the validation dumps, by policy.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pickle
 import time
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -16,47 +18,172 @@ from keytide.operators import bias
 from keytide.sources.streams import stops
 
 
-class ThresholdReporter(StatefulProcessor):
-    """Counts a key's rows and reports it once at its T-th; afterwards only a flag is kept.
+class FirstRows:
+    """What a key's state says, and what its new rows do to it: how many rows there were, the first, the T-th and the last place.
 
-    A row whose idx isn't over the last one seen for its key comes too late to be ordered and
-    raises, unless ``late`` is "drop".
+    Of the new rows only as many are held as are missing to the T-th, however many come at once. A row
+    whose idx isn't over the last one of the batches before comes too late to be ordered and raises,
+    unless ``late`` is "drop".
     """
 
+    FIELDS = "n long, i0 long, it long, last long, ones long"
+
+    def __init__(self, state, threshold: int, late: str):
+        self.threshold, self.late = threshold, late
+        self.n, self.i0, self.it, self.last, self.ones = state or (0, None, None, -1, 0)
+
+    def add(self, name, frames: Iterator[pd.DataFrame]) -> int | None:
+        """The T-th row's truth if it is among these rows."""
+        need = max(0, self.threshold - self.n)
+        held, before, least, most, rows = np.empty((0, 3), dtype=np.int64), self.last, None, self.last, 0
+        for f in frames:
+            new = f[["idx", "value", "truth"]].to_numpy(dtype=np.int64)
+            late = new[:, 0] <= before
+            if late.any():
+                if self.late != "drop":
+                    raise ValueError(f"key {name}: row {new[late][0, 0]} came after row {before}")
+                new = new[~late]
+            if not len(new):
+                continue
+            rows += len(new)
+            least, most = min(int(new[:, 0].min()), most if least is None else least), max(most, int(new[:, 0].max()))
+            held = np.concatenate([held, new])
+            held = held[np.argsort(held[:, 0], kind="stable")[:need]]
+        if not rows:
+            return None
+        if self.i0 is None:
+            self.i0 = int(held[0, 0]) if need else least
+        self.n, self.last, self.ones = self.n + rows, most, self.ones + int(held[:, 1].sum())
+        if need and len(held) == need:
+            self.it = int(held[-1, 0])
+            return int(held[-1, 2])
+        return None
+
+    @property
+    def state(self) -> tuple:
+        return self.n, self.i0, self.it, self.last, self.ones
+
+
+class ThresholdReporter(StatefulProcessor):
+    """Counts a key's rows and reports it once, at its T-th."""
+
     def __init__(self, threshold: int, most_ones: int | None = None, late: str = "raise"):
         self.threshold, self.most_ones, self.late = threshold, most_ones, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", "n long, i0 long, last long, ones long, done boolean")
+        self.state = handle.getValueState("seen", FirstRows.FIELDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, i0, last, ones, done = self.state.get() if self.state.exists() else (0, None, -1, 0, False)
-        idx, value, truth = (np.concatenate(x) for x in zip(*((f["idx"].to_numpy(), f["value"].to_numpy(), f["truth"].to_numpy()) for f in rows), strict=True))
-        order = np.argsort(idx, kind="stable")
-        idx, value, truth = idx[order], value[order], truth[order]
-        late = idx <= np.maximum.accumulate(np.concatenate([[last], idx[:-1]]))
-        if late.any():
-            if self.late != "drop":
-                k = int(np.flatnonzero(late)[0])
-                raise ValueError(f"key {key[0]}: row {idx[k]} came after row {max(last, int(idx[k - 1]) if k else -1)}")
-            idx, value, truth = idx[~late], value[~late], truth[~late]
-        out = []
-        if len(idx):
-            if not done:
-                need = self.threshold - n
-                used = value[: max(need, 0)]
-                n, ones, i0 = n + len(used), ones + int(used.sum()), int(idx[0]) if i0 is None else i0
-                if n == self.threshold:
-                    done, it = True, int(idx[need - 1])
-                    biased = None if self.most_ones is None else ones <= self.most_ones
-                    out.append((key[0], i0, it, it - i0, ones, biased, int(truth[need - 1])))
-            self.state.update((n, i0, int(idx[-1]), ones, done))
+        now = FirstRows(self.state.get() if self.state.exists() else None, self.threshold, self.late)
+        truth, out = now.add(key[0], rows), []
+        if truth is not None:
+            biased = None if self.most_ones is None else now.ones <= self.most_ones
+            out.append((key[0], now.i0, now.it, now.it - now.i0, now.ones, biased, truth))
+        if now.n:
+            self.state.update(now.state)
         yield pd.DataFrame(out, columns=["key", "i0", "it", "lifetime", "ones", "biased", "truth"])
 
     def close(self) -> None:
         pass
 
 
+#: Event time is the place in the stream, a millisecond a row; a sender's STOP lies beyond all places. As pandas
+#: has no later years than 2262, a stream with delayed reports has at most so many rows.
+END = 9_000_000_000_000
+
+
+class DelayedReporter(StatefulProcessor):
+    """Reports a key once its place of report, under a policy, lies behind the watermark; a timer of the key waits for it."""
+
+    def __init__(self, threshold: int, policy: str, alpha: float, chunk: int, late: str):
+        self.threshold, self.policy, self.alpha, self.chunk, self.late = threshold, policy, alpha, chunk, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("seen", FirstRows.FIELDS)
+
+    def due(self, i0: int, it: int) -> int:
+        if self.policy == "time":
+            return it + int((it - i0) * self.alpha)
+        return (it // self.chunk + 1) * self.chunk - 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = FirstRows(self.state.get() if self.state.exists() else None, self.threshold, self.late)
+        rows = (f[f["idx"] < END] for f in rows)  # a STOP only moves the watermark
+        if now.add(key[0], rows) is not None:
+            self.handle.registerTimer(self.due(now.i0, now.it) + 1)
+        if now.n:
+            self.state.update(now.state)
+        yield pd.DataFrame({"key": [], "i0": [], "it": [], "due": [], "swept": []}).astype({"key": "int64", "i0": "int64", "it": "int64", "due": "int64", "swept": "bool"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, i0, it, _, _ = self.state.get()
+        yield pd.DataFrame({"key": [key[0]], "i0": [i0], "it": [it], "due": [self.due(i0, it)], "swept": [timerValues.getCurrentWatermarkInMs() >= END]})
+
+    def close(self) -> None:
+        pass
+
+
+def closing(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of ``folder`` in which ``close_when_all_stopped`` tells that all senders have stopped."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.readStream.schema("closed long").parquet(folder)
+
+
+def with_closing(stream: DataFrame, closed: DataFrame) -> DataFrame:
+    """One sender's ``stream`` (idx, key, value, truth), and a STOP for the rows of ``closed``."""
+    stop = closed.select(F.lit(END).alias("idx"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("value"), F.lit(0).alias("truth"))
+    return stream.select("idx", "key", "value", "truth").unionByName(stop)
+
+
+def delayed(senders: list[DataFrame], threshold: int, policy: str, alpha: float = 1.0, chunk: int = 1024, late: str = "raise") -> DataFrame:
+    """A streaming (key, i0, it, due, swept) of keys that reached the threshold, each told at its place of report or later.
+
+    ``time``: ``due`` is the last place that keeps the stretch of time within 1 + alpha. ``count``: it is
+    the end of the key's chunk of rows. Each sender's stream has its own watermark, of which the least
+    counts. A STOP (``with_closing``) puts them all beyond all places: what still waits is told then,
+    with ``swept``. State, timers and the least watermark are part of the checkpoint; after a restart
+    the watermark moves on once every sender was heard again, or by the STOP.
+    """
+    if policy not in ("time", "count"):
+        raise ValueError("a delayed report is bounded in time or in count")
+    spark = senders[0].sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    timed = [s.withColumn("at", F.timestamp_millis(F.col("idx") + 1)).withWatermark("at", "0 seconds") for s in senders]  # what lies at the watermark counts as late
+    return reduce(DataFrame.unionByName, timed).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=DelayedReporter(threshold, policy, alpha, chunk, late),
+        outputStructType="key long, i0 long, it long, due long, swept boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def settled(told: DataFrame, last: int) -> DataFrame:
+    """(key, report_idx, via) of what ``delayed`` told of a stream whose last place is ``last``: what was due later is swept there."""
+    late = F.col("due") > last
+    return told.select("key", F.when(late, last).otherwise(F.col("due")).alias("report_idx"), F.when(late, "sweep").otherwise("timer").alias("via"))
+
+
+def live_counts(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """(key, count, i0, it, last) of all keys in the state of a query of ``report`` or ``delayed``, after its last or the given batch.
+
+    It is read from the checkpoint while the query runs: each partition of the state is a task.
+    """
+    reader = spark.read.format("statestore").option("stateVarName", "seen")
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    return reader.load(checkpoint).select("key.key", F.col("value.n").alias("count"), "value.i0", "value.it", "value.last")
+
+
+def live_point_query(spark: SparkSession, checkpoint: str, keys: DataFrame, batch: int | None = None) -> DataFrame:
+    """(key, count, report_idx) of the wanted keys as the running query knows them: 0 and null for one that never came."""
+    wanted = keys.select("key").distinct()
+    known = live_counts(spark, checkpoint, batch).select("key", "count", F.col("it").alias("report_idx"))
+    return wanted.join(known, "key", "left").select("key", F.coalesce("count", F.lit(0)).alias("count"), "report_idx")
+
+
 class BoundedTables(StatefulProcessor):
     """Judges keys of one shard in a bounded table, in order of idx; with ``outer`` its rows are parts of outer keys.
 
@@ -94,7 +221,7 @@ class BoundedTables(StatefulProcessor):
         pass
 
 
-#: State needs this provider.
+#: State variables and timers need this provider.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -135,10 +262,10 @@ def running_counts(stream: DataFrame) -> DataFrame:
 
 
 class Throughput(StreamingQueryListener):
-    """Collects (rows so far, epoch milliseconds) of every micro-batch; add with ``spark.streams.addListener``."""
+    """Collects (rows so far, epoch milliseconds) of the last micro-batches; add with ``spark.streams.addListener``."""
 
-    def __init__(self):
-        self.series: list[tuple[int, int]] = []
+    def __init__(self, most: int = 10_000):
+        self.series: deque[tuple[int, int]] = deque(maxlen=most)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -151,14 +278,30 @@ class Throughput(StreamingQueryListener):
         pass
 
 
-def stop_when_all_stopped(query_name: str, senders: int):
-    """A ``foreachBatch`` function that keeps count of STOP packets and stops the query at the last sender's."""
-    seen: set[str] = set()
+def stopped_in_state(packets: DataFrame) -> DataFrame:
+    """A streaming (sender, packets) of the senders that have sent STOP, in complete mode; who has is part of the checkpoint."""
+    return stops(packets).groupBy("sender").agg(F.count("*").alias("packets"))
+
+
+def close_when_all_stopped(folder: str, senders: int):
+    """A ``foreachBatch`` function for ``stopped_in_state`` that tells a ``closing`` stream once all senders have stopped.
+
+    A batch that is repeated tells it again, which changes nothing.
+    """
+
+    def run(batch: DataFrame, _: int) -> None:
+        if batch.limit(senders).count() >= senders:
+            batch.sparkSession.range(1).select(F.col("id").alias("closed")).write.mode("append").parquet(folder)
+
+    return run
+
+
+def stop_when_all_stopped(spark: SparkSession, query_name: str, senders: int):
+    """A ``foreachBatch`` function for ``stopped_in_state`` that stops the named query of the session once all senders have stopped."""
 
     def run(batch: DataFrame, _: int) -> None:
-        seen.update(r.sender for r in stops(batch).distinct().limit(senders + 1).collect())
-        if len(seen) >= senders:
-            for q in batch.sparkSession.streams.active:
+        if batch.limit(senders).count() >= senders:
+            for q in spark.streams.active:
                 if q.name == query_name:
                     q.stop()
 
