@@ -87,6 +87,39 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Entries of an array that are added up or looked through at once.
+FAN = 64
+
+
+def levels(df: DataFrame, name: str, merged) -> DataFrame:
+    """Adds ``name``1 and ``name``2: of the array ``name`` what ``merged(array)`` makes of each ``FAN`` entries, and of each ``FAN`` of these."""
+
+    def above(of: str) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / FAN).cast("int")), lambda j: merged(F.slice(of, j * FAN + 1, F.lit(FAN))))
+        return F.when(F.size(of) > 0, blocks).otherwise(F.slice(of, 1, 0))
+
+    return df.withColumn(f"{name}1", above(name)).withColumn(f"{name}2", above(f"{name}1"))
+
+
+def added(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda t, x: t + x)
+
+
+def sum_before(name: str, i: Column) -> Column:
+    """The sum of the first ``i`` entries of the array ``name``, in some hundred steps at most for a million entries."""
+    whole = lambda n: F.floor(i / n).cast("int")
+    top, middle = whole(FAN * FAN), whole(FAN)
+    return added(F.slice(f"{name}2", 1, top)) + added(F.slice(f"{name}1", top * FAN + 1, middle - top * FAN)) + added(F.slice(name, middle * FAN + 1, i - middle * FAN))
+
+
+def entries_below(name: str, x: Column) -> Column:
+    """How many entries of the sorted array ``name`` are below ``x``; its levels have the first entries."""
+    below = lambda a: F.size(F.filter(a, lambda y: y < x))
+    top = below(F.col(f"{name}2"))
+    middle = F.greatest(F.lit(0), (top - 1) * FAN) + below(F.slice(f"{name}1", F.greatest(F.lit(0), top - 1) * FAN + 1, F.lit(FAN)))
+    return F.greatest(F.lit(0), (middle - 1) * FAN) + below(F.slice(name, F.greatest(F.lit(0), middle - 1) * FAN + 1, F.lit(FAN)))
+
+
 def placed(df: DataFrame, name: str, pattern: str, gate: Column, keep=None) -> DataFrame:
     """Adds column ``name``: array of (s, e, v, before, after) of the matches in ``text``, in order.
 
@@ -96,11 +129,11 @@ def placed(df: DataFrame, name: str, pattern: str, gate: Column, keep=None) -> D
     none = F.array().cast("array<string>")
     df = df.withColumn("_m", F.when(gate, F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(none))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(none))
-    df = df.withColumn("_n", F.transform("_p", F.length)).withColumn("_k", F.transform("_m", F.length))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + x)
+    df = df.withColumn("_n", F.transform("_p", F.length))
+    df = levels(df.withColumn("_w", F.zip_with("_n", F.transform("_m", F.length), lambda n, k: n + F.coalesce(k, F.lit(0)))), "_w", added)
 
     def one(v: Column, i: Column) -> Column:
-        s = total(F.col("_n"), i + 1) + total(F.col("_k"), i)
+        s = sum_before("_w", i) + F.get("_n", i)
         before = F.lower(F.regexp_replace(F.regexp_extract(F.get("_p", i), BEFORE, 1), rf"{SPACE}+", " "))
         after = F.lower(F.regexp_extract(F.get("_p", i + 1), AFTER, 1))
         return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), before.alias("before"), after.alias("after"))
@@ -113,7 +146,7 @@ def placed(df: DataFrame, name: str, pattern: str, gate: Column, keep=None) -> D
     df = df.withColumn(name, found)
     if keep is not None:
         df = df.withColumn(name, F.filter(name, lambda x: x.isNotNull()))
-    return df.drop("_m", "_p", "_n", "_k")
+    return df.drop("_m", "_p", "_n", "_w", "_w1", "_w2")
 
 
 def fitting(v: Column) -> Column:
@@ -137,8 +170,19 @@ def base_spans(df: DataFrame) -> DataFrame:
     df = placed(df, "loose", CANDIDATE, F.lit(True))
     df = placed(df, "written", ADDRESS, F.col("text").rlike(AT))
     df = df.withColumn("taken", F.flatten(F.array(*KINDS))).withColumn("other", F.concat("loose", "written"))
-    free = F.filter("other", lambda c: ~F.exists("taken", lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"])) & (F.size(fitting(c["v"])) > 0))
-    return df.withColumn("other", free).drop("taken", "loose", "written")
+    many = F.size("taken") > FAN
+    for kind in KINDS:  # a kind's spans are in order and apart
+        starts = F.when(many, F.transform(kind, lambda b: b["s"])).otherwise(F.array().cast("array<int>"))
+        df = levels(df.withColumn(f"_{kind}", starts), f"_{kind}", lambda a: F.get(a, F.lit(0)))
+
+    def met(c: Column, kind: str) -> Column:
+        """Whether the last span of the kind that begins before the candidate ends reaches into it."""
+        return F.coalesce(F.get(kind, entries_below(f"_{kind}", c["e"]) - 1)["e"] > c["s"], F.lit(False))
+
+    few = lambda c: F.exists("taken", lambda b: (c["s"] < b["e"]) & (b["s"] < c["e"]))
+    meets = lambda c: F.when(many, reduce(Column.__or__, [met(c, k) for k in KINDS])).otherwise(few(c))
+    free = F.filter("other", lambda c: ~meets(c) & (F.size(fitting(c["v"])) > 0))
+    return df.withColumn("other", free).drop("taken", "loose", "written", *(f"_{k}{n}" for k in KINDS for n in ("", 1, 2)))
 
 
 def patterns_of(x: Column) -> Column:

@@ -185,3 +185,13 @@ def test_written_out_addresses_and_long_words(spark):
     got = {x.doc_id: [(p.kind, rows[x.doc_id][p.s : p.e]) for p in x.spans if not p.base] for x in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert all(got[9 + k] == [("email", f"you{k} [at] mail{k} (dot) example.com")] for k in range(3)) and not got[12]
     assert all(not got[k] for k in range(9))
+
+
+def test_a_text_of_many_matches(spark):
+    text = " ".join(f"id {7000000 + i} +1 (555) {1000000 + i}," if i % 2 else f"10.0.{i % 250}.{i % 199} x{i * 977} a{i}@b.example.org 4111 1111 1111 1111." for i in range(6000))
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    want = {(s, e, k) for s, _, e, k in brute(text)}
+    assert {(x.s, x.e, x.kind) for x in got if x.base} == want and len(want) > 9000
+    free = pii.base_spans(spark.createDataFrame([(1, text)], "id long, text string")).select("other", *pii.KINDS).first()
+    taken = sorted((b.s, b.e) for k in pii.KINDS for b in free[k])
+    assert len(free.other) > 1000 and not any(s < x.e and x.s < e for x in free.other for s, e in taken)
