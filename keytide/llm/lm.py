@@ -8,12 +8,14 @@ its last step. So the stored counts of a context's followers never add up to mor
 own, and with single tokens' shares, which add up to one with one unknown word, neither do the
 probabilities; only a false positive of the filter (one pair in 2000) adds to them.
 
-Every pair of the training texts is in the filter, however rare. The filter is cut into shards by
-the pair's hash, as many as there are chunks of texts, so that a shard's size doesn't depend on the
-size of the corpus; no shard leaves its task. Texts are dealt into chunks. A chunk sends each shard
-its own distinct words and pairs there, with their counts in its training texts. The shard sums the
-counts of all chunks, fills its filter, and sends every chunk the words' exact counts and the pairs'
-steps in the order asked. Neither words nor pairs reach the driver.
+Every pair of the training texts is in the filter, however rare. Two jobs make and use it. The first
+counts words and pairs: each task adds up its own, the counts meet by hash in shards of about one size,
+as many as the corpus asks for, and there the pairs' steps go into the shard's filter and their counts are
+given up; words keep exact counts. The shards are a table, the model. The second job deals texts into
+chunks. A small model's filters are broadcast and probed where the texts are; beyond a size that is
+checked, a chunk sends each shard its distinct pairs there, as it does with its words for their counts, and
+gets their steps back in the order asked. What is sent grows with the tokens. Neither words nor pairs
+reach the driver but in a broadcast filter.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches, release_others, texts
+from keytide.llm.common import in_batches, pieces, release_others, texts, written
 
 #: Base of the quantisation.
 BASE = 1.25
 #: Bits of the filter for each entry, and hash functions.
 ENTRY_BITS, HASHES = 16, 7
-#: Training tokens for each chunk of texts, and for each shard of the filter.
+#: Tokens of a chunk of texts, and training tokens for each shard of the model, about.
 CHUNK_TOKENS = 2_000_000
+#: Bytes of all filters up to which they are broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Codes beside the words' hashes: the end and the begin of a text.
 END, BEGIN = 1, 2
 #: Salt of a pair's code.
@@ -131,18 +135,6 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def token_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """(w, c): exact counts of all training tokens, the end of a text included."""
-
-    @in_batches
-    def run(batch):
-        codes, _ = batch_codes(batch.column(0))
-        w, c = np.unique(codes, return_counts=True)
-        return {"w": pa.array(w.view(np.int64)), "c": pa.array(c)}
-
-    return train.select(text_col).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
 def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct codes ordered by shard and code, place of each of ``codes`` among them, begin of each shard and the end)."""
     unique, at = np.unique(codes, return_inverse=True)
@@ -153,64 +145,133 @@ def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np
     return unique[order], place[at], np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def token_totals(rows: DataFrame) -> tuple[int, int]:
+    """(tokens of training texts, tokens of all texts) of ``rows`` (held, text), ends of texts included."""
+
+    @in_batches
+    def run(batch):
+        n = np.array([len(x.split()) + 1 for x in texts(batch.column(1))], dtype=np.int64)
+        return {"n": pa.array([int(n[~batch.column(0).to_numpy(zero_copy_only=False)].sum())]), "every": pa.array([int(n.sum())])}
+
+    zero = F.lit(0)
+    return tuple(rows.select("held", "text").mapInArrow(run, "n long, every long").agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("every"), zero)).first())
+
+
+def learn(train: DataFrame, shards: int, most: int = CHUNK_TOKENS) -> DataFrame:
+    """(shard, w, c, filter, pairs): of each shard its words' codes in order, their counts, and its filter of so many pairs.
+
+    ``train`` has text. A task adds up about ``most`` tokens' words and pairs before it sends them.
+    """
+
+    def count(batches):
+        release_others(__name__)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            codes = np.concatenate([c for c, _ in held])
+            sizes = np.concatenate([s for _, s in held])
+            held.clear()
+            out = {}
+            for name, x in (("w", codes), ("p", pair_code(before(codes, sizes), codes))):
+                unique, at, begin = by_shard(x, shards)
+                n = np.bincount(at, minlength=len(unique)).astype("<u4")
+                cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+                out[name] = [unique[s:e].tobytes() for s, e in cuts]
+                out[f"{name}_n"] = [n[s:e].tobytes() for s, e in cuts]
+            some = [k for k in range(shards) if out["w"][k] or out["p"][k]]
+            cols = [pa.array(some, pa.int32()), *(pa.array([x[k] for k in some], pa.binary()) for x in out.values())]
+            return pa.RecordBatch.from_arrays(cols, ["shard", *out])
+
+        for batch in batches:
+            for part in pieces(batch):
+                held.append(batch_codes(part.column(0)))
+                if sum(len(c) for c, _ in held) >= most:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def build(key, t):
+        release_others(__name__)
+        total = {}
+        for name in ("w", "p"):
+            unique, at = np.unique(np.frombuffer(b"".join(t[name].to_pylist()), "<u8"), return_inverse=True)
+            n = np.zeros(len(unique), dtype=np.int64)
+            np.add.at(n, at, np.frombuffer(b"".join(t[f"{name}_n"].to_pylist()), "<u4").astype(np.int64))
+            total[name] = unique, n
+        (w, c), (p, n) = total["w"], total["p"]
+        row = {"w": w.tobytes(), "c": c.tobytes(), "filter": LogFrequencyFilter.of(p, n).words.tobytes()}
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([x], pa.binary()) for k, x in row.items()}, "pairs": pa.array([len(p)])})
+
+    sent = train.select("text").mapInArrow(count, "shard int, w binary, w_n binary, p binary, p_n binary")
+    return sent.groupBy("shard").applyInArrow(build, "shard int, w binary, c binary, filter binary, pairs long")
+
+
+def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Learns from the rows that aren't held out and scores all. A null or empty text is one end
     token. Rows with a null id aren't held out. Repeated rows train and are scored as often as they
-    stand there. With no training rows every count is 0. Only the two named columns are read.
+    stand there, dealt like others by their place. With no training rows every count is 0. Only the two
+    named columns are read. The model is a written table that the result is computed from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
-    n, v = token_counts(rows.where(~F.col("held")), "text").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n, every = token_totals(rows)
+    shards, chunks = max(1, -(-n // chunk_tokens)), max(1, -(-every // chunk_tokens))
+    model = written(learn(rows.where(~F.col("held")), shards, chunk_tokens))
+    v, new, size = model.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.length("w") / 8, F.col("pairs"), F.length("filter")))).first()
+    small = size <= broadcast_bytes
+    sent = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in model.select("shard", "filter").collect()}) if small else None  # its size is checked
 
-    chunks = max(1, -(-n // chunk_tokens))
     parts = max(1, min(chunks, 100_000))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    dealt = rows.withColumn("chunk", chunk).repartition(parts, "chunk")
 
     def coded(t):
-        """Words and pairs of a chunk as by ``by_shard``, the size of each text, and whether each code is of a training text."""
+        """Words and pairs of a chunk as by ``by_shard``, and the size of each text."""
         parts_ = [batch_codes(b.column(0)) for b in t.select(["text"]).to_batches(max_chunksize=500)]
         codes, sizes = np.concatenate([c for c, _ in parts_]), np.concatenate([s for _, s in parts_])
-        train = np.repeat(~t["held"].to_numpy().astype(bool), sizes)
-        return by_shard(codes, chunks), by_shard(pair_code(before(codes, sizes), codes), chunks), sizes, train
+        return by_shard(codes, shards), by_shard(pair_code(before(codes, sizes), codes), shards), sizes
 
     def ask(key, t):
         release_others(__name__)
-        *kinds, _, train = coded(t)
-        out: dict[str, list] = {}
-        for name, (unique, at, begin) in zip(("w", "p"), kinds, strict=True):
-            count = np.bincount(at[train], minlength=len(unique)).astype("<u4")
-            cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
-            out[name] = [unique[s:e].tobytes() for s, e in cuts]
-            out[f"{name}_count"] = [count[s:e].tobytes() for s, e in cuts]
-        return pa.table({"shard": pa.array(range(chunks), pa.int32()), "chunk": pa.array([key[0].as_py()] * chunks, pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in out.items()}})
-
-    def answer(key, t):
+        (words, _, w), (pairs, _, p), _ = coded(t)
+        if small:
+            pairs, p = pairs[:0], p * 0
+        some = np.flatnonzero((w[1:] > w[:-1]) | (p[1:] > p[:-1]))
+        cut = lambda x, at: pa.array([x[at[k] : at[k + 1]].tobytes() for k in some.tolist()], pa.binary())
+        return pa.table({"shard": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "w": cut(words, w), "p": cut(pairs, p)})
+
+    def answer(key, asked, known):
         release_others(__name__)
-        out = {}
-        for name in ("w", "p"):
-            parts_ = t[name].to_pylist()
-            unique, at = np.unique(np.frombuffer(b"".join(parts_), "<u8"), return_inverse=True)
-            total = np.zeros(len(unique), dtype=np.int64)
-            np.add.at(total, at, np.frombuffer(b"".join(t[f"{name}_count"].to_pylist()), "<u4").astype(np.int64))
-            if name == "p":
-                seen = total > 0
-                kinds = int(seen.sum())
-                total = np.minimum(LogFrequencyFilter.of(unique[seen], total[seen]).found(unique), 255)
-            got = total[at].astype("<i8" if name == "w" else "u1")
-            ends = np.cumsum([len(x) // 8 for x in parts_])
-            out[name] = pa.array([got[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
-        return pa.table({"chunk": t["chunk"], "shard": t["shard"], **out, "kinds": pa.array(np.full(t.num_rows, kinds))})
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, w binary, w_count binary, p binary, p_count binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, shard int, w binary, p binary, kinds long").repartition(parts, "chunk")
+        w, c, f = np.empty(0, "<u8"), np.empty(0, "<i8"), None
+        if known.num_rows:
+            w, c = np.frombuffer(known["w"][0].as_py(), "<u8"), np.frombuffer(known["c"][0].as_py(), "<i8")
+            f = LogFrequencyFilter(np.frombuffer(known["filter"][0].as_py(), "<u8"), 1.0)
+        counts, steps = [], []
+        for words, pairs in zip(asked["w"].to_pylist(), asked["p"].to_pylist(), strict=True):
+            x, y = np.frombuffer(words, "<u8"), np.frombuffer(pairs, "<u8")
+            at = np.minimum(np.searchsorted(w, x), max(0, len(w) - 1))
+            counts.append(np.where(w[at] == x, c[at], 0).astype("<i8").tobytes() if len(w) else bytes(8 * len(x)))
+            steps.append(np.minimum(f.found(y), 255).astype("u1").tobytes() if f else bytes(len(y)))
+        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "w": pa.array(counts, pa.binary()), "p": pa.array(steps, pa.binary())})
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, w binary, p binary")
+    answers = asked.groupBy("shard").cogroup(model.select("shard", "w", "c", "filter").groupBy("shard")).applyInArrow(answer, "chunk int, shard int, w binary, p binary").repartition(parts, "chunk")
     kind = dict(rows.dtypes)["id"]
 
     def scored(key, t, told):
-        (_, word_at, _), (_, pair_at, _), sizes, _ = coded(t)
+        release_others(__name__)
+        (_, word_at, _), (pairs, pair_at, begin_of), sizes = coded(t)
         told = told.sort_by("shard")
         count = np.frombuffer(b"".join(told["w"].to_pylist()), "<i8")[word_at]
-        pair = LogFrequencyFilter.least_count(np.frombuffer(b"".join(told["p"].to_pylist()), "u1").astype(np.int64))[pair_at]
+        if small:
+            step = np.zeros(len(pairs), dtype=np.int64)
+            for shard, words in sent.value.items():
+                s, e = begin_of[shard], begin_of[shard + 1]
+                step[s:e] = LogFrequencyFilter(np.frombuffer(words, "<u8"), 1.0).found(pairs[s:e])
+        else:
+            step = np.frombuffer(b"".join(told["p"].to_pylist()), "u1").astype(np.int64)
+        pair = LogFrequencyFilter.least_count(step)[pair_at]
         ends = np.cumsum(sizes)
         begin = ends - sizes
         context = np.empty_like(count)
@@ -218,8 +279,7 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         context[begin] = count[ends - 1]  # as many texts begin as end
         alone = (count + 1) / (n + v + 1)
         seen = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-        new = sum(told["kinds"].to_pylist())  # different pairs of all training texts: so often a pair was new
-        weight = np.where(context > 0, n / max(1, n + new), 0.0)
+        weight = np.where(context > 0, n / max(1, n + new), 0.0)  # so often a pair of the training texts was new
         smooth = weight * np.minimum(seen, 1.0) + (1 - weight) * alone
         made = {"n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64))}
         made |= {"base_score": pa.array(np.add.reduceat(np.log10(alone), begin)), "score": pa.array(np.add.reduceat(np.log10(smooth), begin))}

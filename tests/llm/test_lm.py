@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -105,3 +106,49 @@ def test_rare_pairs_of_a_large_corpus_count(spark):
         exact = [(share * pairs[a, b] / c[a] if c[a] else 0) + (1 - (share if c[a] else 0)) * p for a, b, p in zip(w[:-1], w[1:], alone)]
         assert got[i].train_tokens == n
         assert sum(map(math.log10, exact)) - len(exact) * math.log10(lm.BASE) - 1e-6 <= got[i].score <= sum(map(math.log10, exact)) + 0.3, i
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_scores_equal_a_plain_scorer_with_the_same_filters(spark, broadcast_bytes):
+    r = random.Random(12)
+    words = [f"w{int(r.paretovariate(0.6))}" for _ in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(300)]
+    rows += [(5, "A b a B a")] * 40 + [(None, "a b"), (900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [t for i, t in rows if not held(i)]
+    n = sum(len((t or "").split()) + 1 for t in train)
+    most = 700
+    shards = -(-n // most)
+    model = {x.shard: x for x in lm.learn(spark.createDataFrame([(t,) for t in train], "text string"), shards, most).collect()}
+    assert len(model) == shards > 5
+    count = {int(w): int(c) for x in model.values() for w, c in zip(np.frombuffer(x.w, "<u8"), np.frombuffer(x.c, "<i8"))}
+    filters = {k: lm.LogFrequencyFilter(np.frombuffer(x["filter"], "<u8"), 1.0) for k, x in model.items()}
+    v, new = len(count), sum(x.pairs for x in model.values())
+    assert sum(count.values()) == n
+
+    def plain(text):
+        codes, score, last = lm.word_codes((text or "").encode()).tolist(), 0.0, lm.BEGIN
+        for c in codes:
+            pair = lm.pair_code(np.array([last], np.uint64), np.array([c], np.uint64))
+            stored = float(filters[int(pair[0] % np.uint64(shards))].count(pair)[0])
+            context = count.get(lm.END if last == lm.BEGIN else last, 0)
+            weight = n / (n + new) if context else 0
+            score += math.log10(weight * min(1, stored / context if context else 0) + (1 - weight) * (count.get(c, 0) + 1) / (n + v + 1))
+            last = c
+        return score
+
+    got = lm.score_documents(docs, chunk_tokens=most, broadcast_bytes=broadcast_bytes).collect()
+    assert len(got) == len(rows) and all(x.train_tokens == n and x.held_out == held(x.doc_id) for x in got)
+    want = sorted(round(plain(t), 9) for _, t in rows)
+    assert np.allclose(sorted(x.score for x in got), want, rtol=0, atol=1e-8)
+    by_id = {x.doc_id: x.score for x in got}
+    assert all(abs(by_id[i] - plain(t)) < 1e-9 for i, t in rows[:300] if i != 5)
+
+
+def test_all_rows_held_out(spark):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = spark.createDataFrame([(i, f"word{i} b c") for i in ids], "doc_id long, text string")
+    for most in (4, 1 << 20):  # several chunks, though nothing trains
+        got = lm.score_documents(docs, chunk_tokens=most).collect()
+        assert len(got) == len(ids) and all(x.held_out and x.train_tokens == x.n_known == x.score == x.base_score == 0 for x in got)
