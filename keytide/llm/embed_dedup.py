@@ -40,7 +40,7 @@ BITS = 63
 MISS = 0.002
 #: Distinct vectors that are compared as one block.
 BLOCK = 1024
-#: Open vectors up to which all are compared with all.
+#: Vectors that passes have left open up to which all are compared with all.
 FEW = 8192
 #: Most passes between two looks at what is still open.
 AT_ONCE = 32
@@ -82,7 +82,7 @@ def agree(x: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
     return 1 - tail / 2
 
 
-def window_links(nodes: DataFrame, rounds: int, seed: list[int], threshold: float, stored: str) -> DataFrame:
+def window_links(nodes: DataFrame, rounds: int, seed: list[int], threshold: float, stored: str, window: int = WINDOW) -> DataFrame:
     """(a, b, miss) of ``rounds`` passes over ``nodes``: a verified link of a and b, or, where b is null, the logarithm of a's chance to miss a partner in a pass. ``stored`` is the type that holds all components exactly."""
     def planes(p, dim):
         return np.random.default_rng([*seed, p, dim]).standard_normal((dim, BITS))
@@ -102,13 +102,13 @@ def window_links(nodes: DataFrame, rounds: int, seed: list[int], threshold: floa
     def chances(group, sig, x, start, stop, from_edge, to_end):
         """(rows of start..stop that count, log of each one's chance to miss)."""
         at = np.arange(start, stop)
-        behind = np.where(at >= WINDOW, shared_bits(sig[at], sig[np.maximum(at - WINDOW, 0)]) + 1, 0)
-        ahead = np.where(at + WINDOW < len(sig), shared_bits(sig[at], sig[np.minimum(at + WINDOW, len(sig) - 1)]) + 1, 0)
+        behind = np.where(at >= window, shared_bits(sig[at], sig[np.maximum(at - window, 0)]) + 1, 0)
+        ahead = np.where(at + window < len(sig), shared_bits(sig[at], sig[np.minimum(at + window, len(sig) - 1)]) + 1, 0)
         sure = np.ones(len(at), dtype=bool)
         if from_edge:
-            sure &= at >= WINDOW
+            sure &= at >= window
         if not to_end:
-            sure &= at + WINDOW < len(sig)
+            sure &= at + window < len(sig)
         at, bits = at[sure], np.maximum(behind, ahead)[sure]
         w = planes(group >> 32, group & 0xFFFFFFFF)
         agreed = np.concatenate([np.ones((len(at), 1)), np.cumprod(agree(x[at], w, threshold), axis=1), np.zeros((len(at), 1))], axis=1)
@@ -136,18 +136,18 @@ def window_links(nodes: DataFrame, rounds: int, seed: list[int], threshold: floa
                         yield told(kept["node"], *chances(kept["group"], kept["sig"], kept["x"], kept["told"], len(kept["sig"]), kept["edge"], True))
                     kept = {"told": 0, "edge": not kept}
                 i, j = [], []
-                for s in range(0, len(node), WINDOW):
-                    near = x[s : s + WINDOW] @ x[s : s + 2 * WINDOW].T
+                for s in range(0, len(node), window):
+                    near = x[s : s + window] @ x[s : s + 2 * window].T
                     p, q = np.nonzero(near >= threshold)
-                    ahead = (q > p) & (q - p <= WINDOW)
+                    ahead = (q > p) & (q - p <= window)
                     i.append(p[ahead] + s)
                     j.append(q[ahead] + s)
                 label = forest(np.concatenate(i), np.concatenate(j), len(node))
                 other = np.flatnonzero(label != np.arange(len(node)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]]), pa.nulls(len(other), pa.float64())], ["a", "b", "miss"])
-                stop = max(kept["told"], len(node) - WINDOW)
+                stop = max(kept["told"], len(node) - window)
                 yield told(node, *chances(g, sig, x, kept["told"], stop, kept["edge"], False))
-                drop = max(0, len(node) - 2 * WINDOW)
+                drop = max(0, len(node) - 2 * window)
                 kept = {"group": g, "node": node[drop:], "sig": sig[drop:], "x": x[drop:], "told": stop - drop, "edge": kept["edge"] and not drop}
         # the last group may go on in the next partition, so its last window counts nothing
 
@@ -176,12 +176,15 @@ def all_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
     return cells.repartition("dim", "p", "q").sortWithinPartitions("dim", "p", "q").mapInArrow(compare, "a long, b long")
 
 
-def found_links(nodes: DataFrame, n: int, threshold: float, seed: int, stored: str) -> DataFrame:
-    """(a, b): links of the ``n`` ``nodes``; a link at the threshold is missed with a chance of ``MISS`` at most."""
-    links, missed, open_, need, turn = [], None, nodes, passes(n, threshold), 0
-    while n > max(FEW, 2 * WINDOW * need):
+def found_links(nodes: DataFrame, n: int, threshold: float, seed: int, stored: str, few: int = FEW, window: int = WINDOW) -> DataFrame:
+    """(a, b): links of the ``n`` ``nodes``; a link at the threshold is missed with a chance of ``MISS`` at most.
+
+    A first turn of passes is made at any size.
+    """
+    links, missed, open_, need, turn = [], None, nodes, passes(n, threshold, window), 0
+    while n and (not turn or n > max(few, 2 * window * need)):
         rounds = min(need, AT_ONCE)
-        out = written(window_links(open_, rounds, [seed, turn], threshold, stored))
+        out = written(window_links(open_, rounds, [seed, turn], threshold, stored, window))
         links.append(out.where("b is not null").select("a", "b"))
         now = out.where("b is null").select(F.col("a").alias("node"), "miss")
         now = now.unionByName(missed.join(open_.select("node"), "node", "left_semi")) if missed is not None else now
@@ -197,20 +200,21 @@ def found_links(nodes: DataFrame, n: int, threshold: float, seed: int, stored: s
     return functools.reduce(DataFrame.unionByName, links) if links else nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
 
 
-def link_near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
+def link_near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, few: int = FEW, window: int = WINDOW) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``df``.
 
     ``n_links`` counts the other rows at cosine ``threshold`` or more, ``component_id`` is the
     smallest id reachable over links. Null, zero and non-finite vectors link with nothing, nor do
     vectors of different dimension. Repeated rows count as other rows. A null id keeps its row;
-    it is never a component's name and never kept. Only the two named columns are read.
+    it is never a component's name and never kept. Only the two named columns are read. ``window`` rows
+    are compared with each in a pass; up to ``few`` vectors that passes have left open are compared all with all.
     """
     vecs = packed(df, id_col, vec_col)
     member = written(vecs.withColumn("node", F.xxhash64("v")))  # 64 bits name a vector
     nodes = written(member.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")))
     n = nodes.count()
     stored = "<f4" if dict(df.dtypes)[vec_col] == "array<float>" else "<f8"
-    comps = connected_components(found_links(nodes, n, threshold, seed, stored), "a", "b")
+    comps = connected_components(found_links(nodes, n, threshold, seed, stored, few, window), "a", "b")
     grouped = written(nodes.join(comps, "node").select("node", "component", "low", "copies", "dim", "v"))
     counted = count_links(grouped, threshold)
     rooted = nodes.select("node", "low", "copies").join(grouped.select("node", "component"), "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -105,3 +105,40 @@ def test_pairs_in_a_dense_group_are_found(spark):
     assert len(got) == n
     lost = sum(count[i] - got[i] for i in range(len(y)))
     assert lost <= 0.005 * count.sum()
+
+
+def test_a_repeated_query_id_answers_once_whatever_the_order(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(-5, 6, 6).astype(float).tolist(), "", 1) for i in range(40)] + [(20, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0], "", 1), (20, [3.0, 0.0, 0.0, 1.0, 1.0, 1.0], "", 1), (7, [2.0] * 6, "", 1)]
+    got = []
+    for k in range(3):
+        df = spark.createDataFrame(rows[k * 17 :] + rows[: k * 17], SCHEMA).repartition(3 + k)
+        got.append(sorted(map(tuple, ann.nearest(df, df.vec_id % 20 == 0, 9).collect())))
+    assert got[0] == got[1] == got[2] and [x[1] for x in got[0] if x[0] == 20] == list(range(1, 10))
+    first = min((len(v), np.array(v).tobytes(), v) for i, v, *_ in rows if i == 20)[2]
+    want = sorted((-float(np.dot(first, v)), i) for i, v, *_ in rows if i != 20 and any(v))[:9]
+    assert [(x[3], x[2]) for x in got[0] if x[0] == 20] == [(-s, i) for s, i in want]
+
+
+def test_passes_alone_find_planted_pairs_and_their_components(spark):
+    """Pairs from 0.95 to 0.96, chains and copies among random vectors, with hardly any left to be compared all with all."""
+    r = np.random.default_rng(13)
+    dim, n = 24, 3000
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(r.standard_normal((n, dim)))
+    aside = unit((lambda z: z - (z * base[:400]).sum(axis=1, keepdims=True) * base[:400])(r.standard_normal((400, dim))))
+    cos = r.uniform(0.951, 0.96, (400, 1))
+    x = np.concatenate([base, cos * base[:400] + np.sqrt(1 - cos**2) * aside, base[500:520]])
+    link = unit(x) @ unit(x).T >= 0.95
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    for _ in range(20):
+        comp = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(axis=1))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(6)
+    nodes = df.count()
+    found = embed_dedup.passes(nodes, 0.95, 16)
+    assert 2 * 16 * found < nodes  # so that passes are what is made
+    got = {z.vec_id: z for z in embed_dedup.link_near_duplicates(df, few=0, window=16).collect()}
+    right = [got[i].n_links == link[i].sum() and got[i].component_id == comp[i] for i in range(len(x))]
+    linked = link.any(axis=1)
+    assert linked.sum() > 800 and np.mean(np.array(right)[linked]) >= 0.99 and all(np.array(right)[~linked])
