@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.hashing import KEY_BITS, hash_64
+from keytide.operators.tables import written
 
 
 def keyed_count(df: DataFrame, *keys: str, weight: str | Column | None = None) -> DataFrame:
@@ -40,7 +41,8 @@ def merge(*counts: DataFrame, keys: tuple[str, ...] = ("key", "value")) -> DataF
 
 
 def larger_first(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the side with more entries, the other); ``b`` if equally many. Two counts, made while the plan is built."""
+    """(the side with more entries, the other); ``b`` if equally many. Both are written, so that counting them makes neither twice."""
+    a, b = written(a), written(b)
     return (a, b) if a.count() > b.count() else (b, a)
 
 

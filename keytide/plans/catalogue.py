@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions import hashing
 from keytide.operators import bias, counting, frequent, mutations, reports, scoring
-from keytide.sources import streams
+from keytide.operators.tables import shared_dir
+from keytide.sources import snapshots, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -343,7 +346,7 @@ def woven(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT * FROM {WOVEN_INNER}")
 def two_level_bounded_assembly(spark, d):
-    return bias.assemble_bounded(woven(spark, d), 32, 1)
+    return bias.assemble_bounded(woven(spark, d), 32, 1, block_rows=700)
 
 
 def epochs_sql(source: str, capacity: int, shards: int) -> str:
@@ -354,7 +357,7 @@ def epochs_sql(source: str, capacity: int, shards: int) -> str:
 
 @query(f"SELECT * FROM {labelled_sql(epochs_sql(WOVEN_INNER, 12, 1), 'key, epoch', 4)}")
 def two_level_lru_bias(spark, d):
-    return bias.lru_classify(bias.assemble_bounded(woven(spark, d), 32, 1), 12, 1, threshold=4)
+    return bias.lru_classify(bias.assemble_bounded(woven(spark, d), 32, 1, block_rows=700), 12, 1, threshold=4, block_rows=300)
 
 
 @query(f"SELECT * FROM {epochs_sql(STREAM, 6, 2)}")
@@ -420,9 +423,9 @@ def sender_tally(spark, d):
     return streams.packets_by_sender(streams.parse_packets(streams.to_packets(stream(spark, d))), 3)
 
 
-def hashed_sql() -> str:
+def hashed_sql(keys: str = "SELECT DISTINCT l_partkey AS key FROM lineitem") -> str:
     m = (1 << 48) - 1
-    steps = [f"SELECT DISTINCT l_partkey AS key, (({m} - l_partkey::HUGEINT) + (l_partkey::HUGEINT << 21)) & {m} AS h FROM lineitem"]
+    steps = [f"SELECT key, (({m} - key::HUGEINT) + (key::HUGEINT << 21)) & {m} AS h FROM ({keys})"]
     for shift, factor in ((24, 265), (14, 21), (28, (1 << 31) + 1)):
         steps.append(f"SELECT key, (xor(h, h >> {shift}) * {factor}::HUGEINT) & {m} AS h FROM ({steps[-1]})")
     return f"(SELECT key, CAST(h AS BIGINT) AS hash FROM ({steps[-1]}))"
@@ -467,6 +470,22 @@ def page_by_place(spark, d):
     return counting.at_places(parts_counts(spark, d), 700, 200)
 
 
+@query(f"SELECT key, value, CAST(sum(count) AS BIGINT) AS count FROM (SELECT * FROM {PARTS_SQL} UNION ALL SELECT * FROM {SUPPLIERS_SQL} UNION ALL SELECT * FROM {CUSTOMERS_SQL}) GROUP BY key, value")
+def merged_snapshots(spark, d):
+    """Counts of parts as a bucketed snapshot, to which those of suppliers and customers are added bucket by bucket."""
+    mark = uuid.uuid4().hex
+    folder = f"{shared_dir(spark)}/snapshots-{mark}"
+    snapshots.save(parts_counts(spark, d), f"parts_{mark}", f"{folder}/parts", 8)
+    snapshots.advance(spark, f"parts_{mark}", supplier_counts(spark, d), f"both_{mark}", f"{folder}/both", 8)
+    snapshots.save(customer_counts(spark, d), f"customers_{mark}", f"{folder}/customers", 8)
+    return snapshots.merged(spark, f"both_{mark}", f"customers_{mark}")
+
+
+@query(f"SELECT CAST(h.hash // {1 << 45} AS INT) AS cone, s.key, count(*) AS count, min(s.idx) AS i0, max(CASE WHEN s.rn = {T} THEN s.idx END) AS it FROM {FIRST} s JOIN {hashed_sql("SELECT DISTINCT user_id AS key FROM events")} h USING (key) GROUP BY 1, 2")
+def cone_reports(spark, d):
+    return reports.by_cone(stream(spark, d), T, 8)
+
+
 #: Heavy hitters by what they have of all rows: 1 part in 400 of the line items, and of their quantities.
 @query(f"SELECT l_suppkey AS key, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) >= 600")
 def sketched_heavy_hitters(spark, d):

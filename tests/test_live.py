@@ -165,3 +165,38 @@ def test_a_cone_has_a_partition_of_its_own(spark):
     assert got.select("cone").distinct().count() > 5
     want = reports.lifetimes(s, 24).join(counting.keyed_count(s, "key"), "key").select("key", "count", "i0", "it")
     assert sorted(map(tuple, got.drop("cone").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_snapshots_merge_without_a_shuffle(spark, tmp_path):
+    from keytide.sources import snapshots
+
+    r = random.Random(6)
+    made = [spark.createDataFrame([(r.choice([1, r.randrange(300)]), r.randrange(3), 1) for _ in range(2000)], "key long, value int, w int") for _ in range(3)]
+    counts = [counting.keyed_count(x, "key", "value") for x in made]
+    for k, c in enumerate(counts[:2]):
+        snapshots.save(c, f"snap{k}", f"{tmp_path}/snap{k}", 6)
+    got = snapshots.merged(spark, "snap0", "snap1")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, counting.merge(*counts[:2]).collect()), key=str)
+    assert len(glob.glob(f"{tmp_path}/snap0/*.parquet")) <= 6
+    after = snapshots.advance(spark, "snap0", counts[1], "snap2", f"{tmp_path}/snap2", 6)
+    last = snapshots.advance(spark, "snap2", counts[2], "snap3", f"{tmp_path}/snap3", 6)
+    assert after.count() == got.count() and len(glob.glob(f"{tmp_path}/snap3/merged/*.parquet")) <= 6
+    assert sorted(map(tuple, last.collect()), key=str) == sorted(map(tuple, counting.merge(*counts).collect()), key=str)
+    with pytest.raises(Exception, match="key is null"):
+        snapshots.save(spark.createDataFrame([(None, 0, 1)], "key long, value int, count long"), "snap4", f"{tmp_path}/snap4", 6)
+    for t in ("snap0", "snap1", "snap2", "snap3", "snap2_delta", "snap3_delta"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_trimming_keeps_the_first_rows_of_every_key(spark, monkeypatch):
+    monkeypatch.setattr(reports, "TRIM_ROWS", 500)
+    rows = rows_of(7, 4000, 60)
+    for df in (spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(rows, SCHEMA).coalesce(1)):
+        few = reports.trimmed(df, 4)
+        assert few.dtypes == df.dtypes and few.count() < 3000
+        want = reports.first_rows(df, 4)
+        assert sorted(map(tuple, reports.first_rows(few, 4).collect())) == sorted(map(tuple, want.collect()))
+    odd = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "key string, idx long")
+    assert reports.trimmed(odd, 1).count() == 3
+    assert reports.trimmed(spark.createDataFrame([(None, 1), (1, 2), (1, 3)], "key long, idx long"), 1).count() == 3
