@@ -7,10 +7,6 @@ key never moves whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,45 +14,6 @@ from pyspark.sql import functions as F
 from keytide.functions.hashing import cone, hash_64
 
 
-#: Rows whose order is looked at at once, before anything is shuffled.
-TRIM_ROWS = 1 << 20
-
-
-def trimmed(stream: DataFrame, threshold: int) -> DataFrame:
-    """The stream without rows that can't be among their key's first ``threshold``: of each stretch of a partition that many stay.
-
-    Keys that aren't whole numbers, or are null, stay as they are. One sort of arrays takes the place of
-    a sort of rows.
-    """
-    kinds = dict(stream.dtypes)
-    if kinds["key"] != "bigint" or kinds["idx"] != "bigint":
-        return stream
-
-    def few(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        if t["key"].null_count or t["idx"].null_count:
-            yield from t.to_batches()
-            return
-        key, idx = t["key"].to_numpy(), t["idx"].to_numpy()
-        order = np.argsort(key, kind="stable") if (idx[1:] >= idx[:-1]).all() else np.lexsort((idx, key))
-        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-        begun = np.flatnonzero(new)
-        rank = np.arange(len(order)) - np.repeat(begun, np.diff(np.append(begun, len(order))))
-        yield from t.take(pa.array(order[rank < threshold])).combine_chunks().to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held, n = [*held, batch], n + batch.num_rows
-            if n >= TRIM_ROWS:
-                yield from few(held)
-                held, n = [], 0
-        if n:
-            yield from few(held)
-
-    return stream.mapInArrow(run, stream.schema)
-
-
 def first_rows(stream: DataFrame, threshold: int) -> DataFrame:
     """The first ``threshold`` rows of each key, with their rank ``rn``."""
     w = W.partitionBy("key").orderBy("idx")

@@ -187,16 +187,3 @@ def test_snapshots_merge_without_a_shuffle(spark, tmp_path):
         snapshots.save(spark.createDataFrame([(None, 0, 1)], "key long, value int, count long"), "snap4", f"{tmp_path}/snap4", 6)
     for t in ("snap0", "snap1", "snap2", "snap3", "snap2_delta", "snap3_delta"):
         spark.sql(f"DROP TABLE {t}")
-
-
-def test_trimming_keeps_the_first_rows_of_every_key(spark, monkeypatch):
-    monkeypatch.setattr(reports, "TRIM_ROWS", 500)
-    rows = rows_of(7, 4000, 60)
-    for df in (spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(rows, SCHEMA).coalesce(1)):
-        few = reports.trimmed(df, 4)
-        assert few.dtypes == df.dtypes and few.count() < 3000
-        want = reports.first_rows(df, 4)
-        assert sorted(map(tuple, reports.first_rows(few, 4).collect())) == sorted(map(tuple, want.collect()))
-    odd = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "key string, idx long")
-    assert reports.trimmed(odd, 1).count() == 3
-    assert reports.trimmed(spark.createDataFrame([(None, 1), (1, 2), (1, 3)], "key long, idx long"), 1).count() == 3
