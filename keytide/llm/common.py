@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """Raises where ids aren't whole numbers: components and first owners are told by their order."""
+    kind = dict(df.select(F.col(id_col)).dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number, not {kind}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only on a local master where none is set (tests)."""
     sc = spark.sparkContext

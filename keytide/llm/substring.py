@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import dropped, in_batches, release_others, texts, written
+from keytide.llm.common import dropped, in_batches, release_others, texts, whole_ids, written
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 50, 12
@@ -215,8 +215,9 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", win
 
     ``h`` is ``xxhash64`` of the text; rows that agree in id and text agree in cuts. A window is
     repeated if its words also stand together in a document with a smaller id. Rows with a null id
-    or text neither count nor are cut.
+    or text neither count nor are cut. Ids must be whole numbers.
     """
+    whole_ids(docs, id_col)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     @in_batches

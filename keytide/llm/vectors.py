@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches
+from keytide.llm.common import in_batches, whole_ids
 
 
 def usable(vec: Column) -> Column:
@@ -18,7 +18,8 @@ def usable(vec: Column) -> Column:
 
 
 def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id long, dim int, v binary) of the usable rows: components as little-endian doubles."""
+    """(id long, dim int, v binary) of the usable rows: components as little-endian doubles. Ids must be whole numbers."""
+    whole_ids(df, id_col)
 
     @in_batches
     def run(batch):

@@ -108,3 +108,24 @@ def test_small_caches_give_the_same_ids():
     text = " ".join("".join(rng.choice("abcdeé'1.") for _ in range(rng.randint(1, 12))) for _ in range(3000))
     path = bpe.default_path()
     assert bpe.WordBpe(path, 0.0001).packed(text) == bpe.WordBpe(path).packed(text)
+
+
+def test_several_blocks_and_partitions(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice((0, 3, 90, 700))))) for i in range(400)], "doc_id long, text string").repartition(5)
+    got = packing.pack_documents(docs, capacity=256, block_tokens=3000, with_ids=True).collect()
+    assert len({r.sequence_id >> 32 for r in got}) == 5
+    windows, pieces = {}, {}
+    for r in got:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append(r)
+    for parts in windows.values():  # gapless, full or a power of two: so no number is used for two windows
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at == 256 or at & (at - 1) == 0
+    for x in docs.collect():
+        ids = [i for r in sorted(pieces[x.doc_id], key=lambda r: r.start) for i in r.ids]
+        assert ids == [*library_ids(x.text), 1]
+    assert sum(len(parts) for parts in windows.values()) == len(got) and len(windows) > 100

@@ -1,4 +1,5 @@
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,25 @@ def test_texts_in_an_unlearnt_language_go(spark):
     assert langid.keep_known(docs).count() >= 0.995 * docs.count()
     assert langid.keep_known(docs, least=0.0).count() == docs.where("text rlike '[A-Za-z]'").count()
     assert langid.keep_known(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
+def test_whole_grades_equal_plain_sums_and_the_highest_label_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, None), (70001, ""), (70002, "the " * 3000)], docs.schema))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    highest = labels.select("doc_id", (F.col("toxic") * 2).alias("grade"))
+    several = highest.unionByName(highest.withColumn("grade", F.lit(0))).unionByName(highest.where("grade = 2").withColumn("grade", F.lit(1)))
+    w, theta = toxicity.train(docs, highest)
+    w2, theta2 = toxicity.train(docs, several)
+    assert np.allclose(w, w2, atol=1e-6) and np.allclose(theta, theta2, atol=1e-6)
+    got = {x.doc_id: x for x in toxicity.grade_documents(docs, several).collect()}
+    rows = docs.collect()
+    assert len(got) == len({x.doc_id for x in rows})
+    for x in rows:
+        at, value = toxicity.features((x.text or "").encode())
+        z = sum(float(w[a]) * float(v) for a, v in zip(at, value))
+        below = [1 / (1 + math.exp(-min(40, max(-40, t - z)))) for t in theta] + [1.0]
+        p = [b - a for a, b in zip([0.0, *below], below)]
+        y = got[x.doc_id]
+        assert abs(y.severity - (p[1] + 2 * p[2])) < 1e-6 and abs(y.p_toxic - (1 - p[0])) < 1e-6
+        assert y.toxic == (y.p_toxic >= 0.5) and p[y.grade] >= max(p) - 1e-6

@@ -116,3 +116,14 @@ def test_index_is_small_and_exact_at_size():
     got, low = index.matches(bare, np.array(parts))
     assert (got.reshape(400, 460)[:, :411] == 50).all() and (got.reshape(400, 460)[:, 411:] == np.arange(49, 0, -1)).all()
     assert (low.reshape(400, 460)[:, :411] == 0).all()
+
+
+def test_ids_must_be_whole_numbers(spark):
+    import pytest
+
+    from keytide.llm import embed_dedup
+
+    with pytest.raises(TypeError, match="doc_id"):
+        substring.digests(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError, match="vec_id"):
+        embed_dedup.link_near_duplicates(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
