@@ -42,6 +42,8 @@ GOLAY = 0b101011100011
 WIDTHS = (22, 21, 21)
 #: Differing bits up to which the keys are complete.
 MAX_DISTANCE = 4
+#: Fingerprints beyond which keys of two indices have some tens of rows each.
+CROWDED = 1 << 26
 #: Rows of a bucket over which it is searched row by row, not by offsets.
 LARGE = 48
 #: Rows of a key that are met at once, and rows carried on from piece to piece of a key with more.
@@ -79,29 +81,36 @@ def indices(segment: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return table[segment].astype(np.int64), all_
 
 
-def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, side) of every key of each fingerprint; sides 0 and 1 meet, 2 meets itself."""
+def keys(fingerprints: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of each fingerprint; two within four bits have one in common.
+
+    Where one segment is the same, another differs in two bits at most, and where no segment is the same, two
+    differ in one bit each and the last in two at most. Segments within two bits share an index among
+    all of theirs, within one bit one's own is among the other's. Keys of two indices have 24 bits;
+    ``third`` adds those of the last segment to them.
+    """
     f = fingerprints.astype(np.uint64)
     cut, shift = [], 0
     for w in WIDTHS:
         cut.append((f >> np.uint64(shift) & np.uint64((1 << w) - 1)).astype(np.int64))
         shift += w
     own, every = zip(*(indices(s, w) for s, w in zip(cut, WIDTHS, strict=True)), strict=True)
-    row, key, side = [], [], []
-
-    def add(tag: int, first: np.ndarray, second: np.ndarray, flat: np.ndarray, s: int):
-        r, c = np.nonzero(flat >= 0)
-        k = (first[r] << 12 | flat[r, c]) if second is None else (flat[r, c] << 12 | second[r])
-        row.append(r)
-        key.append(k | tag << 40)
-        side.append(np.full(len(r), s, dtype=np.int8))
-
+    row, key = [], []
     for tag, (i, j) in enumerate(itertools.permutations(range(3), 2)):
-        add(tag, cut[i], None, every[j], 2)
+        r, c = np.nonzero(every[j] >= 0)
+        row.append(r)
+        key.append(cut[i][r] << 12 | every[j][r, c] | tag << 40)
     for tag, (i, j) in enumerate(itertools.combinations(range(3), 2), 8):
-        add(tag, own[i], None, every[j], 0)
-        add(tag, None, own[j], every[i], 1)
-    return np.concatenate(row), np.concatenate(key), np.concatenate(side)
+        k = 3 - i - j
+        for mine, flat, low in ((own[i], every[j], False), (own[j], every[i], True)):
+            r, c = np.nonzero(flat >= 0)
+            two = flat[r, c] << 12 | mine[r] if low else mine[r] << 12 | flat[r, c]
+            if third:
+                s, d = np.nonzero(every[k][r] >= 0)
+                r, two = r[s], two[s] << 12 | every[k][r[s], d]
+            row.append(r)
+            key.append(two | tag << 40)
+    return np.concatenate(row), np.concatenate(key)
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -250,15 +259,19 @@ def meetings(spread: DataFrame, columns: list[str], most: int) -> DataFrame:
     return found.unionByName(cells.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long"))
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b): links that join all of ``distinct.fp`` within ``max_distance`` bits, each verified."""
+def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, crowded: int = CROWDED) -> DataFrame:
+    """(a, b): links that join all of ``distinct.fp`` within ``max_distance`` bits, each verified.
+
+    Over ``crowded`` fingerprints get more keys with fewer rows in each; they find the same.
+    """
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError(f"the keys are complete up to {MAX_DISTANCE} differing bits")
+    third = distinct.count() > crowded
 
     @in_batches
     def spread(batch):
         fp = batch.column(0).to_numpy(zero_copy_only=False)
-        row, key, _ = keys(fp.view(np.uint64))  # rows of one side that meet are compared too
+        row, key = keys(fp.view(np.uint64), third)
         return {"key": pa.array(key), "node": pa.array(fp[row]), "fp": pa.array(fp[row])}
 
     return meetings(distinct.select("fp").mapInArrow(spread, "key long, node long, fp long"), ["fp"], max_distance)

@@ -8,17 +8,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keytide.llm import simhash
+from keytide.llm.common import connected_components
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=4))
 def test_every_pair_within_four_bits_meets(a, bits):
     b = a ^ sum(1 << x for x in bits)
-    row, key, side = simhash.keys(np.array([a, b], dtype=np.uint64))
-    assert (np.bincount(row, minlength=2) <= 72).all()
-    sets = [{(k, s) for r, k, s in zip(row, key, side) if r == n} for n in (0, 1)]
-    meet = {(k, {0: 1, 1: 0, 2: 2}[s]) for k, s in sets[0]} & sets[1]
-    assert meet
+    for third, most in ((False, 72), (True, 300)):
+        row, key = simhash.keys(np.array([a, b], dtype=np.uint64), third)
+        assert (np.bincount(row, minlength=2) <= most).all() and set(key[row == 0]) & set(key[row == 1])
 
 
 def brute(texts, most=4):
@@ -53,6 +52,9 @@ def test_against_all_pairs(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string").repartition(5)
     got = {x.doc_id: x for x in simhash.near_duplicates(docs).collect()}
     assert len(got) == len(texts)
+    prints = spark.createDataFrame([(x - (x >> 63 << 64),) for x in set(f)], "fp long")
+    one, two = (connected_components(simhash.links(prints, crowded=c), "a", "b") for c in (1 << 26, 10))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) != []
     assert len(set(label)) < len(texts) - 40
     for i in range(len(texts)):
         assert got[i].fingerprint == f"{f[i]:016x}" and got[i].component_id == label[i], i
