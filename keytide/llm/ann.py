@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from keytide.llm.common import dropped, in_batches, matrix, written
 from keytide.llm.vectors import packed
 
-#: Rows of a query block and of a row block; a tile needs a few MB whatever the table's size.
-QUERY_BLOCK, ROW_BLOCK = 4096, 4096
+#: Rows of a query block and of a row block, a byte for each component; the more rows in a tile, the fewer survive in all.
+QUERY_BLOCK, ROW_BLOCK = 1024, 16384
 
 
 def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
