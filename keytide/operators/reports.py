@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.hashing import cone, hash_64
+from keytide.operators.tables import written
 
 
 def first_rows(stream: DataFrame, threshold: int) -> DataFrame:
@@ -135,11 +136,17 @@ def counters(told: DataFrame, on_demand: DataFrame, points: DataFrame) -> DataFr
 
 
 def stretches(stream: DataFrame, reports: DataFrame, threshold: int) -> DataFrame:
-    """``reports`` (key, report_idx) joined with lifetimes: count and time stretch of each."""
+    """``reports`` (key, report_idx) joined with lifetimes: count and time stretch of each.
+
+    Reports are written once, as both the rows up to them and the lifetimes are asked for them. A key's
+    rows are counted by a join with its few reports, not put in order.
+    """
+    told = written(reports.select("key", "report_idx").distinct())
     known = lifetimes(stream, threshold).where("i0 < it").select("key", "i0", "it")
-    counted = count_at(stream, reports.select("key", F.col("report_idx").alias("index"))).select("key", F.col("index").alias("report_idx"), F.col("count").alias("report_count"))
+    counted = stream.select("key", "idx").join(told, "key").where("idx <= report_idx").groupBy("key", "report_idx").agg(F.count("*").alias("report_count"))
+    rows = known.join(told, "key").join(counted, ["key", "report_idx"], "left").withColumn("report_count", F.coalesce("report_count", F.lit(0)))
     life = F.col("it") - F.col("i0")
-    return known.join(counted, "key").select(
+    return rows.select(
         "key", "i0", "it", life.alias("lifetime"), "report_idx", "report_count",
         (F.col("report_count") / F.lit(float(threshold))).alias("count_stretch"),
         ((F.col("report_idx") - F.col("i0")) / life.cast("double")).alias("time_stretch"),
