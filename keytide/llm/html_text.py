@@ -55,8 +55,12 @@ ASIDE = COMMENT | frozenset(
     """ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert
     newsletter subscribe subscription signup login sidebar widget related recommended recommendations teaser teasers share sharing
     social breadcrumb breadcrumbs menu nav navbar navigation footer header masthead toolbar pagination pager popup modal overlay
-    navigation contentinfo complementary search form dialog alertdialog feedback discussion""".split()
+    navigation contentinfo complementary search form dialog alertdialog feedback discussion notification notifications announcement
+    disclaimer copyright legal""".split()
 )
+#: Beginnings of such words where several are written as one; what follows "comment" isn't "ary".
+STEM = re.compile(r"(comment(?!ary)|advert|adslot|adbox|adbanner|sponsor|newsletter|cookie|breadcrumb|sidebar|subscri|promo|recommend|related)[a-z]+")
+STEMS = {"comment": "comment", "sidebar": "sidebar"}
 #: A start tag of the key ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -87,7 +91,8 @@ def marks(attributes: str) -> set[str]:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             found.add("hidden")
         elif name in ("class", "id", "role"):
-            found.update(x.lower() for x in NAME_PART.findall(value))
+            parts = [x.lower() for x in NAME_PART.findall(value)]
+            found.update(STEMS.get(m[1], "ad") if (m := STEM.fullmatch(x)) else x for x in parts)
     return found
 
 

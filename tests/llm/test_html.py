@@ -46,6 +46,10 @@ def test_odd_pages():
     assert main_text("<main><div hidden>x</div><div style='display: none'>y</div><p>kept</main>") == "kept"
     assert main_text("<div class='layout sidebar'><article>text</article><div>other</div></div>") == "text"
     assert main_text("<article><a href='x'>" + LONG + "</a></article>") == ""
+    for name in ("commentlist", "advertising", "siteSidebar", "cookie-notice", "post-comments", "subscription_box"):
+        assert main_text(f"<div><p>{LONG}</p><div class='{name}'><p>{LONG} x</p></div></div>") == LONG.strip()
+        assert main_text(f"<article><p>{LONG}</p><ul id={name}><li>{LONG} x</ul></article>") == LONG.strip()
+    assert main_text(f"<article class='commentary has-sidebar'><p>{LONG}</p></article>") == LONG.strip()
     for piece in ("<div>", "<a <", "<b ='", "</x>", "<p><a>", '<i a="', "<li>x", "<!", "&am"):  # linear in the page's length
         main_text("<article>" + piece * 100_000)
 
