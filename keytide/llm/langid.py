@@ -117,7 +117,7 @@ def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
 
 #: Labelled texts, about, from which the least scores are learnt; the share of them that may score less, and how
 #: much less than that a text's score may be.
-JUDGED, LOW, MARGIN = 20_000, 0.001, 0.8
+JUDGED, LOW, MARGIN = 20_000, 0.005, 0.5
 
 
 def least_scores(labelled: DataFrame, model, size: int = PROFILE, judged: int = JUDGED) -> dict[int, float]:
