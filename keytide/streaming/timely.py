@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import itertools
 import time
 from collections import deque
 from collections.abc import Iterator
@@ -184,25 +184,90 @@ def live_point_query(spark: SparkSession, checkpoint: str, keys: DataFrame, batc
     return wanted.join(known, "key", "left").select("key", F.coalesce("count", F.lit(0)).alias("count"), "report_idx")
 
 
+class StoredTable:
+    """A table in order of use, as ``bias`` keeps them, whose entries are state: what a batch doesn't touch is neither read nor written.
+
+    An entry knows the place of its last use. A list of all uses in order tells the oldest entry: the
+    first use that is still its key's last. Used up and outdated ones are cut off once they are half of the list.
+    """
+
+    def __init__(self, entries, uses, size: int = 0, head: int = 0, length: int = 0):
+        self.entries, self.uses, self.size, self.head, self.length = entries, uses, size, head, length
+        self.touched: dict[int, tuple | None] = {}
+        self.new: list[tuple[int, int]] = []
+        self.place = -1  # of the row at hand
+        self.old = None  # uses before this batch, from the head on
+
+    def __len__(self) -> int:
+        return self.size
+
+    def entry(self, key: int) -> tuple | None:
+        if key not in self.touched:
+            self.touched[key] = self.entries.getValue((key,))
+        return self.touched[key]
+
+    def pop(self, key: int, default: tuple) -> tuple:
+        found = self.entry(key)
+        if found is None:
+            return default
+        self.touched[key] = None
+        self.size -= 1
+        return found[1:]
+
+    def __setitem__(self, key: int, value: tuple) -> None:
+        self.touched[key] = (self.place, *value)
+        self.new.append((self.place, key))
+        self.size += 1
+
+    def use(self, k: int) -> tuple:
+        """The k-th use from the head this batch began with."""
+        if self.old is None:
+            self.old = itertools.islice(self.uses.get(), self.head, None)
+        return next(self.old) if k < self.length else self.new[k - self.length]
+
+    def popitem(self, last: bool = False) -> None:
+        while True:
+            place, key = self.use(self.head)
+            self.head += 1
+            found = self.entry(key)
+            if found is not None and found[0] == place:
+                self.touched[key] = None
+                self.size -= 1
+                return
+
+    def save(self) -> tuple[int, int, int]:
+        """Writes what was touched; (size, head, length) for the next batch."""
+        for key, value in self.touched.items():
+            if value is not None:
+                self.entries.updateValue((key,), value)
+            elif self.entries.containsKey((key,)):
+                self.entries.removeKey((key,))
+        if 2 * self.head > self.length + len(self.new):
+            rest = [*itertools.islice(self.uses.get(), self.head, None), *self.new] if self.head < self.length else self.new[self.head - self.length :]
+            self.uses.put(rest) if rest else self.uses.clear()
+            return self.size, 0, len(rest)
+        if self.new:
+            self.uses.appendList(self.new)
+        return self.size, self.head, self.length + len(self.new)
+
+
 class BoundedTables(StatefulProcessor):
     """Judges keys of one shard in a bounded table, in order of idx; with ``outer`` its rows are parts of outer keys.
 
-    The state is the tables themselves, which never hold more than their capacity. Rows whose idx
-    isn't over the last one of their shard raise, unless ``late`` is "drop".
+    Rows whose idx isn't over the last one of their shard raise, unless ``late`` is "drop".
     """
 
     def __init__(self, capacity: int, threshold: int, most_ones: int, outer: bool, late: str = "raise"):
         self.capacity, self.threshold, self.most_ones, self.outer, self.late = capacity, threshold, most_ones, outer, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tables", "tables binary, last long")
+        self.meta = handle.getValueState("meta", "last long, a0 long, a1 long, a2 long, b0 long, b1 long, b2 long")
+        self.states = [(handle.getMapState(f"{n}_entries", "key long", "place long, x long, y long"), handle.getListState(f"{n}_uses", "place long, key long")) for n in ("outer", "inner")]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            held, last = self.state.get()
-            outer, inner = pickle.loads(held)
-        else:
-            outer, inner, last = bias.OuterTable(self.capacity), bias.BiasTable(self.capacity, self.threshold, self.most_ones), -1
+        last, *sizes = self.meta.get() if self.meta.exists() else (-1, 0, 0, 0, 0, 0, 0)
+        outer, inner = bias.OuterTable(self.capacity), bias.BiasTable(self.capacity, self.threshold, self.most_ones)
+        outer.live, inner.live = (StoredTable(*states, *sizes[3 * k : 3 * k + 3]) for k, states in enumerate(self.states))
         names = ["idx", "okey", "val", "cnt"] if self.outer else ["idx", "key", "value", "truth"]
         out = []
         for idx, *what in pd.concat([f[names] for f in rows]).sort_values("idx", kind="stable").itertuples(index=False):
@@ -210,11 +275,11 @@ class BoundedTables(StatefulProcessor):
                 if self.late == "drop":
                     continue
                 raise ValueError(f"shard {key[0]}: row {idx} came after row {last}")
-            last = int(idx)
+            last = outer.live.place = inner.live.place = int(idx)
             made = outer.part(int(what[0]), what[1], int(what[2])) if self.outer else (int(what[0]), int(what[1]), int(what[2]))
             if made and (judged := inner.row(*made)):
                 out.append((made[0], last, judged[0], made[2], judged[1]))
-        self.state.update((pickle.dumps((outer, inner)), last))
+        self.meta.update((last, *outer.live.save(), *inner.live.save()))
         yield pd.DataFrame(out, columns=["key", "idx", "ones", "truth", "label"])
 
     def close(self) -> None:

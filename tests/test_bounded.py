@@ -217,3 +217,42 @@ def test_blocks_of_a_bounded_outer_table_run_again_until_they_fit(spark):
         got = bias.assemble_bounded(parts, capacity, shards, block)
         assert sorted((x.idx, x.okey, x.key, x.value, x.truth) for x in got.collect()) == made
     assert bias.assemble_bounded(parts.limit(0), 5, 1).count() == 0
+
+
+class InMemory(dict):
+    """State of a shard, as a table sees it."""
+
+    def __init__(self):
+        self.uses = []
+
+    getValue, containsKey, updateValue, removeKey = dict.get, dict.__contains__, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    def get(self, *key):
+        return iter(list(self.uses)) if not key else dict.get(self, *key)
+
+    def put(self, rows):
+        self.uses = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.uses += rows
+
+    def clear(self):
+        self.uses = []
+
+
+def test_a_stored_table_equals_one_in_memory_over_batches():
+    r = random.Random(10)
+    for capacity in (1, 3, 20):
+        entries, uses, size = InMemory(), InMemory(), (0, 0, 0)
+        plain, rows, got, want = bias.BiasTable(capacity, 3, 1), 0, [], []
+        for _ in range(60):
+            kept = bias.BiasTable(capacity, 3, 1)
+            kept.live = timely.StoredTable(entries, uses, *size)
+            for _ in range(r.randrange(40)):
+                kept.live.place, row = rows, (r.randrange(r.choice((4, 40))), r.randrange(2), 1)
+                got.append(kept.row(*row))
+                want.append(plain.row(*row))
+                rows += 1
+            size = kept.live.save()
+            assert len(entries) == size[0] == len(plain.live) <= capacity and len(uses.uses) == size[2] <= 2 * capacity + 200
+        assert got == want and any(got)
