@@ -19,14 +19,14 @@ def from_table(df: DataFrame, idx: str, key: str, value=None, truth=None) -> Dat
     return df.select(F.col(idx).cast("long").alias("idx"), F.col(key).cast("long").alias("key"), (F.lit(0) if value is None else value).cast("int").alias("value"), (F.lit(0) if truth is None else truth).cast("int").alias("truth"))
 
 
-def read_binary_keys(spark: SparkSession, path: str, partition_keys: int = stored.PARTITION_KEYS) -> DataFrame:
+def read_binary_keys(spark: SparkSession, path: str, chunk_keys: int = stored.PARTITION_KEYS) -> DataFrame:
     """(idx, key) of little-endian unsigned 64-bit keys in a file, or in a folder's files by name; idx is the place.
 
-    Only names and sizes are looked up before tasks read their stretches of ``partition_keys`` keys. Bytes at a
+    Only names and sizes are looked up before tasks read their stretches of ``chunk_keys`` keys. Bytes at a
     file's end that make no key are left out.
     """
     stored.register(spark)
-    return spark.read.format("keys").option("partition_keys", partition_keys).load(path)
+    return spark.read.format("keys").option("partition_keys", chunk_keys).load(path)
 
 
 def stream_binary_keys(spark: SparkSession, folder: str) -> DataFrame:
