@@ -35,6 +35,15 @@ def test_hash_and_inverse_in_spark(spark):
     assert [r.t for r in big.collect()] == ["17996431805658317590", "5"]
 
 
+def test_hash_is_a_short_expression(spark):
+    """Where a hash stands in a filter, Spark evaluates the key as often as it is written out."""
+    assert str(hashing.hash_64(F.col("the_key"))).count("the_key") <= 40
+    rows = spark.createDataFrame([(k,) for k in (0, 1, 24, 1000000065, (1 << 48) - 1, -1, 1 << 48, None)], "k long")
+    got = [r.h for r in rows.select(hashing.hash_64(F.col("k")).alias("h")).collect()]
+    assert got == [131731959509019, 136793493403854, 111762397121225, 11501139732237, 278361220053720, 278361220053720, 131731959509019, None]
+    assert rows.where(hashing.hash_64(F.col("k"), 8).between(0, 255)).count() == 7
+
+
 def test_power_law_reproduces_the_recorded_results(spark):
     """10,000 packets: 8296 keys, at most 166654 times one, 3 true anomalies and 460 true negatives."""
     s = generators.powerlaw(spark, 10_000).cache()
