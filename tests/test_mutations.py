@@ -68,3 +68,13 @@ def test_places_in_hash_order(spark):
         got = counting.at_places(df, first, n)
         assert sorted((x.place, x.hash, x.value, x.key) for x in got.collect()) == [(first + i, *x) for i, x in enumerate(order[first : first + n])]
         assert "Sort [" not in got._jdf.queryExecution().optimizedPlan().toString()  # no order over all
+
+
+def test_page_in_hash_order_hashes_in_few_steps(spark):
+    keys = random.Random(6).sample(range(1 << 47), 500)
+    rows = spark.createDataFrame([(k,) for k in [*keys, *keys[:100], None]], "key long")
+    page = counting.in_hash_order(counting.keyed_count(rows, "key"), 1 << 47).limit(50)
+    hashes = dict(rows.where("key is not null").select("key", hashing.hash_64(F.col("key"))).collect())
+    want = sorted((h, k, 2 if k in keys[:100] else 1) for k, h in hashes.items() if h >= 1 << 47)[:50]
+    assert [(r.hash, r.key, r["count"]) for r in page.collect()] == want
+    assert page._jdf.queryExecution().optimizedPlan().toString().count("key#") < 200  # each once a row where the filter stands
