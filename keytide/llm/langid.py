@@ -115,33 +115,33 @@ def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-#: Labelled texts, about, from which the least scores are learnt; the share of them that may score less, and how
-#: much less than that a text's score may be.
-JUDGED, LOW, MARGIN = 20_000, 0.005, 0.5
+#: The share of labelled texts that may score less than the least score, how much less than that a text's score
+#: may be, and the steps in which scores are counted.
+LOW, MARGIN, STEPS = 0.005, 0.5, 10_000
 
 
-def least_scores(labelled: DataFrame, model, size: int = PROFILE, judged: int = JUDGED) -> dict[int, float]:
+def least_scores(labelled: DataFrame, model, size: int = PROFILE) -> dict[int, float]:
     """The least score of a text in a learnt language, by the bits of its number of different n-grams.
 
-    From the scores that labelled texts (text, lang) get for their own language: ``MARGIN`` times
-    what all but a share of ``LOW`` of them reach. About ``judged`` of the rows are scored, told
-    by the hashes of their texts.
+    From the scores that all labelled texts (text, lang) get for their own language: ``MARGIN`` times
+    what all but a share of ``LOW`` of them reach, in steps of 1 / ``STEPS``.
     """
-    parts = 1 << 20
-    share = min(1.0, judged / max(1, labelled.count()))
 
     @in_batches
     def run(batch):
-        bits, scores = [], []
+        bits, steps = [], []
         for raw, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             name, score, n = judged_text(raw.decode(), model, size)
             if name == lang:
                 bits.append(n.bit_length())
-                scores.append(score)
-        return {"bits": pa.array(bits, pa.int32()), "score": pa.array(scores, pa.float64())}
-
-    some = labelled.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < int(share * parts)).mapInArrow(run, "bits int, score double")
-    return {r.bits: MARGIN * r.low for r in some.groupBy("bits").agg(F.percentile_approx("score", LOW, 10_000).alias("low")).collect()}  # 10 rows
+                steps.append(int(score * STEPS))
+        return {"bits": pa.array(bits, pa.int32()), "step": pa.array(steps, pa.int32())}
+
+    counts = labelled.select("text", "lang").mapInArrow(run, "bits int, step int").groupBy("bits", "step").agg(F.count("*").alias("n"))
+    w = W.partitionBy("bits")  # STEPS + 1 rows at most
+    below = F.sum("n").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    reached = counts.withColumn("below", below).withColumn("all", F.sum("n").over(w)).where(F.col("below") >= LOW * F.col("all"))
+    return {r.bits: MARGIN * r.step / STEPS for r in reached.groupBy("bits").agg(F.min("step").alias("step")).collect()}  # 10 rows
 
 
 def judged_text(text: str, model, size: int = PROFILE) -> tuple[str, float, int]:

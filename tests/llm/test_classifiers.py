@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -154,3 +155,20 @@ def test_whole_grades_equal_plain_sums_and_the_highest_label_counts(spark):
         y = got[x.doc_id]
         assert abs(y.severity - (p[1] + 2 * p[2])) < 1e-6 and abs(y.p_toxic - (1 - p[0])) < 1e-6
         assert y.toxic == (y.p_toxic >= 0.5) and p[y.grade] >= max(p) - 1e-6
+
+
+def test_least_scores_count_every_labelled_text(spark):
+    rng = random.Random(8)
+    words = {"aa": ["kilo", "maru", "tenno", "sabi", "woru"], "bb": ["dref", "glint", "spork", "brunt", "clegs"]}
+    both = words["aa"] + words["bb"]
+    rows = [(" ".join(rng.choices(words[lang] if rng.random() < 0.9 else both, k=rng.randint(3, 9))), lang) for lang in words for _ in range(13_000)]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    model = langid.learn(labelled)
+    scores = {}
+    for text, lang in rows:
+        name, score, n = langid.judged_text(text, model)
+        if name == lang:
+            scores.setdefault(n.bit_length(), []).append(score)
+    want = {bits: langid.MARGIN * sorted(x)[max(0, math.ceil(langid.LOW * len(x)) - 1)] for bits, x in scores.items()}
+    got = langid.least_scores(labelled, model)
+    assert got.keys() == want.keys() and all(0 <= want[b] - got[b] <= langid.MARGIN / 10_000 + 1e-12 for b in want)
