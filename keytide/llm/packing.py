@@ -28,6 +28,8 @@ from keytide.llm.common import pieces, release_others, texts
 
 #: Tokens whose rests are packed together.
 BLOCK_TOKENS = 1 << 20
+#: Texts that are encoded together.
+TOGETHER = 500
 
 
 def best_fill(waiting: dict[int, int], room: int) -> dict[int, int]:
@@ -157,11 +159,12 @@ def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             held = 0
             return pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
 
-        for batch in (part for b in batches for part in pieces(b)):
+        for batch in (part for b in batches for part in pieces(b, TOGETHER)):
             id_kind = batch.column(0).type
-            for i, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            encoded = m.packed_all(raw.decode() for raw in texts(batch.column(1)))
+            for i, code in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids.append(i)
-                packed.append(m.packed(raw.decode()) + end)
+                packed.append(code + end)
                 held += len(packed[-1]) // 4
                 if held >= block_tokens:
                     yield flush()

@@ -129,3 +129,15 @@ def test_several_blocks_and_partitions(spark):
         ids = [i for r in sorted(pieces[x.doc_id], key=lambda r: r.start) for i in r.ids]
         assert ids == [*library_ids(x.text), 1]
     assert sum(len(parts) for parts in windows.values()) == len(got) and len(windows) > 100
+
+
+def test_texts_encoded_together_are_what_each_is_alone():
+    rng = random.Random(11)
+    parts = ["lación", "queño", "ing", "ä", "Ñ", "don't", "x" * 45, "y1", "9", "é" * 17, "ß" * 40, ".,", "的", "\U0001f600", "<|endoftext|>", "<|", "\x1c", "Σ", "e\u0301", "a" * 31, "tion"]
+    many = ["", " ", *("".join(rng.choice(parts) + rng.choice(["", "", " ", "\n", "\x85"]) for _ in range(rng.randint(1, 60))) for _ in range(300))]
+    alone = bpe.WordBpe(bpe.default_path())
+    want = [alone.packed(x) for x in many]
+    for kept in (1.0, 0.00001):
+        m = bpe.WordBpe(bpe.default_path(), kept)
+        assert [ids for k in range(0, len(many), 7) for ids in m.packed_all(many[k : k + 7])] == want
+        assert m.packed_all(many) == want and not any(len(x) > 40 for cache in (m.packed_words, m.packed_pieces) for x in cache)
