@@ -8,14 +8,14 @@ its last step. So the stored counts of a context's followers never add up to mor
 own, and with single tokens' shares, which add up to one with one unknown word, neither do the
 probabilities; only a false positive of the filter (one pair in 2000) adds to them.
 
-Every pair of the training texts is in the filter, however rare. Two jobs make and use it. The first
-counts words and pairs: each task adds up its own, the counts meet by hash in shards of about one size,
-as many as the corpus asks for, and there the pairs' steps go into the shard's filter and their counts are
-given up; words keep exact counts. The shards are a table, the model. The second job deals texts into
-chunks. A small model's filters are broadcast and probed where the texts are; beyond a size that is
-checked, a chunk sends each shard its distinct pairs there, as it does with its words for their counts, and
-gets their steps back in the order asked. What is sent grows with the tokens. Neither words nor pairs
-reach the driver but in a broadcast filter.
+Every pair of the training texts is in the filter, however rare. Counts of words and pairs meet by hash in
+shards of about one size, as many as the corpus asks for; there the pairs' steps go into the shard's
+filter and their counts are given up, and words keep exact counts. Where the model is sure to be small, it is
+learnt first, broadcast and used where the texts are. Else texts are dealt into chunks, and a chunk sends each
+shard its distinct words and pairs there once, with their counts in its training texts: the shard learns from
+these of all chunks, and then tells each the counts of its words and the steps of its pairs, in the order
+sent. So every code is sent once, for both. What is sent grows with the tokens, and neither words nor
+pairs reach the driver but in a broadcast model.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import in_batches, pieces, release_others, texts, written
+from keytide.llm.common import in_batches, pieces, release_others, texts
 
 #: Base of the quantisation.
 BASE = 1.25
@@ -34,8 +34,12 @@ BASE = 1.25
 ENTRY_BITS, HASHES = 16, 7
 #: Tokens of a chunk of texts, and training tokens for each shard of the model, about.
 CHUNK_TOKENS = 2_000_000
-#: Bytes of all filters up to which they are broadcast.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of a model up to which it is broadcast, and those that a training token takes at most: a word's code and count, a filter's entry.
+BROADCAST_BYTES, TOKEN_BYTES = 8 << 20, 8 + 8 + ENTRY_BITS // 8
+#: Codes that probe a filter at a time, which bounds a worker's memory.
+PROBED = 1 << 18
+#: Bits of the codes of words and pairs.
+CODE_BITS = {"w": 64, "p": 56}
 #: Codes beside the words' hashes: the end and the begin of a text.
 END, BEGIN = 1, 2
 #: Salt of a pair's code.
@@ -54,16 +58,60 @@ def pair_code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9FB21C651E98DF25) + second, PAIR) >> np.uint64(8)
 
 
-def pair_bytes(codes: np.ndarray) -> bytes:
-    """Pair codes in seven bytes each, for sending."""
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+#: Numbers whose bits are unpacked at a time.
+BLOCK = 1 << 16
 
 
-def pairs_of(sent: bytes) -> np.ndarray:
-    """The codes of ``pair_bytes``."""
-    out = np.zeros((len(sent) // 7, 8), dtype=np.uint8)
-    out[:, :7] = np.frombuffer(sent, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
+def low_bits(top: int, n: int) -> int:
+    """How many bits of ``n`` numbers up to ``top`` are kept as they are; the others tell about one number from the next."""
+    return max(0, (top // n).bit_length() - 1)
+
+
+def packed(x: np.ndarray, top: int) -> bytes:
+    """Increasing numbers up to ``top`` in two bits more than their mean gap takes, about.
+
+    Bit high + place is set for each number's high bits and its place, then all low bits follow.
+    """
+    n = len(x)
+    if not n:
+        return b""
+    low = low_bits(top, n)
+    high = np.zeros((top >> low) + n, dtype=bool)
+    high[(x >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
+    out = [n.to_bytes(8, "little"), np.packbits(high).tobytes()]
+    for at in range(0, n, BLOCK):
+        bits = np.unpackbits(x[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(np.packbits(bits[:, :low]).tobytes())
+    return b"".join(out)
+
+
+def unpacked(sent: bytes, top: int) -> np.ndarray:
+    """The numbers of ``packed``."""
+    if not sent:
+        return np.empty(0, dtype="<u8")
+    n = int.from_bytes(sent[:8], "little")
+    low = low_bits(top, n)
+    size = (top >> low) + n
+    got = np.frombuffer(sent, np.uint8, offset=8)
+    x = (np.flatnonzero(np.unpackbits(got, count=size)) - np.arange(n)).astype("<u8") << np.uint64(low)
+    got = got[-(-size // 8) :]
+    for at in range(0, n, BLOCK):
+        some = min(BLOCK, n - at)
+        bits = np.zeros((some, 64), dtype=np.uint8)
+        bits[:, :low] = np.unpackbits(got[at * low // 8 :], count=some * low).reshape(some, low)
+        x[at : at + some] |= np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return x
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers that are small mostly: all first bytes, all second bytes and so on, compressed."""
+    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def unsqueezed(sent: bytes, n: int, kind: str) -> np.ndarray:
+    """The ``n`` numbers of ``squeezed``."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(sent, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T).view(kind).ravel() if n else np.empty(0, kind)
 
 
 def word_codes(raw: bytes) -> np.ndarray:
@@ -131,6 +179,8 @@ class LogFrequencyFilter:
 
     def found(self, code: np.ndarray) -> np.ndarray:
         """The last step found of each code, 0 without any."""
+        if len(code) > PROBED:
+            return np.concatenate([self.found(code[at : at + PROBED]) for at in range(0, len(code), PROBED)])
         step = np.zeros(len(code), dtype=np.int64)
         alive = np.arange(len(code))
         while len(alive):
@@ -170,6 +220,53 @@ def token_totals(rows: DataFrame) -> tuple[int, int]:
     return tuple(rows.select("held", "text").mapInArrow(run, "n long, every long").agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("every"), zero)).first())
 
 
+#: A chunk's message to a shard: its distinct words and pairs there, and how often each stands in training texts.
+MESSAGE = "w binary, w_n binary, p binary, p_n binary"
+
+
+def messages(words: tuple, pairs: tuple, trains: np.ndarray, shards: int) -> dict[str, list[bytes]]:
+    """Columns of a message for each shard, from words and pairs as by ``by_shard``; ``trains`` tells which tokens count."""
+    out = {}
+    for name, (unique, at, begin) in (("w", words), ("p", pairs)):
+        n = np.bincount(at[trains], minlength=len(unique)).astype("<u4")
+        cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+        top = ((1 << CODE_BITS[name]) - 1) // shards
+        out[name] = [packed(unique[s:e] // np.uint64(shards), top) for s, e in cuts]
+        out[f"{name}_n"] = [squeezed(n[s:e]) for s, e in cuts]
+    return out
+
+
+def received(t: pa.Table, name: str, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all messages to a shard one after another, their counts in training texts, and where each message ends."""
+    top = ((1 << CODE_BITS[name]) - 1) // shards
+    codes = [unpacked(x, top) for x in t[name].to_pylist()]
+    counts = [unsqueezed(x, len(c), "<u4") for x, c in zip(t[f"{name}_n"].to_pylist(), codes, strict=True)]
+    return np.concatenate(codes) * np.uint64(shards) + np.uint64(shard), np.concatenate(counts).astype(np.int64), np.cumsum([len(c) for c in codes])
+
+
+def total(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes that stand in training texts, in order, and how often."""
+    unique, at = np.unique(codes[counts > 0], return_inverse=True)
+    out = np.zeros(len(unique), dtype=np.int64)
+    np.add.at(out, at, counts[counts > 0])
+    return unique, out
+
+
+def known(w: np.ndarray, c: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Counts of ``words`` by codes in order and their counts, 0 where there are none."""
+    if not len(w):
+        return np.zeros(len(words), dtype="<i8")
+    at = np.minimum(np.searchsorted(w, words), len(w) - 1)
+    return np.where(w[at] == words, c[at], 0).astype("<i8")
+
+
+def coded(column: pa.ChunkedArray | pa.Array, shards: int) -> tuple[tuple, tuple, np.ndarray]:
+    """Words and pairs of texts as by ``by_shard``, and the size of each text."""
+    parts = [batch_codes(column.slice(at, 500)) for at in range(0, len(column), 500)]
+    codes, sizes = np.concatenate([c for c, _ in parts]), np.concatenate([s for _, s in parts])
+    return by_shard(codes, shards), by_shard(pair_code(before(codes, sizes), codes), shards), sizes
+
+
 def learn(train: DataFrame, shards: int, most: int = CHUNK_TOKENS) -> DataFrame:
     """(shard, w, c, filter, pairs): of each shard its words' codes in order, their counts, and its filter of so many pairs.
 
@@ -184,13 +281,7 @@ def learn(train: DataFrame, shards: int, most: int = CHUNK_TOKENS) -> DataFrame:
             codes = np.concatenate([c for c, _ in held])
             sizes = np.concatenate([s for _, s in held])
             held.clear()
-            out = {}
-            for name, x in (("w", codes), ("p", pair_code(before(codes, sizes), codes))):
-                unique, at, begin = by_shard(x, shards)
-                n = np.bincount(at, minlength=len(unique)).astype("<u4")
-                cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
-                out[name] = [pair_bytes(unique[s:e]) if name == "p" else unique[s:e].tobytes() for s, e in cuts]
-                out[f"{name}_n"] = [n[s:e].tobytes() for s, e in cuts]
+            out = messages(by_shard(codes, shards), by_shard(pair_code(before(codes, sizes), codes), shards), np.ones(len(codes), bool), shards)
             some = [k for k in range(shards) if out["w"][k] or out["p"][k]]
             cols = [pa.array(some, pa.int32()), *(pa.array([x[k] for k in some], pa.binary()) for x in out.values())]
             return pa.RecordBatch.from_arrays(cols, ["shard", *out])
@@ -205,99 +296,94 @@ def learn(train: DataFrame, shards: int, most: int = CHUNK_TOKENS) -> DataFrame:
 
     def build(key, t):
         release_others(__name__)
-        total = {}
-        for name in ("w", "p"):
-            sent = b"".join(t[name].to_pylist())
-            unique, at = np.unique(pairs_of(sent) if name == "p" else np.frombuffer(sent, "<u8"), return_inverse=True)
-            n = np.zeros(len(unique), dtype=np.int64)
-            np.add.at(n, at, np.frombuffer(b"".join(t[f"{name}_n"].to_pylist()), "<u4").astype(np.int64))
-            total[name] = unique, n
-        (w, c), (p, n) = total["w"], total["p"]
+        (w, c), (p, n) = (total(*received(t, name, key[0].as_py(), shards)[:2]) for name in ("w", "p"))
         row = {"w": w.tobytes(), "c": c.tobytes(), "filter": LogFrequencyFilter.of(p, n).words.tobytes()}
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([x], pa.binary()) for k, x in row.items()}, "pairs": pa.array([len(p)])})
 
-    sent = train.select("text").mapInArrow(count, "shard int, w binary, w_n binary, p binary, p_n binary")
+    sent = train.select("text").mapInArrow(count, f"shard int, {MESSAGE}")
     return sent.groupBy("shard").applyInArrow(build, "shard int, w binary, c binary, filter binary, pairs long")
 
 
+def scored(t, words: tuple, pairs: tuple, sizes: np.ndarray, counts: np.ndarray, steps: np.ndarray, n: int, v: int, new: int) -> dict[str, pa.Array]:
+    """Columns of the scores of ``t`` (id, held, ..), by counts of its distinct words and steps of its distinct pairs."""
+    count, pair = counts[words[1]], LogFrequencyFilter.least_count(steps)[pairs[1]]
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    context = np.empty_like(count)
+    context[1:] = count[:-1]
+    context[begin] = count[ends - 1]  # as many texts begin as end
+    alone = (count + 1) / (n + v + 1)
+    seen = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
+    weight = np.where(context > 0, n / max(1, n + new), 0.0)  # so often a pair of the training texts was new
+    smooth = weight * np.minimum(seen, 1.0) + (1 - weight) * alone
+    made = {"n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64))}
+    made |= {"base_score": pa.array(np.add.reduceat(np.log10(alone), begin)), "score": pa.array(np.add.reduceat(np.log10(smooth), begin))}
+    return {"id": t.column("id"), "held_out": t.column("held"), **made}
+
+
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Learns from the rows that aren't held out and scores all. A null or empty text is one end
     token. Rows with a null id aren't held out. Repeated rows train and are scored as often as they
     stand there, dealt like others by their place. With no training rows every count is 0. Only the two
-    named columns are read. The model is a written table that the result is computed from.
+    named columns are read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
     n, every = token_totals(rows)
     shards, chunks = max(1, -(-n // chunk_tokens)), max(1, -(-every // chunk_tokens))
-    model = written(learn(rows.where(~F.col("held")), shards, chunk_tokens))
-    v, new, size = model.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.length("w") / 8, F.col("pairs"), F.length("filter")))).first()
-    small = size <= broadcast_bytes
-    sent = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in model.select("shard", "filter").collect()}) if small else None  # its size is checked
+    made = f"id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if TOKEN_BYTES * n <= broadcast_bytes:
+        model = {r.shard: (bytes(r.w), bytes(r.c), bytes(r.filter), r.pairs) for r in learn(rows.where(~F.col("held")), shards, chunk_tokens).collect()}  # its size is bounded by the check
+        v, new = sum(len(w) // 8 for w, _, _, _ in model.values()), sum(x[3] for x in model.values())
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
+        @in_batches
+        def here(batch):
+            words, pairs, sizes = coded(batch.column("text"), shards)
+            counts, steps = np.zeros(len(words[0]), dtype=np.int64), np.zeros(len(pairs[0]), dtype=np.int64)
+            for shard, (w, c, f, _) in sent.value.items():
+                ours, theirs = (slice(x[2][shard], x[2][shard + 1]) for x in (words, pairs))
+                counts[ours] = known(np.frombuffer(w, "<u8"), np.frombuffer(c, "<i8"), words[0][ours])
+                steps[theirs] = LogFrequencyFilter(np.frombuffer(f, "<u8"), 1.0).found(pairs[0][theirs])
+            return scored(batch, words, pairs, sizes, counts, steps, n, v, new)
+
+        return rows.mapInArrow(here, made).withColumnRenamed("id", id_col)
 
     parts = max(1, min(chunks, 100_000))
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition(parts, "chunk")
 
-    def coded(t):
-        """Words and pairs of a chunk as by ``by_shard``, and the size of each text."""
-        parts_ = [batch_codes(b.column(0)) for b in t.select(["text"]).to_batches(max_chunksize=500)]
-        codes, sizes = np.concatenate([c for c, _ in parts_]), np.concatenate([s for _, s in parts_])
-        return by_shard(codes, shards), by_shard(pair_code(before(codes, sizes), codes), shards), sizes
-
     def ask(key, t):
         release_others(__name__)
-        (words, _, w), (pairs, _, p), _ = coded(t)
-        if small:
-            pairs, p = pairs[:0], p * 0
-        some = np.flatnonzero((w[1:] > w[:-1]) | (p[1:] > p[:-1]))
-        cut = lambda x, at, f: pa.array([f(x[at[k] : at[k + 1]]) for k in some.tolist()], pa.binary())
-        return pa.table({"shard": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "w": cut(words, w, np.ndarray.tobytes), "p": cut(pairs, p, pair_bytes)})
-
-    def answer(key, asked, known):
+        words, pairs, sizes = coded(t["text"], shards)
+        sent = messages(words, pairs, np.repeat(~t["held"].to_numpy(), sizes), shards)
+        to = {"shard": pa.array(range(shards), pa.int32()), "chunk": pa.array([key[0].as_py()] * shards, pa.int32())}  # all, as each tells its totals
+        return pa.table(to | {k: pa.array(x, pa.binary()) for k, x in sent.items()})
+
+    def answer(key, asked):
         release_others(__name__)
-        w, c, f = np.empty(0, "<u8"), np.empty(0, "<i8"), None
-        if known.num_rows:
-            w, c = np.frombuffer(known["w"][0].as_py(), "<u8"), np.frombuffer(known["c"][0].as_py(), "<i8")
-            f = LogFrequencyFilter(np.frombuffer(known["filter"][0].as_py(), "<u8"), 1.0)
-        counts, steps = [], []
-        for words, pairs in zip(asked["w"].to_pylist(), asked["p"].to_pylist(), strict=True):
-            x, y = np.frombuffer(words, "<u8"), pairs_of(pairs)
-            at = np.minimum(np.searchsorted(w, x), max(0, len(w) - 1))
-            counts.append(np.where(w[at] == x, c[at], 0).astype("<i8").tobytes() if len(w) else bytes(8 * len(x)))
-            steps.append(np.minimum(f.found(y), 255).astype("u1").tobytes() if f else bytes(len(y)))
-        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "w": pa.array(counts, pa.binary()), "p": pa.array(steps, pa.binary())})
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, w binary, p binary")
-    answers = asked.groupBy("shard").cogroup(model.select("shard", "w", "c", "filter").groupBy("shard")).applyInArrow(answer, "chunk int, shard int, w binary, p binary").repartition(parts, "chunk")
-    kind = dict(rows.dtypes)["id"]
-
-    def scored(key, t, told):
+        each = lambda x, ends: [squeezed(part) for part in np.split(x, ends[:-1])]
+        words, n_words, ends = received(asked, "w", key[0].as_py(), shards)
+        w, c = total(words, n_words)
+        counts = each(known(w, c, words), ends)
+        del words, n_words, c
+        pairs, n_pairs, ends = received(asked, "p", key[0].as_py(), shards)
+        p, count = total(pairs, n_pairs)
+        new, f = len(p), LogFrequencyFilter.of(p, count)
+        del n_pairs, p, count
+        steps = each(np.minimum(f.found(pairs), 255).astype("u1"), ends)
+        told = {"w": pa.array(counts, pa.binary()), "p": pa.array(steps, pa.binary()), "words": pa.array([len(w)] * len(counts)), "pairs": pa.array([new] * len(counts))}
+        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], **told})
+
+    def heard(key, t, told):
         release_others(__name__)
-        (_, word_at, _), (pairs, pair_at, begin_of), sizes = coded(t)
+        words, pairs, sizes = coded(t["text"], shards)
         told = told.sort_by("shard")
-        count = np.frombuffer(b"".join(told["w"].to_pylist()), "<i8")[word_at]
-        if small:
-            step = np.zeros(len(pairs), dtype=np.int64)
-            for shard, words in sent.value.items():
-                s, e = begin_of[shard], begin_of[shard + 1]
-                step[s:e] = LogFrequencyFilter(np.frombuffer(words, "<u8"), 1.0).found(pairs[s:e])
-        else:
-            step = np.frombuffer(b"".join(told["p"].to_pylist()), "u1").astype(np.int64)
-        pair = LogFrequencyFilter.least_count(step)[pair_at]
-        ends = np.cumsum(sizes)
-        begin = ends - sizes
-        context = np.empty_like(count)
-        context[1:] = count[:-1]
-        context[begin] = count[ends - 1]  # as many texts begin as end
-        alone = (count + 1) / (n + v + 1)
-        seen = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-        weight = np.where(context > 0, n / max(1, n + new), 0.0)  # so often a pair of the training texts was new
-        smooth = weight * np.minimum(seen, 1.0) + (1 - weight) * alone
-        made = {"n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64))}
-        made |= {"base_score": pa.array(np.add.reduceat(np.log10(alone), begin)), "score": pa.array(np.add.reduceat(np.log10(smooth), begin))}
-        return pa.table({"id": t["id"], "held_out": t["held"], **made})
-
-    got = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return got.withColumnRenamed("id", id_col)
+        got = [np.concatenate([unsqueezed(x, size, kind) for x, size in zip(told[name].to_pylist(), np.diff(begin).tolist(), strict=True)]) for name, kind, begin in (("w", "<i8", words[2]), ("p", "u1", pairs[2]))]
+        v, new = (sum(told[x].to_pylist()) for x in ("words", "pairs"))
+        return pa.table(scored(t, words, pairs, sizes, got[0], got[1].astype(np.int64), n, v, new))
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, f"shard int, chunk int, {MESSAGE}")
+    answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, shard int, w binary, p binary, words long, pairs long").repartition(parts, "chunk")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(heard, made).withColumnRenamed("id", id_col)

@@ -152,3 +152,38 @@ def test_all_rows_held_out(spark):
     for most in (4, 1 << 20):  # several chunks, though nothing trains
         got = lm.score_documents(docs, chunk_tokens=most).collect()
         assert len(got) == len(ids) and all(x.held_out and x.train_tokens == x.n_known == x.score == x.base_score == 0 for x in got)
+
+
+def test_packed_codes_are_the_same_and_short():
+    r = np.random.default_rng(8)
+    for bits, shards, n in ((56, 6, 150_000), (64, 6, 70_000), (64, 1, 1), (64, 1, 100_000), (56, 1000, 3), (64, 1, 0), (8, 1, 200)):
+        top = ((1 << bits) - 1) // shards
+        x = np.unique(np.concatenate([r.integers(top, size=max(0, n - 2), dtype=np.uint64, endpoint=True), np.array([0, top][:n], np.uint64)]))
+        sent = lm.packed(x, top)
+        assert np.array_equal(lm.unpacked(sent, top), x)
+        assert len(sent) <= 18 + len(x) * (math.log2(top / max(1, len(x)) + 1) + 2) / 8
+    for kind in ("u1", "<u4", "<i8"):
+        x = r.integers(np.iinfo(kind).max, size=500, endpoint=True).astype(kind)
+        for y in (x, x[:1], x[:0]):
+            assert np.array_equal(lm.unsqueezed(lm.squeezed(y), len(y), kind), y)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
+def test_codes_are_sent_once(spark, broadcast_bytes):
+    """Bytes that tasks write for others, on texts whose pairs are nearly all different: a code once, a text only if it is dealt."""
+    r = np.random.default_rng(4)
+    words = [f"{x:x}" for x in r.integers(1 << 40, size=40_000).tolist()]
+    rows = [(i, " ".join(words[k] for k in r.integers(len(words), size=399))) for i in range(2500)]
+    docs, sc = spark.createDataFrame(rows, "doc_id long, text string"), spark.sparkContext
+
+    def sent():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    old = sent()
+    got = lm.score_documents(docs, chunk_tokens=250_000, broadcast_bytes=broadcast_bytes).select("doc_id", "n_tokens").collect()
+    assert sorted(map(tuple, got)) == [(i, 400) for i in range(2500)]
+    written = sum(v for k, v in sent().items() if k not in old)
+    assert 4_000_000 < written < 9 * 400 * 2500 + (0 if broadcast_bytes else sum(len(t) for _, t in rows)), written
